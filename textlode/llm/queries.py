@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlode.llm import bpe, media, mixing, secrets
+from textlode.llm import bpe, media, mixing, pii, quality, secrets
 from textlode.llm.common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,11 +30,15 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_source_mixing, op4_secret_scan, op5_media_columns, op10_bpe_round_trip)
+    for f in (op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op8_pii, op10_bpe_round_trip)
 }
