@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlode.llm import bpe, media, mixing, pii, quality, secrets
-from textlode.llm.common import table
+from pyspark.sql import functions as F
+
+from textlode.llm import bpe, media, mixing, pii, quality, secrets, toxicity
+from textlode.llm.common import remainder_column, table
 
 
 def vocabulary_path() -> str:
@@ -30,6 +32,14 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, settings = table(spark, sf_dir, "documents"), toxicity.Settings()
+    held_out = remainder_column(F.col("doc_id"), 4) == 2
+    weights = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out, settings)
+    scored = toxicity.score(docs, weights, settings)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -40,5 +50,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op8_pii, op10_bpe_round_trip)
+    for f in (op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op8_pii, op10_bpe_round_trip)
 }
