@@ -35,4 +35,26 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM counted
 """
 
-ORACLES = {"op3_source_mixing": OP3_SOURCE_MIXING}
+OP7_SUBSTRING_DEDUP = """
+WITH split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 34], ' ') AS words
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM split WHERE len(words) >= 35)
+), repeated AS (
+  SELECT words FROM windows GROUP BY words HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS pos
+  FROM (SELECT doc_id, i FROM windows SEMI JOIN repeated USING (words)), (SELECT unnest(range(35)) AS k)
+), each AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM split
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS words
+  FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT split.doc_id, len(split.words)::BIGINT AS n_words, (len(split.words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.kept_words, '')) AS kept_sha256
+FROM split LEFT JOIN (SELECT doc_id, n, words AS words FROM kept) AS k(doc_id, n, kept_words) USING (doc_id)
+"""
+
+ORACLES = {"op3_source_mixing": OP3_SOURCE_MIXING, "op7_substring_dedup": OP7_SUBSTRING_DEDUP}
