@@ -57,4 +57,29 @@ SELECT split.doc_id, len(split.words)::BIGINT AS n_words, (len(split.words) - co
 FROM split LEFT JOIN (SELECT doc_id, n, words AS words FROM kept) AS k(doc_id, n, kept_words) USING (doc_id)
 """
 
-ORACLES = {"op3_source_mixing": OP3_SOURCE_MIXING, "op7_substring_dedup": OP7_SUBSTRING_DEDUP}
+OP1_NGRAM_JACCARD = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM split WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), both AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM both JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * k >= 90 * (s.n + t.n - k)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING (doc_id)
+"""
+
+ORACLES = {"op1_ngram_jaccard": OP1_NGRAM_JACCARD, "op3_source_mixing": OP3_SOURCE_MIXING, "op7_substring_dedup": OP7_SUBSTRING_DEDUP}
