@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from textlode.llm import bpe, jaccard, media, mixing, pii, quality, secrets, substring, toxicity
+from textlode.llm import bpe, jaccard, lm, media, mixing, pii, quality, secrets, substring, toxicity
 from textlode.llm.common import remainder_column, table
 
 
@@ -52,11 +52,19 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = remainder_column(F.col("doc_id"), 7) == 2
+    scored = lm.score(table(spark, sf_dir, "documents"), ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", held_out)
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_pii, op10_bpe_round_trip)
+    for f in (op1_ngram_jaccard, op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_pii, op9_lm_scoring, op10_bpe_round_trip)
 }

@@ -67,7 +67,7 @@ WITH RECURSIVE split AS (
   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM split WHERE len(words) > 0)
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
-), both AS (
+), common AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
   FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), links AS (
