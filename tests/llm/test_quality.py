@@ -21,6 +21,12 @@ def gram_buckets(words, buckets):
     return [signed(h) % buckets for h in hashes + pairs]
 
 
+def ratios(raw, trusted, buckets):
+    corpus = lambda b: (raw[b] + 1) / (raw.total() + buckets)
+    mass = quality.PRIOR * buckets
+    return lambda b: math.log((trusted[b] + mass * corpus(b)) / (trusted.total() + mass)) - math.log(corpus(b))
+
+
 def brute(text):
     text = text or ""
     words = SPLIT.findall(text)
@@ -58,7 +64,7 @@ def test_against_brute_force(spark):
         raw.update(grams)
         if i in good:
             trusted.update(grams)
-    ratio = lambda b: math.log((trusted[b] + 1) / (trusted.total() + 64)) - math.log((raw[b] + 1) / (raw.total() + 64))
+    ratio = ratios(raw, trusted, 64)
     for i, t, _ in rows:
         r, want = got[i], brute(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t

@@ -58,14 +58,13 @@ def position(key: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(
+def planned(
     docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple = WEIGHTS, seed: str = "mix:",
     bucket_digits: int = 2,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row of (doc_id, text, source).
+    """doc_id, source, size, place, source_size, target, whole, part of every row of (doc_id, text, source).
 
-    ``weights`` repeat over the sources in code point order. ``bucket_digits``
-    hexadecimal digits of the order's hash deal a source to 16 ** digits ranges.
+    ``whole`` passes and, where ``part`` holds, one more are taken.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     place = position(F.col("doc_id"), seed)
@@ -94,6 +93,45 @@ def mix(
     return (
         placed.join(starts, same)
         .withColumn("whole", whole.cast("long"))
-        .withColumn("copies", F.col("whole") + part.cast("long"))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        .select("doc_id", "source", "size", "place", "source_size", "target", "whole", part.alias("part"))
     )
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of every row of (doc_id, text, source).
+
+    Settings: ``share`` of all sizes that is wanted, ``max_epochs``, ``weights``
+    (repeated over the sources in code point order), ``seed``, and
+    ``bucket_digits``, the hexadecimal digits of the order's hash that deal a
+    source to 16 ** digits ranges.
+    """
+    copies = F.col("whole") + F.col("part").cast("long")
+    plan = planned(docs, **settings).withColumn("copies", copies)
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+#: Sources up to which their table is broadcast; a row of it has about 100 bytes.
+BROADCAST_SOURCES = 50_000
+
+
+def take(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    What the fraction takes is the front of a source's order, so one row a source
+    (its passes and where its front ends) says it all, and texts are not shuffled.
+    Rows that share place, id and size with the last one taken are taken too.
+    """
+    place = F.struct("place", F.col("doc_id").alias("id"), "size")
+    sources = planned(docs, **settings).groupBy(F.col("source").alias("of_source")).agg(
+        F.max("whole").alias("whole"), F.max(F.when(F.col("part"), place)).alias("last")
+    )
+    sources = durable(sources)
+    if sources.count() <= BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = F.struct(position(F.col("doc_id"), settings.get("seed", "mix:")).alias("place"), F.col("doc_id").alias("id"), size.alias("size"))
+    copies = F.col("whole") + F.coalesce(own <= F.col("last"), F.lit(False)).cast("long")
+    columns = docs.columns
+    joined = docs.join(sources, F.col("source").eqNullSafe(F.col("of_source")))
+    repeated = F.explode(F.when(size == 0, F.array().cast("array<long>")).otherwise(F.array_repeat(F.lit(1).cast("long"), copies.cast("int"))))
+    return joined.select(*columns, repeated.alias("_copy")).select(*columns)

@@ -71,7 +71,7 @@ WITH RECURSIVE split AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
   FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM both JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
   WHERE 100 * k >= 90 * (s.n + t.n - k)
 ), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents
