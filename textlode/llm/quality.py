@@ -133,12 +133,17 @@ def judge(
 ) -> DataFrame:
     """doc_id, the base measures, base_failed, kept and score of every document."""
     ratios = log_ratios(docs, labels, buckets, trusted_rows)
-    hashed = docs.select("doc_id", "text", word_hashes(words_of(F.col("text"))).alias("hashes"))
-    found = hashed.select("doc_id", *(c.alias(n) for n, c in measured(F.col("text"), F.col("hashes"), ratios, buckets).items()))
-    base_failed = failed(F.col("n_words"), F.col("n_repeat_words"))
+
+    def verdict(hashes: Column) -> Column:
+        m = measured(F.col("text"), hashes, ratios, buckets)
+        base_failed = failed(m["n_words"], m["n_repeat_words"])
+        return F.struct(*(c.alias(n) for n, c in m.items()), base_failed.alias("base_failed"))
+
+    # bound by let: the optimiser would copy a column of hashes into each place of a later filter that names it
+    found = docs.select("doc_id", let(word_hashes(words_of(F.col("text"))), verdict).alias("m")).select("doc_id", "m.*")
     return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), (~base_failed & (F.col("score") >= least_score)).alias("kept"), F.round("score", 9).alias("score"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & (F.col("score") >= least_score)).alias("kept"), F.round("score", 9).alias("score"),
     )
 
 
@@ -147,7 +152,9 @@ def keep(
 ) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns, in one pass and without a join."""
     ratios = log_ratios(docs, labels, buckets, trusted_rows)
-    columns = docs.columns
-    hashed = docs.withColumn("_word_hashes", word_hashes(words_of(F.col("text"))))
-    m = measured(F.col("text"), F.col("_word_hashes"), ratios, buckets)
-    return hashed.filter(~failed(m["n_words"], m["n_repeat_words"]) & (m["score"] >= least_score)).select(*columns)
+
+    def kept(hashes: Column) -> Column:
+        m = measured(F.col("text"), hashes, ratios, buckets)
+        return ~failed(m["n_words"], m["n_repeat_words"]) & (m["score"] >= least_score)
+
+    return docs.filter(let(word_hashes(words_of(F.col("text"))), kept))
