@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from textlode.plans import history, knowledge, relational, retrieval, texts  # noqa: E402, F401
+from textlode.plans import history, knowledge, more, relational, retrieval, texts  # noqa: E402, F401
