@@ -59,8 +59,16 @@ class Cutter:
         found = self.cache[word] = xxhash.xxh3_64_intdigest(word, 7)
         return found
 
-    def cut(self, words: list[bytes]) -> list[tuple[int, int, int, bool]]:
-        """(minimiser, first window, number of windows, does the minimiser stand twice?), in order."""
+    def least(self, runs: np.ndarray) -> np.ndarray:
+        """The least run of each window, by doubling the stretch that a minimum covers."""
+        size, have, low = self.width - self.run + 1, 1, runs
+        while 2 * have <= size:
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        return low if have == size else np.minimum(low[: have - size], low[size - have :])
+
+    def cut(self, words: list[bytes], repeats: bool = False) -> list[tuple[int, int, int, bool]]:
+        """(minimiser, first window, number of windows, does the minimiser stand twice?), in order; the last only with ``repeats``."""
         n = len(words) - self.width + 1
         if n < 1:
             return []
@@ -71,13 +79,15 @@ class Cutter:
             runs = runs * MIX + h[k : k + len(runs)]
         runs ^= runs >> np.uint64(29)
         runs *= MIX
-        low = np.lib.stride_tricks.sliding_window_view(runs, self.width - self.run + 1).min(axis=1)
+        low = self.least(runs)
         starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         ends = np.append(starts[1:], n)
-        spans = ends - starts + self.width - self.run  # runs of each super-k-mer
-        firsts = np.cumsum(spans) - spans
-        inside = np.arange(spans.sum()) + np.repeat(starts - firsts, spans)
-        twice = np.add.reduceat((runs[inside] == np.repeat(low[starts], spans)).astype("i8"), firsts) > 1
+        twice = np.zeros(len(starts), bool)
+        if repeats:
+            spans = ends - starts + self.width - self.run  # runs of each super-k-mer
+            firsts = np.cumsum(spans) - spans
+            inside = np.arange(spans.sum()) + np.repeat(starts - firsts, spans)
+            twice = np.add.reduceat((runs[inside] == np.repeat(low[starts], spans)).astype("i8"), firsts) > 1
         columns = low[starts].astype("i8"), starts, ends - starts, twice
         return list(zip(*(c.tolist() for c in columns), strict=True))
 
@@ -104,7 +114,7 @@ def kmers(docs: DataFrame, width: int, run: int, with_strings: bool) -> DataFram
             words = split(text)
             if not with_strings:
                 return [(k, m) for m in {x[0] for x in cutter.cut(words)}]
-            return [(xxhash.xxh3_64_intdigest(cutter.packed(words, s, n)) >> 1, m, 1 + two) for m, s, n, two in cutter.cut(words)]
+            return [(xxhash.xxh3_64_intdigest(cutter.packed(words, s, n)) >> 1, m, 1 + two) for m, s, n, two in cutter.cut(words, True)]
 
         return one
 
@@ -139,12 +149,17 @@ def cut_again(texts: DataFrame, width: int, run: int) -> DataFrame:
 
 def count_bucket(strings: list[tuple[bytes, bytes, int]], width: int) -> list[tuple[bytes, bytes]]:
     """(sid, flags): for each string, a byte for each window, 1 where it occurs twice or more in the bucket."""
-    windows = []
+    if len(strings) == 1 and strings[0][2] > 1:  # copies of one string only: each window is in all of them
+        sid, data, _ = strings[0]
+        return [(sid, b"\1" * (data.count(b" ") + 2 - width))]
+    windows, numbers = [], []
     for k, (_, data, count) in enumerate(strings):
-        words = data.split(b" ")
-        windows += [(b" ".join(words[i : i + width]), k, i, count) for i in range(len(words) - width + 1)]
+        ends = [i for i, c in enumerate(data) if c == 32] + [len(data)]
+        starts = [0] + [e + 1 for e in ends]
+        numbers.append(len(ends) - width + 1)
+        windows += [(data[starts[i] : ends[i + width - 1]], k, i, count) for i in range(numbers[-1])]
     windows.sort()
-    flags = [bytearray(max(0, len(data.split(b" ")) - width + 1)) for _, data, _ in strings]
+    flags = [bytearray(n) for n in numbers]
     at = 0
     while at < len(windows):
         end, total = at, 0
