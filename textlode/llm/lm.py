@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from textlode.llm.common import ascii_lower, stored, words_of
 
 SPACE_MARK = "▁"
-COMMON = 100_000
-ROUNDS = 2
+COMMON = 400_000
+ROUNDS = 1
 FLAT = 100.0
 CACHED = 400_000
 SHORT = 64  # characters of words that are computed by the batch
@@ -153,8 +153,6 @@ class Lattice:
 
     def learn(self, words: list[bytes]) -> None:
         """Puts the words' probabilities into the cache."""
-        if len(self.cache) + len(words) > CACHED:
-            self.cache.clear()
         texts = [w.decode() for w in words]
         short = [i for i, t in enumerate(texts) if len(t) <= SHORT]
         for i in set(range(len(texts))).difference(short):
@@ -257,27 +255,38 @@ def first_pass(docs: DataFrame, shared, p_end: float, known_end: int) -> DataFra
         pieces, spelled, frequent = shared.value
         lattice = Lattice(pieces, spelled)
         go_on, stop = math.log1p(-p_end), math.log(p_end)
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))]
-        names = ["doc_id", "version", "n_words", "known", "base", "score", "rare"]
+        names = ["doc_id", "version", "n_words", "known", "base", "score", "rare", "rare_tf"]
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 2
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, texts = (c.slice(at, 500).to_pylist() for c in batch.columns)
                 raw = [(t or "").encode() for t in texts]
                 tokens = [Counter(ascii_lower(r).split()) for r in raw]
-                lattice.learn([w for w in set().union(*tokens) if w not in lattice.cache])
-                rows = []
+                if len(lattice.cache) > CACHED:
+                    lattice.cache.clear()
+                cache = lattice.cache
+                lattice.learn([w for w in set().union(*tokens) if w not in cache])
+                rows, rare, rare_tf, offsets = [], [], [], [0]
                 for k, r, words in zip(ids, raw, tokens, strict=True):
-                    seen = [(frequent[w], n) for w, n in words.items() if w in frequent]
-                    rare = [{"word": w.decode(), "tf": n} for w, n in words.items() if w not in frequent]
-                    base = math.fsum(n * math.log10(c + 1) for c, n in seen)
-                    n_words = words.total()
-                    p = math.fsum(n * lattice.log_probability(w) for w, n in words.items()) + n_words * go_on + stop
-                    version = xxhash.xxh3_64_intdigest(r) >> 1
-                    rows.append((k, version, n_words, sum(n for _, n in seen) + known_end, base, p / math.log(10), rare))
+                    n_words, known, base, p = words.total(), known_end, [], []
+                    for w, n in words.items():
+                        p.append(n * cache[w])
+                        c = frequent.get(w)
+                        if c is None:
+                            rare.append(w)
+                            rare_tf.append(n)
+                        else:
+                            known += n
+                            base.append(n * math.log10(c + 1))
+                    offsets.append(len(rare))
+                    score = (math.fsum(p) + n_words * go_on + stop) / math.log(10)
+                    rows.append((k, xxhash.xxh3_64_intdigest(r) >> 1, n_words, known, math.fsum(base), score))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                ends = pa.array(offsets, pa.int32())
+                lists = [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(rare_tf, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.ListArray.from_arrays(ends, x) for x in lists], names=names)
 
-    schema = "doc_id long, version long, n_words long, known long, base double, score double, rare array<struct<word:string,tf:long>>"
+    schema = "doc_id long, version long, n_words long, known long, base double, score double, rare array<string>, rare_tf array<long>"
     return docs.mapInArrow(run, schema)
 
 
@@ -295,15 +304,16 @@ def score(docs: DataFrame, train: Column, path: str, rounds: int = ROUNDS, commo
     frequent = {r.word.encode(): r.n for r in counts.orderBy(F.desc("n"), "word").limit(common).collect()}
     shared = docs.sparkSession.sparkContext.broadcast((pieces, spelled, frequent))
     alone = stored(first_pass(docs, shared, (rows + 1) / (n_total + 2), int(rows > 0)))
-    rare = alone.select("doc_id", "version", F.explode("rare").alias("rare")).select("doc_id", "version", "rare.word", "rare.tf")
+    rare = alone.select("doc_id", "version", F.explode(F.arrays_zip("rare", "rare_tf")).alias("x"))
+    rare = rare.select("doc_id", "version", F.col("x.rare").alias("word"), F.col("x.rare_tf").alias("tf"))
     # rows that share id and text add up here; ``tokens`` tells how many they are
     sums = rare.join(counts, "word", "left").groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version")).agg(
         F.sum("tf").alias("tokens"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_base"),
     )
-    own = F.aggregate("rare", F.lit(0).cast("long"), lambda total, x: total + x["tf"])
-    alone = alone.withColumn("own", own).drop("rare")
+    own = F.aggregate("rare_tf", F.lit(0).cast("long"), lambda total, x: total + x)
+    alone = alone.withColumn("own", own).drop("rare", "rare_tf")
     same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version"))
     joined = alone.join(sums, same, "left").withColumn("copies", F.coalesce(F.col("tokens") / F.col("own"), F.lit(1.0)))
     n_tokens = F.col("n_words") + 1
