@@ -79,7 +79,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    if data[:2] == b"BM":
+    if data[:2] == b"BM" and len(data) >= 54:
         return decode_bmp(data)
     if data[:1] == b"P" and data[1:2] in [b"1", b"2", b"3", b"4", b"5", b"6"]:
         return decode_netpbm(data)

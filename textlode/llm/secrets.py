@@ -6,8 +6,10 @@ long token near a sensitive word is judged by dictionary-primed Zstandard: the
 token is compressed with a dictionary of the code around it (itself removed) and
 of common identifiers, and what it adds to an empty frame is its novelty in
 bytes. Words, repeated identifiers and paths cost a few bytes; a random key
-costs nearly its own entropy. Tokens that do not compress are reported as
-``novel``.
+costs nearly its own entropy. Short frames hold unknown text as it is, so names
+outside the dictionaries cost as much as keys; candidates must therefore also
+alternate between upper case, lower case and digits. Tokens that do not compress
+are reported as ``novel``.
 
 Each text is scanned whole, row by row. Null text counts as empty and has no
 spans. Spans are code points, end exclusive. Repeated rows repeat their spans.
@@ -70,6 +72,12 @@ def marginal_bytes(text: str, start: int, end: int) -> int:
     return max(0, frame_bytes(text[start:end].encode(), primer) - frame_bytes(b"", primer))
 
 
+def class_changes(token: str) -> int:
+    """How often upper case, lower case and digits alternate: often in keys, seldom in names and paths."""
+    kinds = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", re.sub("[^A-Za-z0-9]", "", token))))
+    return sum(a != b for a, b in zip(kinds, kinds[1:]))  # noqa: B905
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates near a sensitive word, outside the base spans, that the dictionary does not explain."""
     found, near = [], [m.start() for m in SENSITIVE.finditer(text)]
@@ -85,7 +93,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         if near[k] > end + NEAR or any(s < end and start < e for s, e, _ in taken):
             continue
         token = m.group()
-        if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+        if 4 * class_changes(token) < len(token):
             continue
         if marginal_bytes(text, start, end) >= NOVELTY * (end - start):
             found.append((start, end, "novel"))
