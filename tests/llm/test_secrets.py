@@ -87,7 +87,7 @@ def test_novelty_tells_keys_from_names(spark):
     key = base64.b64encode(rnd.randbytes(36)).decode()
     code = f"client credential for the service\nauthorize('{key}')\n"
     assert [(s, e) for s, e, k in secrets.spans_of(code)[1] if k == "novel"] == [(code.index(key), code.index(key) + len(key))]
-    for plain in ("credential_manager_default_settings_v2 = 1", "private /usr/local/share/application1/config/module2", "auth aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"):
+    for plain in ("credential_manager_default_settings_v2 = 1", "private /usr/local/share/application1/config/module2", "auth zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1"):
         assert secrets.spans_of(plain)[1] == []
     assert secrets.spans_of(f"nothing near\n{'word ' * 40}{key}")[1] == []
     repeated = f"session {key} again {key}"
