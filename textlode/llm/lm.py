@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from textlode.llm.common import ascii_lower, stored, words_of
 
 SPACE_MARK = "▁"
-COMMON = 400_000
+COMMON = 100_000
 ROUNDS = 1
 FLAT = 100.0
-CACHED = 400_000
+CACHED = 1_000_000
 SHORT = 64  # characters of words that are computed by the batch
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -252,8 +252,10 @@ def first_pass(docs: DataFrame, shared, p_end: float, known_end: int) -> DataFra
     """What one text says alone: its score, the base sum over common words, and its other words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, spelled, frequent = shared.value
-        lattice = Lattice(pieces, spelled)
+        model = shared.value
+        if "lattice" not in model:  # one for each Python worker: the broadcast value outlives a task
+            model["lattice"] = Lattice(*model["weights"])
+        lattice, frequent = model["lattice"], model["frequent"]
         go_on, stop = math.log1p(-p_end), math.log(p_end)
         names = ["doc_id", "version", "n_words", "known", "base", "score", "rare", "rare_tf"]
         kinds = [pa.int64()] * 4 + [pa.float64()] * 2
@@ -302,7 +304,7 @@ def score(docs: DataFrame, train: Column, path: str, rounds: int = ROUNDS, commo
     for _ in range(rounds if words else 0):
         pieces, spelled = reweighted(counts, pieces, spelled)
     frequent = {r.word.encode(): r.n for r in counts.orderBy(F.desc("n"), "word").limit(common).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, spelled, frequent))
+    shared = docs.sparkSession.sparkContext.broadcast({"weights": (pieces, spelled), "frequent": frequent})
     alone = stored(first_pass(docs, shared, (rows + 1) / (n_total + 2), int(rows > 0)))
     rare = alone.select("doc_id", "version", F.explode(F.arrays_zip("rare", "rare_tf")).alias("x"))
     rare = rare.select("doc_id", "version", F.col("x.rare").alias("word"), F.col("x.rare_tf").alias("tf"))

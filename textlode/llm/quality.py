@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm.common import SPACES, WORD, words_of
+from textlode.llm.common import WORD, words_of
 
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 50_000
@@ -93,8 +93,8 @@ def measured(text: Column, hashes: Column, ratios: Column, buckets: int) -> dict
     gathered = F.aggregate(grams(hashes, buckets), F.lit(0.0), lambda total, b: total + F.get(ratios, b))
     return {
         "n_words": F.size(hashes).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(hashes).cast("long"),
         "score": gathered / F.greatest(2 * F.size(hashes) - 1, F.lit(1)),
