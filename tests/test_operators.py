@@ -133,3 +133,21 @@ def test_streams(spark, tmp_path):
     assert set(r.outcome for r in drained(streams.last_outcomes(stream()), "outcomes", "update").collect()) <= {"runbook", "anti_runbook"}
     streams.sync(stream().select("user_id", "event_id"), str(tmp_path / "manifest"), str(tmp_path / "cp"), "user_id", "event_id").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "manifest/0")).count() == rows.select("user_id").distinct().count()
+
+
+@pytest.mark.parametrize("same", [None, "label"])
+def test_every_twentieth_vector_is_asked_in_blocks(spark, monkeypatch, same):
+    from textlode.plans import registry
+
+    monkeypatch.setattr(search, "BLOCK", 64)
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    gap = lambda a, b: round(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5, 9)
+    want = {}
+    for q in rows[::20]:
+        near = sorted((gap(c.embedding, q.embedding), c.vec_id) for c in rows if same is None or c.label == q.label)
+        want[q.vec_id] = [v for _, v in near[: 5 if same else 10]]
+    assert all(q % 20 == 0 for q in want) and len(want) == 25
+    got = {}
+    for r in registry.QUERIES["knn_filtered_topk_whole" if same else "knn_topk_whole"](spark, "/root/testdata/sf0.001").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want

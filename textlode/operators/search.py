@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
 
+#: Vectors of a block, and rows beyond k that a block sends so that rounding at its edge costs nothing.
+BLOCK = 2048
+TIES = 8
+
 #: Queries up to which their terms or vectors are broadcast: beyond it, joins shuffle.
 BROADCAST_QUERIES = 10_000
 
@@ -58,16 +64,53 @@ def top(df: DataFrame, order: list[Column], k: int, by: str = "query_id") -> Dat
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def blocked(left: DataFrame, right: DataFrame, keys: tuple[str, str], sizes: tuple[int, int], run: Callable, schema: str, same: str | None = None) -> DataFrame:
+    """Every row of ``left`` meets every row of ``right`` (of equal ``same``) inside one pair of blocks.
+
+    Rows are dealt to blocks of about BLOCK rows by a hash of their key, so a group
+    of equal ``same`` is many pairs of blocks, however large it is. ``run`` gets
+    both sides of a pair as pandas and must reduce them: pairs of rows never leave it.
+    """
+    of = [max(1, -(-n // BLOCK)) for n in sizes]
+    by = ["_left", "_right", *([same] if same else [])]
+
+    def dealt(df: DataFrame, side: int):
+        own, other = ("_left", "_right") if side == 0 else ("_right", "_left")
+        df = df if same is None else df.filter(F.col(same).isNotNull())
+        df = df.withColumn(own, F.pmod(F.xxhash64(keys[side]), F.lit(of[side])).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(of[1 - side] - 1)))).groupBy(*by)
+
+    return dealt(left, 0).cogroup(dealt(right, 1)).applyInPandas(run, schema)
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, n_queries: int, same: str | None = None) -> DataFrame:
     """query_id, vec_id, distance, rank: the k nearest vectors of each query, exactly.
 
-    ``corpus`` has (vec_id, embedding), ``queries`` (query_id, vector). A stated
-    set of queries meets every row, as a broadcast; ``same`` names a column in
-    which both must agree first, so that a filter never costs neighbours.
+    ``corpus`` has (vec_id, embedding), ``queries`` (query_id, vector). Blocks of
+    queries meet blocks of the corpus, and each pair of blocks keeps the nearest
+    of each query; ``same`` names a column in which both must agree first, so that
+    a filter never costs neighbours. Rows without a vector have no distance.
     """
-    pairs = corpus.crossJoin(small(queries, n_queries)) if same is None else corpus.join(small(queries, n_queries), same)
-    found = pairs.select("query_id", "vec_id", T.l2_distance(F.col("embedding"), F.col("vector")).alias("distance"))
-    return top(found, [F.col("distance"), F.col("vec_id")], k)
+    import numpy as np
+    import pandas as pd
+
+    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.array([], "i8"), np.array([], "i8"), np.array([], "f8"))]
+        if len(c) and len(q):
+            ids, x = c["vec_id"].to_numpy(), np.stack(c["embedding"].to_numpy()).astype("f8")
+            for query_id, y in zip(q["query_id"], q["vector"], strict=True):
+                d = np.sqrt(np.square(x - np.asarray(y, "f8")).sum(axis=1))
+                # a little more than k: the final order is by rounded distance, then id
+                at = np.flatnonzero(np.round(d, 9) <= np.round(np.partition(d, k - 1)[k - 1], 9) + 2e-9) if len(d) > k else np.arange(len(d))
+                at = at[np.lexsort((ids[at], np.round(d[at], 9)))][: k + TIES]
+                out.append((np.full(len(at), query_id), ids[at], d[at]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    kept = [same] if same else []
+    left = corpus.filter("embedding IS NOT NULL").select("vec_id", "embedding", *kept)
+    right = queries.filter("vector IS NOT NULL").select("query_id", "vector", *kept)
+    found = blocked(left, right, ("vec_id", "query_id"), (left.count(), n_queries), run, "query_id long, vec_id long, distance double", same)
+    return top(found, [F.round("distance", 9), F.col("vec_id")], k)
 
 
 def fuse(lists: dict[str, DataFrame], weights: dict[str, float], constant: int = 60) -> DataFrame:
