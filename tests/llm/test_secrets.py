@@ -94,3 +94,17 @@ def test_novelty_tells_keys_from_names(spark):
     assert secrets.marginal_bytes(repeated, 8, 8 + len(key)) < 0.4 * len(key)
     found = secrets.scan(spark.createDataFrame([(1, code)], "doc_id long, text string")).collect()
     assert [r.value for r in found] == [key]
+
+
+def test_keys_of_any_alphabet_and_keys_written_twice():
+    rnd = random.Random(5)
+    novel = lambda text: [text[s:e] for s, e, k in secrets.spans_of(text)[1] if k == "novel"]
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (low, up, up + "234567", low + "0123456789"):
+        for n in (20, 32, 40):
+            for _ in range(20):
+                key = "".join(rnd.choices(letters, k=n))
+                assert novel(f"client credential\nauthorize('{key}')\n") == [key]
+                assert novel(f"session '{key}' again '{key}' private") == [key, key]
+    for plain in ("private_repository_connection_handler_factory", "auth /var/lib/application/config/session/storage", "credential_provider_update_timestamp"):
+        assert novel(f"auth {plain}") == []

@@ -3,13 +3,13 @@
 Base spans come from three patterns: values assigned to names such as password
 or token, access key ids, and runs of hexadecimal digits. Beside them, every
 long token near a sensitive word is judged by dictionary-primed Zstandard: the
-token is compressed with a dictionary of the code around it (itself removed) and
-of common identifiers, and what it adds to an empty frame is its novelty in
-bytes. Words, repeated identifiers and paths cost a few bytes; a random key
-costs nearly its own entropy. Short frames hold unknown text as it is, so names
-outside the dictionaries cost as much as keys; candidates must therefore also
-alternate between upper case, lower case and digits. Tokens that do not compress
-are reported as ``novel``.
+token is compressed with a dictionary of the code around it (all its copies
+removed) and of common identifiers, and what it adds to an empty frame is its
+novelty in bytes. Words, identifiers and paths that the dictionary holds cost a
+few bytes; a random key costs nearly its own length, whatever its alphabet.
+Short frames hold unknown text as it is, so a name of parts that neither
+dictionary holds is reported too: a key is never dropped for its looks. Tokens
+that do not compress are reported as ``novel``.
 
 Each text is scanned whole, row by row. Null text counts as empty and has no
 spans. Spans are code points, end exclusive. Repeated rows repeat their spans.
@@ -46,6 +46,28 @@ IDENTIFIERS = (
     "https://www.example.com/ http://localhost:8080/ application/json content-type user-agent return function import "
     "class public static void string integer boolean export default const require module config settings environment "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000000000000000 xxxxxxxxxxxxxxxxxxxxxxxx"
+    " account address admin agent alias algorithm allow application archive argument array assets async attribute audit "
+    "author await backend backup base batch binary block branch bucket buffer build bundle button cache call callback "
+    "cancel catalog category channel char check child client cluster code collection column command comment commit common "
+    "component condition connect container content context controller convert cookie copy core count create current cursor "
+    "custom data database date debug decode default delete deploy description device dialog directory disable document "
+    "domain driver dynamic editor element email enable encode endpoint engine entity entry error event example exception "
+    "execute expire extension factory feature field file filter folder format forward frame framework gateway generate "
+    "global group handler hash header height helper history host image implementation index info init input insert "
+    "instance interface internal invalid item iterator job label language layer layout length level library license link "
+    "list listener load local location lock logger login manager map master match member memory message metadata method "
+    "metric migration mode model monitor mount name namespace network node notification number object offset operation "
+    "option order output owner package page panel parameter parent parse partition path pattern payload permission "
+    "platform plugin policy pool port position prefix process product profile project property protocol provider proxy "
+    "query queue random range read record redirect reference refresh region register release remote remove render report "
+    "repository request required reset resolve resource response result retry role root route router rule runtime sample "
+    "scale schedule schema scope screen script search section select sequence server service share signal size source "
+    "stage standard start state status storage store stream style submit subscription support switch symbol sync system "
+    "table target task template test text thread threshold timeout timestamp title toggle tool topic trace transaction "
+    "transfer transform type update upload user util validate value vector verify version view virtual volume warning "
+    "widget width window worker workflow workspace write "
+    "/usr/local/share/ /usr/local/bin/ /usr/lib/ /usr/share/ /etc/ /var/lib/ /var/log/ /home/ /opt/ /tmp/ /dev/ /src/ /main/ /test/ /docs/ "
+    "/application/config/ /modules/module1 /node_modules/ "
 ).encode()
 NEAR = 80  # code points around a candidate in which a sensitive word must stand
 AROUND = 1024  # code points of surrounding text in the dictionary
@@ -65,19 +87,16 @@ def frame_bytes(data: bytes, primer: bytes) -> int:
     return len(zstandard.ZstdCompressor(dict_data=words, compression_params=settings).compress(data))
 
 
-def marginal_bytes(text: str, start: int, end: int) -> int:
-    """Bytes that text[start:end] adds to a frame whose dictionary holds identifiers and the text around it."""
-    around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
+def marginal_bytes(text: str, start: int, end: int, copies: bool = True) -> int:
+    """Bytes that text[start:end] adds to a frame whose dictionary holds identifiers and the text around it, with or without its other copies."""
+    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    if not copies:
+        before, after = (x.replace(text[start:end], "\n") for x in (before, after))
+    around = before + "\n" + after
     primer = IDENTIFIERS + b"\n" + around.encode()
     return max(0, frame_bytes(text[start:end].encode(), primer) - frame_bytes(b"", primer))
 
 
-def class_changes(token: str) -> int:
-    """How often upper case, lower case and digits alternate: often in keys, seldom in names and paths."""
-    kinds = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", re.sub("[^A-Za-z0-9]", "", token))))
-    return sum(a != b for a, b in zip(kinds, kinds[1:]))  # noqa: B905
-
-
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates near a sensitive word, outside the base spans, that the dictionary does not explain."""
     found, near = [], [m.start() for m in SENSITIVE.finditer(text)]
@@ -92,10 +111,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
             break
         if near[k] > end + NEAR or any(s < end and start < e for s, e, _ in taken):
             continue
-        token = m.group()
-        if 4 * class_changes(token) < len(token):
-            continue
-        if marginal_bytes(text, start, end) >= NOVELTY * (end - start):
+        if marginal_bytes(text, start, end, copies=False) >= NOVELTY * (end - start):
             found.append((start, end, "novel"))
     return found
 
