@@ -79,3 +79,12 @@ def test_training_helps_held_out_text(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs, F.lit(True), PATH).count() == 0
+
+
+def test_two_rounds_are_the_default_and_help_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    train = F.col("doc_id") % 4 != 1
+    total = lambda **given: lm.score(docs, train, PATH, **given).filter(~train).agg(F.sum("score")).first()[0]
+    one, two = total(rounds=1), total(rounds=2)
+    print("held-out log10 likelihood at sf0.001, one round and two:", one, two)
+    assert two > one and total() == pytest.approx(two, abs=1e-6)

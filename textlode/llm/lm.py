@@ -38,7 +38,7 @@ from textlode.llm.common import ascii_lower, stored, words_of
 
 SPACE_MARK = "▁"
 COMMON = 100_000
-ROUNDS = 1
+ROUNDS = 2
 FLAT = 100.0
 CACHED = 1_000_000
 SHORT = 64  # characters of words that are computed by the batch
