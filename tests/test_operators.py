@@ -151,3 +151,15 @@ def test_every_twentieth_vector_is_asked_in_blocks(spark, monkeypatch, same):
     for r in registry.QUERIES["knn_filtered_topk_whole" if same else "knn_topk_whole"](spark, "/root/testdata/sf0.001").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == want
+
+
+def test_every_vector_is_judged_against_earlier_ones(spark, monkeypatch):
+    from textlode.plans import registry
+
+    monkeypatch.setattr(search, "BLOCK", 100)
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5
+    near = {r.vec_id: [gap(r.embedding, o.embedding) for o in rows if o.label == r.label and o.vec_id < r.vec_id] for r in rows}
+    want = {k: min(d) <= 0.1**0.5 for k, d in near.items() if d}
+    got = {r.vec_id: r.duplicate for r in registry.QUERIES["existing_dups_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and min(got) < 400

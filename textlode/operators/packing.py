@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlode.operators import search
 from textlode.operators.chunking import sentences, tokens_of
 
 
@@ -66,6 +67,24 @@ def brief(ranked: DataFrame, budget: int, per_chunk: int = 3) -> DataFrame:
     return ranked.select("query_id", "query", "item", "text", "score").groupBy("query_id").applyInPandas(choose, schema)
 
 
+def nearest_before(new: DataFrame, old: DataFrame, by: str) -> DataFrame:
+    """vec_id, distance: of each new vector, the nearest earlier one of its group in each block of the old ones."""
+    import numpy as np
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            ids, x = right["vec_id"].to_numpy(), np.stack(right["embedding"].to_numpy()).astype("f8")
+            for vec_id, y in zip(left["vec_id"], left["embedding"], strict=True):
+                earlier = x[ids < vec_id]
+                if len(earlier):
+                    rows.append((vec_id, float(np.sqrt(np.square(earlier - np.asarray(y, "f8")).sum(axis=1)).min())))
+        return pd.DataFrame(rows, columns=["vec_id", "distance"])
+
+    new, old = (v.select(by, "vec_id", "embedding").filter("embedding IS NOT NULL") for v in (new, old))
+    return search.blocked(new, old, ("vec_id", "vec_id"), (new.count(), old.count()), run, "vec_id long, distance double", by)
+
+
 def greedy_distinct(vectors: DataFrame, by: str, least_cosine: float = 0.95, most: int = 500) -> DataFrame:
     """Rows of each small group without those too close to one kept before them; groups above ``most`` rows stay whole."""
     import numpy as np

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
 from textlode.operators import compaction, extract, packing
-from textlode.plans.registry import query
+from textlode.plans.registry import ORACLES, QUERIES, query
 from textlode.plans.relational import MENTIONS_SQL, mentions
 from textlode.plans.retrieval import QUESTIONS, _bm25
 from textlode.sources.tables import CLAIMS_SQL, MESSAGES_SQL, claims, messages, table
@@ -108,15 +110,18 @@ def lease_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH near AS (SELECT a.vec_id, min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b
   ON a.label = b.label AND b.vec_id < a.vec_id GROUP BY 1) SELECT vec_id, d <= sqrt(2 * 0.05::DOUBLE) AS duplicate FROM near WHERE vec_id >= 400""")
-def existing_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is a new vector near one that its collection has? The nearest decides, so no top list is kept."""
+def existing_dups(spark: SparkSession, sf_dir: str, first: int = 400) -> DataFrame:
+    """Is a new vector near one that its collection has? The nearest decides, so blocks send one distance a vector."""
     v = table(spark, sf_dir, "embeddings")
-    new = v.filter("vec_id >= 400").select("vec_id", "label", F.col("embedding").alias("x"))
-    pairs = new.join(v.select(F.col("vec_id").alias("old"), "label", F.col("embedding").alias("y")), "label").filter("old < vec_id")
-    nearest = pairs.groupBy("vec_id").agg(F.min(T.l2_distance(F.col("x"), F.col("y"))).alias("d"))
+    new = v.filter(F.col("vec_id") >= first)
+    nearest = packing.nearest_before(new, v, "label").groupBy("vec_id").agg(F.min("distance").alias("d"))
     return nearest.select("vec_id", (F.col("d") <= (2 * 0.05) ** 0.5).alias("duplicate"))
 
 
+QUERIES["existing_dups_whole"] = partial(existing_dups, first=0)  # every vector against the earlier ones
+ORACLES["existing_dups_whole"] = ORACLES["existing_dups"].replace(" WHERE vec_id >= 400", "")
+
+
 @query()
 def distinct_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.greedy_distinct(table(spark, sf_dir, "embeddings"), "label", 0.8)
