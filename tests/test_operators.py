@@ -163,3 +163,24 @@ def test_every_vector_is_judged_against_earlier_ones(spark, monkeypatch):
     want = {k: min(d) <= 0.1**0.5 for k, d in near.items() if d}
     got = {r.vec_id: r.duplicate for r in registry.QUERIES["existing_dups_whole"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want and min(got) < 400
+
+
+def test_distinct_vectors_of_a_large_group(spark, monkeypatch):
+    import random
+
+    from textlode.operators import packing
+
+    monkeypatch.setattr(search, "BLOCK", 200)
+    rnd, rows = random.Random(4), []
+    for i in range(600):  # one group of over 500 rows, a third of them near copies
+        if i % 3 == 2:
+            rows.append((i, [x + rnd.gauss(0, 0.05) for x in rows[rnd.randrange(i)][1]], 1))
+        else:
+            rows.append((i, [rnd.gauss(0, 1) for _ in range(8)], 1))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    kept = []
+    for i, x, _ in rows:
+        if all(cosine(x, rows[k][1]) < 0.8 for k in kept):
+            kept.append(i)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(r.vec_id for r in packing.greedy_distinct(df, "label", 0.8).collect()) == kept and len(kept) < 500

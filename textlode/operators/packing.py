@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,33 @@ def brief(ranked: DataFrame, budget: int, per_chunk: int = 3) -> DataFrame:
     return ranked.select("query_id", "query", "item", "text", "score").groupBy("query_id").applyInPandas(choose, schema)
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the folder of ``spark.checkpoint.dir``, or a temporary one (tests only)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def close_pairs(vectors: DataFrame, by: str, least_cosine: float) -> DataFrame:
+    """a, b: pairs of one group, a before b, whose cosine reaches the least one; blocks of a group meet blocks."""
+    import numpy as np
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.array([], "i8"), np.array([], "i8"))]
+        if len(left) and len(right):
+            a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            x, y = (np.stack(side["embedding"].to_numpy()).astype("f8") for side in (left, right))
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+            i, j = np.nonzero((x @ y.T >= least_cosine) & (a[:, None] < b[None, :]))
+            out.append((a[i], b[j]))
+        return pd.DataFrame(dict(zip(("a", "b"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    v = vectors.select(by, "vec_id", "embedding").filter("embedding IS NOT NULL")
+    n = v.count()
+    return search.blocked(v, v, ("vec_id", "vec_id"), (n, n), run, "a long, b long", by)
+
+
 def nearest_before(new: DataFrame, old: DataFrame, by: str) -> DataFrame:
     """vec_id, distance: of each new vector, the nearest earlier one of its group in each block of the old ones."""
     import numpy as np
@@ -85,20 +114,19 @@ def nearest_before(new: DataFrame, old: DataFrame, by: str) -> DataFrame:
     return search.blocked(new, old, ("vec_id", "vec_id"), (new.count(), old.count()), run, "vec_id long, distance double", by)
 
 
-def greedy_distinct(vectors: DataFrame, by: str, least_cosine: float = 0.95, most: int = 500) -> DataFrame:
-    """Rows of each small group without those too close to one kept before them; groups above ``most`` rows stay whole."""
-    import numpy as np
+def greedy_distinct(vectors: DataFrame, by: str, least_cosine: float = 0.95) -> DataFrame:
+    """Rows of each group without those too close to one kept before them, whatever the group's size.
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
-        if len(group) > most:
-            return group[["vec_id"]]
-        x = np.stack(group["embedding"].to_numpy()).astype("f8")
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        kept: list[int] = []
-        for i in range(len(x)):
-            if not kept or (x[kept] @ x[i]).max() < least_cosine:
-                kept.append(i)
-        return group.iloc[kept][["vec_id"]]
-
-    return vectors.select(F.col(by), "vec_id", "embedding").groupBy(by).applyInPandas(keep, "vec_id long")
+    A row is kept once all earlier rows close to it are dropped, and dropped once
+    one of them is kept. Each round settles at least the first open row of every
+    chain; what is settled leaves the pairs, until no pair is left.
+    """
+    pairs = durable(close_pairs(vectors, by, least_cosine))
+    dropped = pairs.select(F.col("b").alias("vec_id")).limit(0)
+    while not pairs.isEmpty():
+        firsts = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")  # no earlier row left: kept
+        gone = durable(pairs.join(firsts, "a", "left_semi").select(F.col("b").alias("vec_id")).distinct())
+        dropped = durable(dropped.union(gone))
+        left = pairs.join(gone.select(F.col("vec_id").alias("a")), "a", "left_anti")
+        pairs = durable(left.join(gone.select(F.col("vec_id").alias("b")), "b", "left_anti").select("a", "b"))
+    return vectors.select("vec_id").join(dropped, "vec_id", "left_anti")
