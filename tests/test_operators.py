@@ -184,3 +184,15 @@ def test_distinct_vectors_of_a_large_group(spark, monkeypatch):
             kept.append(i)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted(r.vec_id for r in packing.greedy_distinct(df, "label", 0.8).collect()) == kept and len(kept) < 500
+
+
+def test_texts_are_marked_normalised_and_quoted_whole(spark, tmp_path):
+    from textlode.plans import registry
+
+    long = "x " * 150 + "the  End, und der Schluß"
+    spark.createDataFrame([(1, long, "de", "s", len(long))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, "user", long), (1, 1, "user", "b" * 50), (1, 2, "user", "c")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert run("highlight_whole")[0].marked == "x " * 150 + "**the**  End, und **der** Schluß"
+    assert run("text_functions_whole")[0].normal == "x " * 150 + "the end, und der schluß"
+    assert {r.turn: r.context for r in run("prior_context_whole")} == {1: long, 2: long + " / " + "b" * 50}

@@ -70,12 +70,17 @@ def conversation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, array_to_string(list(left(text, 20)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' / ') AS context FROM conversations QUALIFY turn > 0""")
-def prior_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prior_context(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
-    c = table(spark, sf_dir, "conversations").withColumn("context", F.array_join(F.collect_list(F.substring("text", 1, 20)).over(w), " / "))
+    text = F.col("text") if whole else F.substring("text", 1, 20)
+    c = table(spark, sf_dir, "conversations").withColumn("context", F.array_join(F.collect_list(text).over(w), " / "))
     return c.filter("turn > 0").select("conv_id", "turn", "context")
 
 
+QUERIES["prior_context_whole"] = partial(prior_context, whole=True)
+ORACLES["prior_context_whole"] = ORACLES["prior_context"].replace("left(text, 20)", "text")
+
+
 @query("""SELECT doc_id, lower(name) AS name, 0.6::DOUBLE AS confidence FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS name
   FROM documents WHERE NOT contains(text, '"') AND NOT contains(text, '`')) GROUP BY 1, 2""")
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +182,13 @@ def temporal_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, regexp_replace(left(text, 200), '\\b(der|the|and)\\b', '**\\1**', 'gi') AS marked FROM documents WHERE lang = 'en'""")
-def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return d.select("doc_id", F.regexp_replace(F.substring("text", 1, 200), "(?i)\\b(der|the|and)\\b", "**$1**").alias("marked"))
+def highlight(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    d, text = table(spark, sf_dir, "documents"), F.col("text")
+    if not whole:
+        d, text = d.filter("lang = 'en'"), F.substring("text", 1, 200)
+    # words end at ASCII characters, as in the SQL, whatever the Java version takes for \b
+    return d.select("doc_id", F.regexp_replace(text, "(?i)(?<![A-Za-z0-9_])(der|the|and)(?![A-Za-z0-9_])", "**$1**").alias("marked"))
+
+
+QUERIES["highlight_whole"] = partial(highlight, whole=True)
+ORACLES["highlight_whole"] = ORACLES["highlight"].replace("left(text, 200)", "text").replace(" WHERE lang = 'en'", "")
