@@ -196,3 +196,19 @@ def test_texts_are_marked_normalised_and_quoted_whole(spark, tmp_path):
     assert run("highlight_whole")[0].marked == "x " * 150 + "**the**  End, und **der** Schluß"
     assert run("text_functions_whole")[0].normal == "x " * 150 + "the end, und der schluß"
     assert {r.turn: r.context for r in run("prior_context_whole")} == {1: long, 2: long + " / " + "b" * 50}
+
+
+def test_long_conversations_are_compacted_to_the_end(spark):
+    from textlode.operators import compaction
+
+    schema = "conv_id long, ordinal long, kind string, text string, tokens long"
+    rows = [(1, i, "message", f"{i:03d}" + "x" * 37, 10) for i in range(100)] + [(2, i, "message", "y" * 40, 10) for i in range(6)]
+    got = compaction.compact(spark.createDataFrame(rows, schema), tail=3, size=3, budget=100).collect()
+    long = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.ordinal)
+    assert sum(r.tokens for r in long) <= 100 and [r.kind for r in long[-3:]] == ["message"] * 3 and long[-1].text.startswith("099")
+    assert sum(r.conv_id == 2 for r in got) == 6
+    by_rounds = spark.createDataFrame(rows[:12], schema)
+    for _ in range(4):  # fits after four rounds
+        by_rounds = compaction.compact_round(by_rounds, 3, 3, 60)
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(compaction.compact(spark.createDataFrame(rows[:12], schema), tail=3, size=3, budget=60)) == same(by_rounds)

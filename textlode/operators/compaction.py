@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +44,27 @@ def compact_round(items: DataFrame, tail: int, size: int, budget: int) -> DataFr
     return ranked.filter("NOT fold").select("conv_id", "ordinal", "kind", "text", "tokens").unionByName(made)
 
 
-def compact(items: DataFrame, tail: int = 8, size: int = 4, budget: int = 200, rounds: int = 3) -> DataFrame:
-    """``rounds`` rounds over all conversations; those that fit, or hold nothing to fold, stay as they are."""
-    for _ in range(rounds):
-        items = compact_round(items, tail, size, budget)
-    return items
+def compact(items: DataFrame, tail: int = 8, size: int = 4, budget: int = 200) -> DataFrame:
+    """Rounds as in ``compact_round`` until every conversation fits its budget or makes no progress.
+
+    A conversation's rounds depend on its own items alone, so they run in one pass
+    over it: a long conversation costs no more Spark jobs than a short one.
+    """
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [[k, o, kind, t if isinstance(t, str) else None, int(n) if n == n and n is not None else 0] for k, o, kind, t, n in group.sort_values("ordinal").itertuples(index=False)]
+        total = sum(r[4] for r in rows)
+        while total > budget and len(rows) > tail:
+            old = rows[: min(size, len(rows) - tail)]
+            before = sum(r[4] for r in old)
+            room = max(1, min(max(192, min(1200, math.floor(before * 0.35))), before // 2))
+            text = "\n".join(r[3] for r in old if r[3] is not None)[-room * 4 :]
+            made = [old[0][0], old[0][1], "summary", text, math.ceil(len(text) / 4.0)]
+            if len(old) == 1 and made[4] >= before:  # no progress
+                break
+            rows[: len(old)] = [made]
+            total += made[4] - before
+        return pd.DataFrame(rows, columns=["conv_id", "ordinal", "kind", "text", "tokens"])
+
+    kinds = items.select("conv_id", "ordinal", "kind", "text", "tokens")
+    return kinds.groupBy("conv_id").applyInPandas(fold, kinds.schema)
