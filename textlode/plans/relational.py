@@ -166,8 +166,8 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a text and the first of them: digests are aggregated before they are joined, so copies are not one task's rows."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    first = d.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return d.join(first, "digest").select("doc_id", "first_id", (F.col("doc_id") != F.col("first_id")).alias("duplicate"))
+    first = d.groupBy(F.col("digest").alias("of")).agg(F.min("doc_id").alias("first_id"))
+    return d.join(first, F.col("digest").eqNullSafe(F.col("of"))).select("doc_id", "first_id", (F.col("doc_id") != F.col("first_id")).alias("duplicate"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
