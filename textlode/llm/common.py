@@ -23,29 +23,45 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy that survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    The copy goes to the folder of ``spark.checkpoint.dir``; only a session
-    without one (as in tests) gets a temporary folder.
+    Only a session on this machine alone (as in tests) may leave it unset; it
+    gets a temporary folder then.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if where is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the shared folder, which survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As ``durable``, but as a Parquet table in that folder, for wide rows: it is smaller there."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
-    path = f"{where.rstrip('/')}/{uuid.uuid4()}.parquet"
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name`` with as many underscores before it as it needs to be no column of the frames (case does not tell names apart)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(data: bytes) -> bytes:
     """bytes.lower() touches A-Z only, which is what the contracts ask for."""
     return data.lower()
