@@ -45,7 +45,7 @@ def test_batches_agree_with_single_words():
     sums, spelt, by_number = Counter(), Counter(), np.zeros(len(many.names))
     many.batch_expected([w for w in words if len(w) <= lm.SHORT], [3] * 9, by_number, spelt)
     for w in words:
-        assert abs(many.cache[w.encode()] - one.forward(one.edges(lm.SPACE_MARK + w))[-1]) < 1e-9
+        assert abs(many.cache[w.encode()] - one.forward(lm.SPACE_MARK + w)[-1]) < 1e-9
         if len(w) <= lm.SHORT:
             one.expected(w.encode(), 3, sums)
     for name, n in sums.items():
@@ -66,7 +66,58 @@ def test_base_score_against_brute_force(spark, common):
         ((k, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for k, t in rows), key=repr
     )
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == want
-    assert all(r.score < 0 for r in got)
+    # the score is the words' marginals, the number of words and the end; other than the pieces' weights, all is redone here
+    pieces, spelled = fitted(Counter({w: c for w, c in counts.items() if w is not None}))
+    ends = counts[None]
+    go_on, stop = math.log1p(-(ends + 1) / (n + 2)), math.log((ends + 1) / (n + 2))
+    sums = {w: math.log(math.fsum(map(math.exp, segmentations(lm.SPACE_MARK + w, pieces, spelled)))) for _, t in rows for w in tokens(t) if w}
+    want = sorted(((k, round((sum(sums[w] + go_on for w in tokens(t)[:-1]) + stop) / math.log(10), 6)) for k, t in rows), key=repr)
+    assert sorted(((r.doc_id, round(r.score, 6)) for r in got), key=repr) == want
+
+
+def fitted(counts):
+    """One round of expectation maximisation, by listing every segmentation of every word."""
+    pieces, spelled = lm.read_pieces(PATH)
+    sums = Counter()
+    for word, n in counts.items():
+        text = lm.SPACE_MARK + word
+        ways = []
+
+        def walk(at, used, weight, text=text, ways=ways):
+            if at == len(text):
+                ways.append((used, weight))
+                return
+            for k in range(at + 1, len(text) + 1):
+                if text[at:k] in pieces:
+                    walk(k, used + [text[at:k]], weight + pieces[text[at:k]])
+            letters = list(text[at].encode())
+            walk(at + 1, used + letters, weight + sum(spelled[b] for b in letters))
+
+        walk(0, [], 0.0)
+        total = math.fsum(math.exp(w) for _, w in ways)
+        for used, w in ways:
+            for name in used:
+                sums[name] += n * math.exp(w) / total
+    new = {p: sums[p] + lm.PSEUDO * math.exp(w) for p, w in pieces.items()}
+    bytes_ = [sums[b] + lm.PSEUDO * math.exp(w) for b, w in enumerate(spelled)]
+    total = math.fsum([*new.values(), *bytes_])
+    return {p: math.log(x / total) for p, x in new.items()}, [math.log(x / total) for x in bytes_]
+
+
+def test_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1 + i % 50) for i in range(1000)], "word string, n long")
+    for common in (0, 19, 20, 500, 5000):
+        found = lm.frequent_words(counts, common)
+        assert len(found) <= common and all(n >= 1 for n in found.values())
+        rest = [1 + i % 50 for i in range(1000) if f"w{i}".encode() not in found]
+        assert not found or not rest or min(found.values()) > max(rest)
+    assert len(lm.frequent_words(counts, 5000)) == 1000
+
+
+def test_a_very_long_word(spark):
+    docs = spark.createDataFrame([(1, "ab" * 100_000 + " word"), (2, "word")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs, F.lit(True), PATH).collect()}
+    assert got[1].n_tokens == 3 and got[1].score < 20 * got[2].score
 
 
 def test_training_helps_held_out_text(spark):

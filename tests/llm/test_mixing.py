@@ -65,6 +65,22 @@ def test_take_gives_what_the_mix_says(spark):
     assert found == Counter({k: n for k, n in plan.items() if n})
 
 
+def test_take_with_clashing_names(spark):
+    names = ["whole", "last", "of_source", "_copy", "passes", "front", "copy", "place", "size", "part", "Copy_", "running"]
+    docs = spark.createDataFrame([(i, "a b c " * i, "ab"[i % 2]) for i in range(30)], "doc_id long, text string, source string")
+    docs = docs.selectExpr("*", *(f"'{n}' AS `{n}`" for n in names))
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns
+    assert Counter(r.doc_id for r in taken.collect()) == Counter(r.doc_id for r in mixing.take(docs.select("doc_id", "text", "source")).collect())
+    assert all(r[n] == n for r in taken.collect() for n in names)
+
+
+@pytest.mark.parametrize("rows", [1, 10])
+def test_number_of_ranges_changes_nothing(spark, rows):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), "abc"[i % 3]) for i in range(3000)], "doc_id long, text string, source string")
+    assert sorted(map(tuple, mixing.mix(docs, range_rows=rows).collect())) == sorted(map(tuple, mixing.mix(docs).collect()))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).count() == 0 and mixing.take(docs).count() == 0

@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from textlode.llm import toxicity
@@ -35,6 +37,56 @@ def test_held_out_accuracy_and_rerun(spark):
     assert np.mean(hits) > 0.97
 
 
+def ftrl(rows, s):
+    """FTRL-proximal one coordinate at a time, over sets of places."""
+    z, n = {}, {}
+
+    def weight(i):
+        least = 0.0 if i == 0 else s.l1
+        if abs(z.get(i, 0.0)) <= least:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * least) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for places, y in rows:
+            w = {i: weight(i) for i in places}
+            p = 1 / (1 + math.exp(-sum(w.values())))
+            for i in places:
+                g, before = p - y, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / s.alpha * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i) != 0.0}
+
+
+def test_against_scalar_ftrl(spark):
+    data = rows(150, seed=4) + [(150, None, 0), (151, "", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id long, quality int, toxic int")
+    settings = toxicity.Settings(bits=12, l1=0.5, epochs=3)
+    order = [r.doc_id for r in labels.filter("doc_id < 120").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    features, by_id = toxicity.Features(12), {i: (t, y) for i, t, y in data}
+    want = ftrl([(features.places(by_id[i][0]).tolist(), by_id[i][1]) for i in order], settings)
+    got = toxicity.fit(docs, labels, F.col("doc_id") < 120, settings)
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    for r in toxicity.score(docs, got, settings).collect():
+        total = sum(want.get(i, 0.0) for i in features.places(by_id[r.doc_id][0]).tolist())
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_places_are_hashed_grams_and_skip_grams():
+    """Words, fronts of words, neighbours and words with one between, each by its own hash."""
+    odd, wide = 0x9E3779B97F4A7C15, 1 << 64
+    name = lambda w: xxhash.xxh3_64_intdigest(w.encode())
+    text = "Some of, THE unreadable unreadably x"
+    words = ["some", "of", "the", "unreadable", "unreadably", "x"]
+    every = [name(w) for w in words] + [(name(a) * odd + name(b)) % wide for a, b in zip(words, words[1:], strict=False)]
+    every += [(name(a) * odd + name(b) + 1) % wide for a, b in zip(words, words[2:], strict=False)]
+    every += [(name(w[:n]) + 2) % wide for n in toxicity.STEMS for w in words if len(w) > n]
+    want = {0} | {(x * odd % wide) >> (64 - 18) for x in every}
+    assert set(toxicity.Features(18).places(text).tolist()) == want
+
+
 def test_bound_on_rows(spark):
     data = rows(100)
     docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")

@@ -4,27 +4,33 @@ An existing subword vocabulary weighs the segmentations of each word: a word's
 probability is the sum over all segmentations of the product of their pieces'
 probabilities, found by a forward recursion in log space over the lattice of
 pieces. A text is a row of words, each drawn from that model, and an end. The
-vocabulary file stores merge ranks as scores; they give a first weight
-1 / (rank + ``flat``) to each piece. ``rounds`` passes of expectation
+vocabulary file stores merge ranks as scores; they give a weight
+1 / (rank + ``FLAT``) to each piece. ``rounds`` passes of expectation
 maximisation over the counts of the training words fit the weights to the
-corpus; each pass sums expected piece counts, one number for each piece of the
-vocabulary, whatever the data.
+corpus, with the vocabulary's own weights as ``PSEUDO`` counts beside the
+expected ones; each pass sums expected piece counts, one number for each piece
+of the vocabulary, whatever the data.
 
 Beside it stands the base score of add-one word counts. All training rows are
-counted, map-side first. Counts of the ``common`` most frequent words (a fixed
-number) are broadcast; each text sends its other words, which are few, to be
+counted, map-side first. Counts of at most ``common`` words, those above the
+least count that leaves no more (found from a histogram of counts, some hundred
+rows), are broadcast; each text sends its other words, which are few, to be
 joined with the full table of counts. So the vocabulary of the corpus may grow
 without bound, and a hot word moves no rows.
 
 Null and blank texts have no words and score the end alone. Characters outside
 the vocabulary are spelled in its byte pieces. Words of n characters take
-n * (longest piece) steps; short words of one length are computed together. Repeated rows get repeated scores. Without training
-rows N and V are 0 and the base score of a token is log10(1).
+n * (longest piece) steps; short words of one length are computed together, long
+ones keep one number for each character. Repeated rows get repeated scores.
+Without training rows N and V are 0 and the base score of a token is log10(1). A
+table without rows gives none. Columns other than doc_id, text and those that
+``train`` names are not read.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,6 +46,9 @@ SPACE_MARK = "▁"
 COMMON = 100_000
 ROUNDS = 2
 FLAT = 100.0
+PSEUDO = 1_000.0
+#: Steps of the histogram of counts for each power of two.
+STEPS = 8
 CACHED = 1_000_000
 SHORT = 64  # characters of words that are computed by the batch
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,25 +92,22 @@ class Lattice:
             self.tables[size] = hashes[order], np.array([pieces[self.names[i]] for i in numbers.tolist()]), numbers
             self.powers[size] = power[0]
 
-    def edges(self, text: str) -> list[list[tuple[int, float, str | None]]]:
-        """For each end, (start, log weight, piece) of the edges; a piece of None spells a character in bytes."""
-        get, out = self.pieces.get, []
+    def edges(self, text: str, end: int) -> list[tuple[int, float, str | None]]:
+        """(start, log weight, piece) of the edges to ``end``; a piece of None spells a character in bytes."""
+        get, found = self.pieces.get, []
+        for start in range(max(0, end - self.longest), end):
+            piece = text[start:end]
+            w = get(piece)
+            if w is not None:
+                found.append((start, w, piece))
+        found.append((end - 1, sum(self.spelled[b] for b in text[end - 1].encode("utf-8", "replace")), None))
+        return found
+
+    def forward(self, text: str) -> array:
+        """For each end, the logarithm of the summed weights of the segmentations up to it."""
+        alpha = array("d", [0.0])
         for end in range(1, len(text) + 1):
-            found = []
-            for start in range(max(0, end - self.longest), end):
-                piece = text[start:end]
-                w = get(piece)
-                if w is not None:
-                    found.append((start, w, piece))
-            found.append((end - 1, sum(self.spelled[b] for b in text[end - 1].encode("utf-8", "replace")), None))
-            out.append(found)
-        return out
-
-    @staticmethod
-    def forward(edges: list) -> list[float]:
-        alpha = [0.0]
-        for found in edges:
-            values = [alpha[s] + w for s, w, _ in found]
+            values = [alpha[s] + w for s, w, _ in self.edges(text, end)]
             top = max(values)
             alpha.append(top + math.log(sum([math.exp(v - top) for v in values])))
         return alpha
@@ -115,7 +121,7 @@ class Lattice:
                 yield places, np.frombuffer(joined.encode("utf-32-le"), "<u4").reshape(len(places), n).astype("u8")
 
     def batch_edges(self, codes: np.ndarray) -> tuple[list[list[tuple]], np.ndarray, np.ndarray]:
-        """As ``edges`` for words of one length: for each end, (start, weights, pieces' numbers or None)."""
+        """As ``edges`` for words of one length and every end: (start, weights, pieces' numbers or None)."""
         n = codes.shape[1]
         prefix = np.zeros((codes.shape[0], n + 1), "u8")
         for k in range(n):
@@ -156,7 +162,7 @@ class Lattice:
         texts = [w.decode() for w in words]
         short = [i for i, t in enumerate(texts) if len(t) <= SHORT]
         for i in set(range(len(texts))).difference(short):
-            self.cache[words[i]] = self.forward(self.edges(SPACE_MARK + texts[i]))[-1]
+            self.cache[words[i]] = self.forward(SPACE_MARK + texts[i])[-1]
         if short:
             for places, codes in self.by_length([texts[i] for i in short]):
                 last = self.batch_forward(self.batch_edges(codes)[0], len(places))[-1].tolist()
@@ -195,14 +201,13 @@ class Lattice:
     def expected(self, word: bytes, count: int, into: Counter) -> None:
         """Adds the word's expected piece counts, times its count; bytes count under their number."""
         text = SPACE_MARK + word.decode()
-        edges = self.edges(text)
-        alpha = self.forward(edges)
-        beta = [-math.inf] * len(alpha)
+        alpha = self.forward(text)
+        beta = array("d", [-math.inf]) * len(alpha)
         beta[-1] = 0.0
         for end in range(len(alpha) - 1, 0, -1):
             if beta[end] == -math.inf:
                 continue
-            for start, w, piece in edges[end - 1]:
+            for start, w, piece in self.edges(text, end):
                 value = w + beta[end]
                 share = count * math.exp(alpha[start] + value - alpha[-1])
                 if share > 1e-9:
@@ -220,8 +225,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def reweighted(counts: DataFrame, pieces: dict, spelled: list) -> tuple[dict, list]:
-    """One round of expectation maximisation over word counts."""
+def reweighted(counts: DataFrame, pieces: dict, spelled: list, prior: tuple[dict, list]) -> tuple[dict, list]:
+    """One round of expectation maximisation over word counts; ``prior``: the vocabulary's own weights, as pseudo-counts."""
     shared = counts.sparkSession.sparkContext.broadcast((pieces, spelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +247,25 @@ def reweighted(counts: DataFrame, pieces: dict, spelled: list) -> tuple[dict, li
 
     sums = counts.select("word", "n").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     found = {r.piece: r.n for r in sums.collect()}  # a number for each piece of the vocabulary at most
-    weight = lambda name: found.get(name, 0.0) + 0.01
-    total = sum(weight("=" + p) for p in pieces) + sum(weight(f"{b:02x}") for b in range(256))
-    new = {p: math.log(weight("=" + p) / total) for p in pieces}
-    return new, [math.log(weight(f"{b:02x}") / total) for b in range(256)]
+    of_piece = {p: found.get("=" + p, 0.0) + PSEUDO * math.exp(w) for p, w in prior[0].items()}
+    of_byte = [found.get(f"{b:02x}", 0.0) + PSEUDO * math.exp(w) for b, w in enumerate(prior[1])]
+    total = math.log(math.fsum([*of_piece.values(), *of_byte]))
+    return {p: math.log(n) - total for p, n in of_piece.items()}, [math.log(n) - total for n in of_byte]
+
+
+def frequent_words(counts: DataFrame, common: int) -> dict[bytes, int]:
+    """Counts of at most ``common`` words, all that occur often enough."""
+    step = F.floor(F.log2("n") * STEPS).alias("step")
+    sizes = {r.step: r.words for r in counts.groupBy(step).agg(F.count("*").alias("words")).collect()}  # STEPS rows a power of two
+    least, held = None, 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > common:
+            break
+        least = k
+    if least is None:
+        return {}
+    return {r.word.encode(): r.n for r in counts.filter(step >= least).collect()}
 
 
 def first_pass(docs: DataFrame, shared, p_end: float, known_end: int) -> DataFrame:
@@ -300,10 +320,10 @@ def score(docs: DataFrame, train: Column, path: str, rounds: int = ROUNDS, commo
     rows = training.count()
     types, words = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_total, n_types = words + rows, types + (rows > 0)
-    pieces, spelled = read_pieces(path)
+    pieces, spelled = prior = read_pieces(path)
     for _ in range(rounds if words else 0):
-        pieces, spelled = reweighted(counts, pieces, spelled)
-    frequent = {r.word.encode(): r.n for r in counts.orderBy(F.desc("n"), "word").limit(common).collect()}
+        pieces, spelled = reweighted(counts, pieces, spelled, prior)
+    frequent = frequent_words(counts, common)
     shared = docs.sparkSession.sparkContext.broadcast({"weights": (pieces, spelled), "frequent": frequent})
     alone = stored(first_pass(docs, shared, (rows + 1) / (n_total + 2), int(rows > 0)))
     rare = alone.select("doc_id", "version", F.explode(F.arrays_zip("rare", "rare_tf")).alias("x"))

@@ -4,9 +4,14 @@ Pictures are resized by areas from integral images, which are exact for any
 ratio, described by a difference hash, and cut to tiles that are stored in NPY
 form. Everything works on one row at a time, so memory is that of one picture.
 
-Null bytes and bytes of no known form give a null picture (``decode`` raises
-ValueError, the column functions return nulls). Pictures need not be a multiple
-of the tile size: border tiles are smaller. A picture of one pixel has a hash.
+Null bytes, bytes of no known form and malformed pictures (no pixels, samples
+above the maximum, a palette or rows that are too short) give a null picture:
+``decode`` raises ValueError, the column functions return nulls. Samples whose
+maximum is not 255 or 65535 are scaled to that range. Pictures need not be a
+multiple of the tile size: border tiles are smaller. A picture of one pixel has a
+hash. Null and empty texts are stored as one row of spaces; repeated rows give
+repeated rows, and a table without rows none. Texts of any length are stored
+whole. Columns other than the key and the text or media are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ def _header(data: bytes, fields: int) -> tuple[list[int], int]:
     """Numbers after the two magic bytes, with comments skipped, and the offset past one white space."""
     values, at = [], 2
     while len(values) < fields:
-        m = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)").match(data, at)
-        if m is None:
+        m = re.compile(rb"(?:\s|#[^\n]*\n)*+(\d+)").match(data, at)
+        if m is None or len(m[1]) > 9:
             raise ValueError("not a Netpbm header")
         values.append(int(m[1]))
         at = m.end()
@@ -39,42 +44,72 @@ def _header(data: bytes, fields: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (height, width, channels); 16-bit samples stay 16-bit."""
+    """P1 to P6 as (height, width, channels); samples have 8 bits, or 16 if their maximum is above 255."""
     kind = data[1:2]
     bits, plain, channels = kind in b"14", kind in b"123", 3 if kind in b"36" else 1
-    (width, height, *most), at = _header(data, 2 if bits else 3)
-    n = width * height * channels
+    (width, height, *rest), at = _header(data, 2 if bits else 3)
+    most, n = rest[0] if rest else 1, width * height * channels
+    if n == 0 or not 0 < most < 65536:
+        raise ValueError("no pixels, or no such maximum")
+    bytes_of = 0.125 if bits and not plain else 2 if most > 255 and not plain else 1
+    if len(data) - at + 1 < n * bytes_of:  # a plain sample takes a byte at least
+        raise ValueError("short picture")
     if plain:
         body = re.sub(rb"#[^\n]*", b"", data[at - 1 :])
-        values = re.findall(rb"[01]", body) if bits else body.split()
-        samples = np.array(values[:n], dtype="u2")
+        values = (re.findall(rb"[01]", body) if bits else body.split())[:n]
+        if not all(v.isdigit() and len(v) < 10 for v in values):
+            raise ValueError("not a number")
+        samples = np.array(values, dtype="i8")
     elif bits:
         stride = (width + 7) // 8
+        if len(data) < at + stride * height:
+            raise ValueError("short picture")
         packed = np.frombuffer(data, "u1", stride * height, at).reshape(height, stride)
-        samples = np.unpackbits(packed, axis=1)[:, :width].astype("u2").ravel()
+        samples = np.unpackbits(packed, axis=1)[:, :width].astype("i8").ravel()
     else:
-        samples = np.frombuffer(data, "u1" if most[0] < 256 else ">u2", n, at)
+        samples = np.frombuffer(data[at:], "u1" if most < 256 else ">u2", n)
     if len(samples) < n:
         raise ValueError("short picture")
+    if samples.max() > most:
+        raise ValueError("a sample above the maximum")
+    full = 65535 if most > 255 else 255
     if bits:
         samples = np.where(samples == 1, 0, 255)
-    wide = not bits and most[0] > 255
-    return samples.astype("u2" if wide else "u1").reshape(height, width, channels)
+    elif most != full:
+        samples = (samples.astype("i8") * full + most // 2) // most
+    return samples.astype("u2" if most > 255 else "u1").reshape(height, width, channels)
+
+
+def _masked(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The 8-bit samples that a mask takes from 32-bit pixels."""
+    if mask == 0:
+        raise ValueError("an empty mask")
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return ((((pixels & np.uint32(mask)) >> np.uint32(low)).astype("u8") * np.uint64(255) + np.uint64(most // 2)) // np.uint64(most)).astype("u1")
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed 8-bit (palette), 24-bit and 32-bit BMP as RGB."""
+    """Uncompressed 8-bit (palette), 24-bit and 32-bit BMP, masks included, as RGB."""
     offset, size, width, height, _, depth, packing = struct.unpack_from("<I", data, 10) + struct.unpack_from("<IiiHHI", data, 14)
-    if packing not in (0, 3) or depth not in (8, 24, 32):
+    if packing not in (0, 3) or depth not in (8, 24, 32) or (packing == 3 and depth != 32) or size < 40:
         raise ValueError("unsupported BMP")
     rows, stride = abs(height), (width * depth // 8 + 3) // 4 * 4
-    if len(data) < offset + rows * stride:
+    if width < 1 or rows < 1 or len(data) < offset + rows * stride:
         raise ValueError("short picture")
-    body = np.frombuffer(data, "u1", rows * stride, offset).reshape(rows, stride)[:, : width * depth // 8]
+    body = np.frombuffer(data[offset : offset + rows * stride], "u1").reshape(rows, stride)[:, : width * depth // 8]
     body = body[::-1] if height > 0 else body
     if depth == 8:
-        colours = np.frombuffer(data, "u1", (offset - 14 - size) // 4 * 4, 14 + size).reshape(-1, 4)
+        colours = np.frombuffer(data[14 + size : max(14 + size, offset)], "u1")
+        colours = colours[: len(colours) // 4 * 4].reshape(-1, 4)
+        if body.max() >= len(colours):
+            raise ValueError("a pixel outside the palette")
         return colours[body][:, :, 2::-1].copy()
+    if packing == 3:
+        if len(data) < 66:
+            raise ValueError("no masks")
+        pixels = np.ascontiguousarray(body).view("<u4")
+        return np.stack([_masked(pixels, m) for m in struct.unpack_from("<III", data, 54)], axis=2)
     return body.reshape(rows, width, depth // 8)[:, :, 2::-1].copy()
 
 

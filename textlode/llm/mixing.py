@@ -10,9 +10,9 @@ the front of that order, up to the row whose middle passes the target. So the
 words taken differ from the target by half of one row at most.
 
 Sizes are summed map-side, so a source with a third of all rows moves one row a
-task. The order inside a source is dealt to ``buckets`` hash ranges; a table of
-source x bucket sums carries the running total from one to the next, and no task
-holds a whole source.
+task. The order inside a source is dealt to hash ranges, as many as the counted rows
+ask for; a table of source x bucket sums carries the running total from one to
+the next, and no task holds a whole source.
 
 Null or blank text has size 0 and is taken with 0 words; a null source is a
 source of its own, last in order; repeated rows count each; sources of size 0
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlode.llm.common import WORD, durable
+from textlode.llm.common import WORD, durable, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -60,7 +60,7 @@ def position(key: Column, seed: str) -> Column:
 
 def planned(
     docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple = WEIGHTS, seed: str = "mix:",
-    bucket_digits: int = 2,
+    range_rows: int = 100_000,
 ) -> DataFrame:
     """doc_id, source, size, place, source_size, target, whole, part of every row of (doc_id, text, source).
 
@@ -69,7 +69,10 @@ def planned(
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     place = position(F.col("doc_id"), seed)
     sized = durable(docs.select("doc_id", "source", size.alias("size"), place.alias("place")))
-    bucketed = sized.withColumn("bucket", F.substring("place", 1, bucket_digits))
+    digits, rows = 2, sized.count()
+    while rows > range_rows * 16**digits:  # if all rows were of one source
+        digits += 1
+    bucketed = sized.withColumn("bucket", F.substring("place", 1, digits))
     sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ranked = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -102,8 +105,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
     Settings: ``share`` of all sizes that is wanted, ``max_epochs``, ``weights``
     (repeated over the sources in code point order), ``seed``, and
-    ``bucket_digits``, the hexadecimal digits of the order's hash that deal a
-    source to 16 ** digits ranges.
+    ``range_rows``, the rows of a range of the order's hash, on average at most.
     """
     copies = F.col("whole") + F.col("part").cast("long")
     plan = planned(docs, **settings).withColumn("copies", copies)
@@ -122,16 +124,16 @@ def take(docs: DataFrame, **settings) -> DataFrame:
     Rows that share place, id and size with the last one taken are taken too.
     """
     place = F.struct("place", F.col("doc_id").alias("id"), "size")
-    sources = planned(docs, **settings).groupBy(F.col("source").alias("of_source")).agg(
-        F.max("whole").alias("whole"), F.max(F.when(F.col("part"), place)).alias("last")
+    source, passes, front, copy = (unused(n, docs) for n in ("of_source", "passes", "front", "copy"))
+    sources = planned(docs, **settings).groupBy(F.col("source").alias(source)).agg(
+        F.max("whole").alias(passes), F.max(F.when(F.col("part"), place)).alias(front)
     )
     sources = durable(sources)
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own = F.struct(position(F.col("doc_id"), settings.get("seed", "mix:")).alias("place"), F.col("doc_id").alias("id"), size.alias("size"))
-    copies = F.col("whole") + F.coalesce(own <= F.col("last"), F.lit(False)).cast("long")
-    columns = docs.columns
-    joined = docs.join(sources, F.col("source").eqNullSafe(F.col("of_source")))
+    copies = F.col(passes) + F.coalesce(own <= F.col(front), F.lit(False)).cast("long")
+    joined = docs.join(sources, F.col("source").eqNullSafe(F.col(source)))
     repeated = F.explode(F.when(size == 0, F.array().cast("array<long>")).otherwise(F.array_repeat(F.lit(1).cast("long"), copies.cast("int"))))
-    return joined.select(*columns, repeated.alias("_copy")).select(*columns)
+    return joined.withColumn(copy, repeated).drop(source, passes, front, copy)

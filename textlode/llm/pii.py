@@ -8,11 +8,15 @@ ssn) only from ``LEAST_SCORE`` on.
 The patterns are linear: possessive groups do not recurse, and look-behinds let
 a run of characters be tried once. Where a pattern's minimal length was moved
 into it, runs that are too short fail anyway. Positions are sums of the lengths
-of matches and of the pieces between them.
+of matches and of the pieces between them. Sums run in two levels, and stretches
+of a text are cut from pieces of ``PIECE`` code points, so that neither many
+matches nor a very long text make the work grow with a square.
 
 Null text counts as empty and has no spans. Each kind's spans are leftmost and do
 not overlap; a match that fails its check is consumed. Repeated rows repeat their
-spans. Positions are code points, end exclusive.
+spans. Positions are code points, end exclusive. A table without rows gives none.
+``digests`` reads doc_id and text only, whatever other columns are named;
+``find`` adds (or replaces) base and added, ``mask`` replaces the text.
 """
 
 from __future__ import annotations
@@ -85,30 +89,56 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Elements that one level of a running sum takes, and code points of a piece of text.
+LEVEL, PIECE = 256, 512
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of int that is not empty, by chunks and then over the chunks."""
+    sums = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(LEVEL))
+    inner = F.transform(starts, lambda at: F.slice(sums(F.slice(values, at, F.lit(LEVEL))), 2, LEVEL))
+
+    def joined(chunks: Column) -> Column:
+        before = F.slice(sums(F.transform(chunks, lambda c: F.element_at(c, -1))), 1, F.size(chunks))
+        return F.flatten(F.zip_with(chunks, before, lambda c, more: F.transform(c, lambda v: v + more)))
+
+    return let(inner, joined)
+
+
+def in_pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (from 0, exclusive, beyond the end allowed) of the text in ``pieces``."""
+    start = F.greatest(start, F.lit(0))
+    first = F.floor(start / PIECE).cast("int")
+    count = F.floor((end - 1) / PIECE).cast("int") - first + 1
+    whole = F.array_join(F.slice(pieces, first + 1, F.greatest(count, F.lit(0))), "")
+    return F.when(end > start, F.substring(whole, start - first * PIECE + 1, end - start)).otherwise("")
+
+
 def spans_of_kind(kind: str, text: Column) -> Column:
     """Array of (kind, start, end, value, score) of the confirmed matches of one kind."""
     pattern = PATTERNS[kind]
 
     def placed(found: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
-        ends = let(
-            pieces,
-            lambda p: F.aggregate(
-                F.zip_with(found, F.slice(p, 1, F.size(found)), lambda m, gap: F.length(gap) + F.length(m)),
-                F.array(F.lit(0)),
-                lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n),
-            ),
-        )
-        spans = F.zip_with(
-            found, F.slice(ends, 2, F.size(found)), lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"))
-        )
-        around = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - (NEAR - 1), F.lit(1)), s["end"] - s["start"] + 2 * NEAR))
-        score = lambda s: F.lit(SCORES[kind]) + F.when(around(s).rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
+        gaps = F.split(text, pattern, -1)
+        lengths = let(gaps, lambda g: F.zip_with(found, F.slice(g, 1, F.size(found)), lambda m, gap: F.length(gap) + F.length(m)))
+        ends = let(lengths, running)
+        spans = F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
         checked = F.filter(spans, lambda s: confirmed(kind, s["value"]))
-        return F.transform(
-            checked,
-            lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score(s).alias("score")),
-        )
+
+        def scored(pieces: Column) -> Column:
+            around = lambda s: F.concat(cut(pieces, s["start"] - NEAR, s["start"]), s["value"], cut(pieces, s["end"], s["end"] + NEAR))
+            score = lambda s: F.lit(SCORES[kind]) + F.when(F.lower(around(s)).rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
+            return F.transform(
+                checked,
+                lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score(s).alias("score")),
+            )
+
+        return let(in_pieces(text), scored)
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -129,12 +159,13 @@ def written(spans: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row for each document: counts by base kind, a digest of the base spans, and all spans."""
+    """A row for each document: counts by base kind, a digest of the base spans, all spans and their scores, in one order."""
     found = find(docs.select("doc_id", "text"))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{k}") for k in BASE]
     sha = F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, sha, written(F.concat("base", "added")).alias("spans"))
+    scores = F.array_join(F.transform(F.concat("base", "added"), lambda s: F.format_number(s["score"], 1)), ",")
+    return found.select("doc_id", *counts, sha, written(F.concat("base", "added")).alias("spans"), scores.alias("scores"))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -142,18 +173,28 @@ def masked(text: Column, spans: Column) -> Column:
     ordered = lambda found: F.array_sort(
         found, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
     )
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"))
+    empty = F.array().cast("array<string>")
+
+    def cover(pieces: Column, found: Column) -> Column:
+        """Parts in an array: chunks of spans become one string each, so that no array or string is copied for each span."""
+
+        def step(acc: Column, s: Column) -> Column:
+            more = F.concat(acc["parts"], F.array(cut(pieces, acc["at"], s["start"]), F.concat(F.lit("<"), s["kind"], F.lit(">"))))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["parts"]).alias("parts"))
+
+        def chunk(acc: Column, at: Column) -> Column:
+            begin = F.struct(acc["at"].alias("at"), empty.alias("parts"))
+            done = F.aggregate(F.slice(found, at, F.lit(LEVEL)), begin, step)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["parts"], F.array_join(d["parts"], "")).alias("parts")))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] + 1 >= acc["at"]
-        gap = F.substring(text, acc["at"], s["start"] + 1 - acc["at"])
-        more = F.concat(acc["parts"], F.array(gap, F.concat(F.lit("<"), s["kind"], F.lit(">"))))
-        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), F.when(apart, more).otherwise(acc["parts"]).alias("parts"))
+        def end(acc: Column) -> Column:
+            return F.concat(F.array_join(acc["parts"], ""), cut(pieces, acc["at"], F.length(text)))
 
-    def end(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"], 2147483647))
+        starts = F.sequence(F.lit(1), F.size(found), F.lit(LEVEL))
+        return F.aggregate(starts, F.struct(F.lit(0).alias("at"), empty.alias("parts")), chunk, end)
 
-    return let(spans, lambda found: F.when(F.size(found) == 0, text).otherwise(F.aggregate(ordered(found), start, step, end)))
+    covered = lambda found: let(ordered(found), lambda o: let(in_pieces(text), lambda p: cover(p, o)))
+    return let(spans, lambda found: F.when(F.size(found) == 0, text).otherwise(covered(found)))
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:

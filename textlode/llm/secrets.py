@@ -3,20 +3,26 @@
 Base spans come from three patterns: values assigned to names such as password
 or token, access key ids, and runs of hexadecimal digits. Beside them, every
 long token near a sensitive word is judged by dictionary-primed Zstandard: the
-token is compressed with a dictionary of the code around it (all its copies
-removed) and of common identifiers, and what it adds to an empty frame is its
-novelty in bytes. Words, identifiers and paths that the dictionary holds cost a
-few bytes; a random key costs nearly its own length, whatever its alphabet.
-Short frames hold unknown text as it is, so a name of parts that neither
-dictionary holds is reported too: a key is never dropped for its looks. Tokens
-that do not compress are reported as ``novel``.
+text around it is compressed, with a dictionary of common identifiers, once with
+the token and once without (its other copies removed from both), and the bytes
+that it adds are its novelty. Names, paths and words are cheap, as the dictionary
+or the text around explains their parts or their letters; a random key costs
+nearly its own length, whatever its alphabet. Tokens that do not compress are
+reported as ``novel``; a key is never dropped for its looks.
+
+Candidates inside base spans are measured as all others; base spans stay whatever
+their measure is. Tokens below 20 characters are not measured: long ordinary
+words do not compress either.
 
 Each text is scanned whole, row by row. Null text counts as empty and has no
-spans. Spans are code points, end exclusive. Repeated rows repeat their spans.
+spans. Spans are code points, end exclusive. Repeated rows repeat their spans; a
+table without rows gives none. Columns other than the key and the text are not
+read. Texts of any length are scanned in one pass.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -70,8 +76,8 @@ IDENTIFIERS = (
     "/application/config/ /modules/module1 /node_modules/ "
 ).encode()
 NEAR = 80  # code points around a candidate in which a sensitive word must stand
-AROUND = 1024  # code points of surrounding text in the dictionary
-NOVELTY = 0.72  # compressed bytes a byte; base64 of random bytes has 0.75, hexadecimal 0.5
+AROUND = 1024  # code points on each side that are compressed with a candidate
+NOVELTY = 0.66  # added bytes a byte; random letters of one case have some 0.75 where text around them is of such letters
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -81,24 +87,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def frame_bytes(data: bytes, primer: bytes) -> int:
-    words = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+@functools.cache
+def compressor() -> zstandard.ZstdCompressor:
+    words = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     settings = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(zstandard.ZstdCompressor(dict_data=words, compression_params=settings).compress(data))
+    return zstandard.ZstdCompressor(dict_data=words, compression_params=settings)
 
 
-def marginal_bytes(text: str, start: int, end: int, copies: bool = True) -> int:
-    """Bytes that text[start:end] adds to a frame whose dictionary holds identifiers and the text around it, with or without its other copies."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    if not copies:
-        before, after = (x.replace(text[start:end], "\n") for x in (before, after))
-    around = before + "\n" + after
-    primer = IDENTIFIERS + b"\n" + around.encode()
-    return max(0, frame_bytes(text[start:end].encode(), primer) - frame_bytes(b"", primer))
+def marginal_bytes(text: str, start: int, end: int) -> int:
+    """Bytes that text[start:end] adds to the compressed text around it, which holds none of its other copies."""
+    token = text[start:end]
+    before, after = (x.replace(token, "\n") for x in (text[max(0, start - AROUND) : start], text[end : end + AROUND]))
+    size = lambda x: len(compressor().compress(x.encode()))
+    return size(before + token + after) - size(before + after)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates near a sensitive word, outside the base spans, that the dictionary does not explain."""
+def measured(text: str) -> list[tuple[int, int, float]]:
+    """Candidates near a sensitive word, each with its compressed bytes a byte."""
     found, near = [], [m.start() for m in SENSITIVE.finditer(text)]
     if not near:
         return found
@@ -109,19 +114,22 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
             k += 1
         if k == len(near):
             break
-        if near[k] > end + NEAR or any(s < end and start < e for s, e, _ in taken):
-            continue
-        if marginal_bytes(text, start, end, copies=False) >= NOVELTY * (end - start):
-            found.append((start, end, "novel"))
+        if near[k] <= end + NEAR:
+            found.append((start, end, marginal_bytes(text, start, end) / (end - start)))
     return found
 
 
+def novel_spans(text: str) -> list[tuple[int, int, str]]:
+    """Candidates that the dictionary does not explain."""
+    return [(start, end, "novel") for start, end, novelty in measured(text) if novelty >= NOVELTY]
+
+
 def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and all spans, by start, then kind as listed."""
     text = text or ""
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     base = sorted(base_spans(text), key=order)
-    return base, sorted(base + novel_spans(text, base), key=order)
+    return base, sorted(base + novel_spans(text), key=order)
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
@@ -129,13 +137,18 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each span: key, kind, start, end, value."""
+    """A row for each span: key, kind, start, end, value, and novelty (compressed bytes a byte, of novel ones)."""
 
     def make():
-        return lambda k, t: [(k, kind, s, e, t[s:e]) for s, e, kind in spans_of(t)[1]]
+        def one(k, t):
+            novelty = {(s, e): x for s, e, x in measured(t or "")}
+            return [(k, kind, s, e, t[s:e], novelty[s, e] if kind == "novel" else None) for s, e, kind in spans_of(t)[1]]
+
+        return one
 
     kind = df.schema[key].dataType.simpleString()
-    return map_rows(df.select(F.col(key), F.col(text)), make, f"`{key}` {kind}, kind string, start long, end long, value string", many=True)
+    schema = f"`{key}` {kind}, kind string, start long, end long, value string, novelty double"
+    return map_rows(df.select(F.col(key), F.col(text)), make, schema, many=True)
 
 
 def digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
