@@ -23,6 +23,21 @@ def test_bm25_of_a_known_index(spark):
     assert [r.doc_id for r in search.bm25(docs, search.query_table(spark, ["cafe"]), 1).collect()] == [4]
 
 
+@pytest.mark.parametrize("row_terms", [1_000, 0])
+def test_bm25_phrases(spark, monkeypatch, row_terms):
+    """A word with a hyphen is a phrase, in the row and by a join."""
+    monkeypatch.setattr(search, "ROW_TERMS", row_terms)
+    texts = ["sub-agent restrict café", "agent sub reversed", "sub agent sub-agent", "subagent", "a sub, agent", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts, 4)), "doc_id long, text string")
+    asked = search.query_table(spark, ["sub-agent", "sub-agent restrict", "agent sub"])
+    got = {}
+    for r in search.bm25(docs, asked, 3).collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    assert got == {0: {4, 6, 8}, 1: {4}, 2: {4, 5, 6, 8}}
+    both = search.bm25(docs, asked, 3, every=None)
+    assert {r.doc_id for r in both.filter("query_id = 1 AND strict").collect()} == {4} and both.filter("query_id = 1").count() == 3
+
+
 def test_fusion(spark):
     rows = lambda *ids: spark.createDataFrame([(0, i, k + 1) for k, i in enumerate(ids)], "query_id long, item long, rank int")
     got = {r.item: r.score for r in search.fuse({"a": rows(1, 2), "b": rows(2, 3)}, {"a": 1.0, "b": 0.5}).collect()}
@@ -71,7 +86,10 @@ def test_text_helpers(spark):
     assert one(spark, T.strip_sensitive(F.col("a")), a="password: hunter2 ok") == "password=[redacted] ok"
     assert one(spark, T.strip_boilerplate(F.col("a")), a="text Page 3 of 9 www.example.com") == "text  "
     assert one(spark, T.file_name(F.col("a")), a="a\\b/c.txt") == "c.txt"
-    assert one(spark, T.normalize_predicate(F.col("a")), a="Used for") == "is_used_for"
+    assert one(spark, T.normalize_predicate(F.col("a")), a="Built  with") == "uses" and one(spark, T.normalize_predicate(F.col("a")), a="uses") == "uses"
+    assert one(spark, T.normalize_topic(F.col("a")), a="DB Technology") == "database" and one(spark, T.normalize_topic(F.col("a")), a="Colour") == "colour"
+    claim = lambda topic: one(spark, T.canonical_key(F.lit("claim"), F.lit("API Key"), F.lit("Runs on"), F.lit("v"), F.lit(topic)), a="x")
+    assert claim("cfg") == "claim::api key::configuration" and claim(" ") == claim(None) == "claim::api key::uses"
     assert one(spark, T.cut_words(F.col("a"), 2), a="one two three") == "one two"
     assert one(spark, T.query_terms(F.col("a")), a="How to use it: the Index the") == ["how", "use", "the", "index"]
 

@@ -11,17 +11,64 @@ from pyspark.sql import functions as F
 MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 
-#: Other names of predicates and topics.
+#: Other names of predicates.
 PREDICATE_ALIASES = {
-    "uses": "is_used_for", "used_for": "is_used_for", "runs_on": "runs_on", "located_at": "located_in", "is_located_in": "located_in",
-    "equals": "is", "are": "is", "was": "is", "depends": "depends_on", "requires": "depends_on",
+    "runs_on": "uses", "technology": "uses", "built_with": "uses", "powered_by": "uses", "run_on": "uses", "use": "uses", "utilizes": "uses",
+    "works_under": "reports_to", "managed_by": "reports_to", "supervised_by": "reports_to",
+    "boss_of": "manages", "leads": "manages", "supervises": "manages", "runs": "manages", "is_boss_of": "manages",
+    "employed_by": "works_at", "works_for": "works_at",
+    "has": "owns", "possesses": "owns",
+    "based_in": "located_at", "lives_in": "located_at", "found_at": "located_at",
+    "state": "status", "condition": "status", "health": "status",
+    "called": "name", "known_as": "name", "titled": "name",
+    "spouse_of": "married_to", "partner_of": "married_to",
+    "working_with": "works_with",
+}
+
+#: Other names of topics.
+TOPIC_ALIASES = {
+    "db": "database", "db_technology": "database", "rdbms": "database", "datastore": "database",
+    "tech": "technology", "stack": "technology",
+    "mgr": "manager", "supervisor": "manager", "boss": "manager",
+    "config": "configuration", "cfg": "configuration", "settings": "configuration",
+    "env": "environment", "environ": "environment",
+    "repo": "repository", "repos": "repository",
+    "dir": "directory", "folder": "directory", "path": "directory",
+    "auth": "authentication", "authn": "authentication", "authz": "authorization",
+    "infra": "infrastructure",
+    "loc": "location", "region": "location", "area": "location",
+    "lang": "language", "programming_language": "language",
+    "os": "operating_system", "platform": "operating_system",
+    "ver": "version", "vers": "version",
+    "dept": "department", "team": "department",
 }
 
 #: The first pattern to match in a message gives the signal.
-CORRECTIONS = ("(?i)\\bactually\\b", "(?i)\\bno,", "(?i)\\bthat's wrong\\b", "(?i)\\bnot quite\\b", "(?i)\\bi meant\\b", "(?i)\\bcorrection\\b")
-UNCERTAINTIES = ("(?i)\\bmaybe\\b", "(?i)\\bi think\\b", "(?i)\\bnot sure\\b", "(?i)\\bprobably\\b")
-PREFERENCES = ("(?i)\\bi prefer\\b", "(?i)\\bi like\\b", "(?i)\\bplease always\\b", "(?i)\\bplease never\\b", "(?i)\\binstead of\\b")
-BOILERPLATE = ("(?i)©[^.\\n]*reserved\\.?", "(?i)page [0-9]+ of [0-9]+", "(?i)www\\.[a-z0-9.-]+", "(?i)all rights reserved\\.?")
+CORRECTIONS = (
+    r"(?i)\bactually[,:]?\s+", r"(?i)\bnot\s+(?:\w+\s){0,3}(?:anymore|any\smore)\b", r"(?i)\bignore\s+(?:that|the|my|what)\b",
+    r"(?i)\b(?:i|we)\s+changed\s+(?:my|our)\s+mind\b", r"(?i)\bscratch\s+that\b", r"(?i)\b(?:instead|rather)\s*[,:]\s*",
+    r"(?i)\bforget\s+(?:about|what\s+(?:i|we)\s+said)\b", r"(?i)\b(?:no|nope)[,:]?\s+(?:not\s+)?(?:that|this)\b",
+    r"(?i)\b(?:that|this)\s+(?:is|was)\s+wrong\b", r"(?i)\b(?:we|i)\s+(?:should|need\s+to)\s+(?:switch|change|move|migrate)\b",
+)
+UNCERTAINTIES = (
+    r"(?i)\b(?:i\sthink|probably|maybe|might|not\ssure|possibly|tentatively)\b", r"(?i)\bfor\s+now\b",
+    r"(?i)\b(?:let's|let\s+us)\s+(?:try|see)\b", r"(?i)\b(?:could|might)\s+(?:be|work)\b",
+)
+PREFERENCES = (
+    r"(?i)\b(?:i|we)\s+prefer\b", r"(?i)\b(?:i|we)\s+(?:like|love|enjoy)\s+(?:to\s+)?", r"(?i)\b(?:i|we)\s+(?:don't|do\s+not)\s+(?:want|like|need)\b",
+    r"(?i)\bplease\s+(?:don't|do\s+not|never)\b", r"(?i)\b(?:always|never)\s+(?:use|do|show|suggest|include|send)\b",
+)
+EFFECTIVE = (r"(?i)\bstarting\s+(?:next\s+)?(\w+)\b", r"(?i)\bbeginning\s+(?:next\s+)?(\w+)\b", r"(?i)\bfrom\s+(?:next\s+)?(\w+)\b")
+EXPIRY = (
+    r"(?i)\bby\s+(?:next\s+)?(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow|tonight|eod|eow|end\s+of\s+\w{1,10})\b",
+    r"(?i)\buntil\s+(\w+)\b", r"(?i)\bbefore\s+(\w+)\b", r"(?i)\bfor\s+the\s+next\s+(\d+)\s+(\w{1,20})\b",
+)
+BOILERPLATE = (
+    r"(?i)©\s*\d{4}.*?reserved\.?", r"(?i)all rights reserved\.?", r"(?i)page\s+\d+\s+of\s+\d+", r"(?i)www\.\w+\.\w+",
+    r"(?im)^\s*type your answers? here\.?\s*$", r"(?im)^\s*blank\s*$", r"(?im)^\s*N/A\s*$",
+)
+#: Urgency of an open task by its words; the first that matches counts.
+BLOCKED, URGENT, ASKED = r"\bblocker\b|\bblocking\b|\bdepends?\s+on\b|\bdependenc", r"\burgent\b|\basap\b|\bcritical\b|\bimmediately\b", r"\?|\bquestion\b"
 SECRET_WORDS = "(?i)(password|secret|token|api[_-]?key)\\s*[:=]\\s*\\S+"
 
 
@@ -47,18 +94,29 @@ def snake(text: Column) -> Column:
     return F.regexp_replace(normalize(text), " ", "_")
 
 
-def normalize_predicate(text: Column) -> Column:
+def renamed(text: Column, aliases: dict[str, str]) -> Column:
     name = snake(text)
-    pairs = [F.lit(x) for pair in PREDICATE_ALIASES.items() for x in pair]
+    pairs = [F.lit(x) for pair in aliases.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), name), name)
 
 
-def canonical_key(kind: Column, subject: Column, predicate: Column, value: Column) -> Column:
-    """Key under which equal knowledge meets; null where a part is missing or the kind has none."""
+def normalize_predicate(text: Column) -> Column:
+    return renamed(text, PREDICATE_ALIASES)
+
+
+def normalize_topic(text: Column) -> Column:
+    return renamed(text, TOPIC_ALIASES)
+
+
+def canonical_key(kind: Column, subject: Column, predicate: Column, value: Column, topic: Column | None = None) -> Column:
+    """Key under which equal knowledge meets; null where a part is missing or the kind has none. A claim's topic goes before its predicate."""
     full = lambda c: F.when(F.trim(c) != "", normalize(c))
     join = lambda *parts: F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.concat_ws("::", *parts))
+    aspect = normalize_predicate(full(predicate))
+    if topic is not None:
+        aspect = F.coalesce(normalize_topic(full(topic)), aspect)
     return (
-        F.when(kind == "claim", join(F.lit("claim"), full(subject), normalize_predicate(full(predicate))))
+        F.when(kind == "claim", join(F.lit("claim"), full(subject), aspect))
         .when(kind == "decision", join(F.lit("decision"), hash_prefix(full(value), 200)))
         .when(kind == "entity", join(F.lit("entity"), F.coalesce(full(predicate), F.lit("unknown")), full(subject)))
         .when(kind == "relation", join(F.lit("relation"), full(subject), normalize_predicate(full(predicate)), full(value)))
@@ -109,12 +167,22 @@ def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns))
 
 
-def loop_priority(text: Column) -> Column:
-    """Urgency of an open task by its words."""
+def first_signal(text: Column, patterns: tuple[str, ...]) -> Column:
+    """The text of the first pattern that matches, trimmed."""
+    return F.regexp_replace(first_match(text, patterns), "^\\s+|\\s+$", "")
+
+
+def loop_priority(text: Column, kind: Column | None = None, deadline: Column | None = None) -> Column:
+    """Urgency of an open task by its words, its deadline and its kind."""
     low = F.lower(text)
-    return (
-        F.when(low.rlike("block"), 8).when(low.rlike("urgent|asap"), 7).when(low.rlike("question|\\?"), 3).when(low.rlike("follow|remind|next step"), 2).otherwise(4)
-    )
+    kind, due = F.lit("") if kind is None else F.coalesce(kind, F.lit("")), F.lit(False) if deadline is None else deadline.isNotNull()
+    ladder = F.when(low.rlike(BLOCKED), 8).when(low.rlike(URGENT), 7).when(due, 6).when(kind == "task", 4)
+    return ladder.when(low.rlike(ASKED), 3).when(kind == "reminder", 2).otherwise(4)
+
+
+def relevance_label(share: Column) -> Column:
+    """Dots for a score's place between the worst (0) and the best (1) of its query; null where all are equal."""
+    return F.when(share.isNull() | (share >= 0.75), "●●●").when(share >= 0.5, "●●○").when(share >= 0.25, "●○○").otherwise("○○○")
 
 
 def auto_tags(path: Column, stop: tuple[str, ...] = ("src", "docs", "index", "tmp", "www")) -> Column:

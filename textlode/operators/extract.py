@@ -15,8 +15,20 @@ DECISION = "(?im)^\\s*(?:we (?:decided|agreed) to|decision:|let's go with)\\s*(.
 LOOP = "(?im)^\\s*(task|reminder|blocker|question|follow-up|todo):\\s*(.{5,300})$"
 #: Kinds of open loops by the word that opens the line.
 LOOP_KINDS = {"task": "task", "todo": "task", "reminder": "follow_up", "blocker": "dependency", "question": "question", "follow-up": "follow_up"}
-#: Verbs between two names, and the relation they state; the first wins.
-VERBS = {"works for": "works_for", "works with": "works_with", "uses": "is_used_for", "depends on": "depends_on", "owns": "owns", "manages": "manages", "replaces": "replaces"}
+#: What stands between two names, and the relation that it states; the first that matches counts.
+VERBS = (
+    (r"\bis\s+(?:the\s+)?(?:a\s+)?backup\s+(?:server\s+)?(?:for|of)\b", "backup_for"), (r"\bbacks?\s+up\b", "backup_for"),
+    (r"\bdepends?\s+on\b", "depends_on"), (r"\breli(?:es|ed)\s+on\b", "depends_on"), (r"\brequires?\b", "requires"),
+    (r"\bleads?\s+(?:the\s+)?", "leads"), (r"\bowns?\s+(?:the\s+)?", "owns"), (r"\bmanages?\s+(?:the\s+)?", "manages"), (r"\bmaintains?\s+(?:the\s+)?", "maintains"),
+    (r"\bruns?\s+on\b", "runs_on"), (r"\bconnects?\s+to\b", "connects_to"), (r"\bdeployed\s+(?:on|to|in)\b", "deployed_on"), (r"\bhosted\s+(?:on|by|in)\b", "hosted_on"),
+    (r"\bis\s+(?:a\s+)?(?:part|component|module|service|member)\s+of\b", "part_of"), (r"\bbelongs?\s+to\b", "part_of"),
+    (r"\bserves?\s+(?:as\s+)?(?:the\s+)?", "serves"), (r"\bpowers?\s+(?:the\s+)?", "powers"),
+    (r"\bintegrates?\s+(?:with|into)\b", "integrates_with"), (r"\bcalls?\b", "calls"), (r"\binvokes?\b", "calls"), (r"\bextends?\b", "extends"), (r"\bimplements?\b", "implements"),
+    (r"\bfeeds?\s+(?:into|to)\b", "feeds"), (r"\bsends?\s+(?:to|data\s+to)\b", "sends_to"),
+    (r"\bauthorizes?\b", "authorizes"), (r"\bauthenticates?\s+(?:with|via|against)\b", "authenticates_with"),
+)
+NAME = "[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*"
+BETWEEN = f"({NAME})((?: [a-z]+){{1,8}}) ({NAME})"
 
 
 def plain(text: Column) -> Column:
@@ -63,11 +75,15 @@ def loops(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.select(key, F.try_element_at(kinds, word).alias("kind"), sentence(F.regexp_extract("line", LOOP, 2)).alias("text"), T.loop_priority(F.col("line")).alias("priority"))
 
 
+def stated(between: Column) -> Column:
+    """The relation that the words between two names state, or null."""
+    first, *rest = (F.when(between.rlike(f"(?i){pattern}"), name) for pattern, name in VERBS)
+    return F.coalesce(first, *rest)
+
+
 def relations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, subject, predicate, object: two capitalised names of a sentence with a known verb between them."""
-    between = "|".join(VERBS)
-    pattern = f"([A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*) ({between}) ([A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*)"
-    found = docs.select(key, F.explode(F.regexp_extract_all(plain(F.col("text")), F.lit(pattern), F.lit(0))).alias("line"))
-    kinds = F.create_map(*(F.lit(x) for pair in VERBS.items() for x in pair))
-    part = lambda n: F.regexp_extract("line", pattern, n)
-    return found.select(key, F.lower(part(1)).alias("subject"), F.try_element_at(kinds, part(2)).alias("predicate"), F.lower(part(3)).alias("object")).distinct()
+    """key, subject, predicate, object: two capitalised names with words between them that state a relation."""
+    found = docs.select(key, F.explode(F.regexp_extract_all(plain(F.col("text")), F.lit(BETWEEN), F.lit(0))).alias("line"))
+    part = lambda n: F.regexp_extract("line", BETWEEN, n)
+    named = found.select(key, F.lower(part(1)).alias("subject"), stated(part(2)).alias("predicate"), F.lower(part(3)).alias("object"))
+    return named.filter("predicate IS NOT NULL").distinct()

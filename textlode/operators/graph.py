@@ -4,39 +4,30 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlode.operators.packing import durable
+
 
 def descend(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """root, node, depth, path of all below the roots, breadth first; a node is not entered again below itself.
 
     One equi-join a level, until a level is empty or at ``depth``; each level is
-    persisted, as the next one and the result both read it. The path orders nodes
-    depth first.
+    checkpointed, as the next one and the result both read it. The path orders
+    nodes depth first, by text ids as they are and by others as numbers.
     """
-    name = lambda c: F.lpad(c.cast("string"), 12, "0")
+    text = dict(edges.dtypes)["child"] == "string"
+    name = lambda c: c if text else F.lpad(c.cast("string"), 19, "0")
     level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), name(F.col("id")).alias("path"))
     found, below = [level], edges.select("parent", "child")
     for _ in range(depth):
         fresh = ~F.contains("path", name(F.col("child")))
         deeper = level.join(below, F.col("node") == F.col("parent")).filter(fresh)
-        level = deeper.select(
+        level = durable(deeper.select(
             "root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), name(F.col("child"))).alias("path")
-        ).persist(StorageLevel.DISK_ONLY)
+        ))
         if level.isEmpty():
             break
         found.append(level)
     return reduce(DataFrame.unionByName, found)
-
-
-def cooccurrences(mentions: DataFrame, item: str, group: str) -> DataFrame:
-    """a, b, n: pairs of items by groups that hold both.
-
-    Meant for items of a fixed list (known terms): pairs are made inside a
-    group's own list, which has at most as many entries as the list of items.
-    """
-    lists = mentions.groupBy(group).agg(F.sort_array(F.collect_set(item)).alias("items"))
-    pairs = F.flatten(F.transform("items", lambda a: F.transform(F.filter("items", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))

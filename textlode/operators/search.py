@@ -23,31 +23,53 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def query_table(spark: SparkSession, texts: list[str]) -> DataFrame:
-    """query_id, term, n_terms."""
+    """query_id, term, n_terms. A word of several tokens, as with a hyphen, is one term: its tokens in a row, joined by spaces."""
     rows = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
-    terms = F.array_distinct(T.tokens(F.col("query")))
+    words = F.transform(F.split("query", "\\s+"), lambda w: F.array_join(T.tokens(w), " "))
+    terms = F.array_distinct(F.filter(words, lambda w: w != ""))
     return rows.select("query_id", F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, length of every text. Write it partitioned by a hash of the term to reuse it."""
-    words = T.tokens(F.col(text))
-    split = docs.select(F.col(key).alias("doc_id"), words.alias("words"))
-    return split.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+#: Distinct terms up to which each token is looked up inside its row; beyond it tokens are joined.
+ROW_TERMS = 1_000
 
 
-def bm25(docs: DataFrame, queries: DataFrame, n_queries: int, key: str = "doc_id", text: str = "text", every: bool = True) -> DataFrame:
-    """query_id, doc_id, score of the texts that hold every term of a query (or any).
+def occurrences(split: DataFrame, queries: DataFrame, n_queries: int) -> DataFrame:
+    """doc_id, length, term of every occurrence of a query's term in (doc_id, words, length).
 
-    Only tokens that are terms of some query are counted: the terms are joined
-    to the exploded tokens before anything is shuffled.
+    Few terms are looked up in the row, so that no other token leaves it; phrases
+    are counted in the text of tokens. Many are joined, phrases only to texts that
+    hold their first token.
     """
-    words = T.tokens(F.col(text))
-    split = docs.select(F.col(key).alias("doc_id"), words.alias("words")).withColumn("length", F.size("words"))
-    totals = split.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    terms = small(queries.select("term").distinct(), n_queries)
-    used = split.select("doc_id", "length", F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    counted = used.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    terms = queries.select("term").distinct()
+    # each token stands between its own two spaces, so that places of a phrase do not overlap
+    spaced = F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))
+
+    def copies(phrase: Column) -> Column:
+        wanted = F.concat(F.lit(" "), F.replace(phrase, F.lit(" "), F.lit("  ")), F.lit(" "))
+        return ((F.length(spaced) - F.length(F.replace(spaced, wanted, F.lit("")))) / F.length(wanted)).cast("int")
+
+    if n_queries <= ROW_TERMS and terms.limit(ROW_TERMS + 1).count() <= ROW_TERMS:
+        one = F.broadcast(terms.agg(F.collect_list("term").alias("terms")))  # one row of a bounded array
+        phrases = F.filter("terms", lambda p: F.contains(p, F.lit(" ")))
+        found = F.concat(
+            F.filter("words", lambda w: F.array_contains("terms", w)),
+            F.flatten(F.transform(phrases, lambda p: F.array_repeat(p, copies(p)))),
+        )
+        return split.crossJoin(one).select("doc_id", "length", F.explode(found).alias("term"))
+    single, several = (terms.filter(F.contains("term", F.lit(" ")) == several) for several in (False, True))
+    words = split.select("doc_id", "length", F.explode("words").alias("term")).join(single, "term", "left_semi").select("doc_id", "length", "term")
+    first = several.select(F.col("term").alias("phrase"), F.split("term", " ")[0].alias("token"))
+    holders = split.withColumn("token", F.explode(F.array_distinct("words"))).join(first, "token")
+    return words.union(holders.select("doc_id", "length", F.explode(F.array_repeat("phrase", copies(F.col("phrase")))).alias("term")))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, n_queries: int, key: str = "doc_id", text: str = "text", every: bool | None = True) -> DataFrame:
+    """query_id, doc_id, score of the texts that hold every term of a query (or any, or with None either: strict tells which)."""
+    split = docs.select(F.col(key).alias("doc_id"), T.tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
+    sizes = docs.select(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[\\p{L}\\p{N}]+")).alias("length"))
+    totals = sizes.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    counted = occurrences(split, queries, n_queries).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     frequencies = counted.groupBy("term").agg(F.count("*").alias("df"))
     weighed = queries.join(frequencies, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -55,6 +77,8 @@ def bm25(docs: DataFrame, queries: DataFrame, n_queries: int, key: str = "doc_id
     tf, norm = F.col("tf"), F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.col("length") / F.col("mean_length"))
     scored = counted.join(small(weighed, n_queries), "term").withColumn("part", F.col("idf") * tf * 2.2 / (tf + norm))
     summed = scored.groupBy("query_id", "doc_id", "n_terms").agg(F.sum("part").alias("score"), F.count("*").alias("hits"))
+    if every is None:
+        return summed.select("query_id", "doc_id", "score", (F.col("hits") == F.col("n_terms")).alias("strict"))
     return (summed.filter("hits = n_terms") if every else summed).select("query_id", "doc_id", "score")
 
 
@@ -77,6 +101,7 @@ def blocked(left: DataFrame, right: DataFrame, keys: tuple[str, str], sizes: tup
     def dealt(df: DataFrame, side: int):
         own, other = ("_left", "_right") if side == 0 else ("_right", "_left")
         df = df if same is None else df.filter(F.col(same).isNotNull())
+        df = df.select(*(F.col(c).alias(c) for c in df.columns))  # columns of its own, as both sides may be one table
         df = df.withColumn(own, F.pmod(F.xxhash64(keys[side]), F.lit(of[side])).cast("int"))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(of[1 - side] - 1)))).groupBy(*by)
 

@@ -70,24 +70,29 @@ def heartbeat_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(idle, ["conv_id", "block"], "left_anti").select("conv_id", "turn")
 
 
-DAG_SQL = f"""{MESSAGES_SQL}, nodes AS (SELECT conv_id * 1000 + turn // 2 AS id, conv_id, 0 AS depth, sum(tokens)::BIGINT AS tokens FROM messages GROUP BY ALL
-  UNION ALL SELECT conv_id * 1000 + 500 + turn // 4, conv_id, 1, (sum(tokens) // 2)::BIGINT FROM messages GROUP BY ALL
-  UNION ALL SELECT conv_id * 1000 + 999, conv_id, 2, (sum(tokens) // 4)::BIGINT FROM messages GROUP BY ALL),
-edges AS (SELECT DISTINCT conv_id * 1000 + 500 + turn // 4 AS parent, conv_id * 1000 + turn // 2 AS child FROM messages
-  UNION ALL SELECT DISTINCT conv_id * 1000 + 999, conv_id * 1000 + 500 + turn // 4 FROM messages)"""
+def node_sql(depth: int, place: str) -> str:
+    return f"lpad(conv_id::VARCHAR, 12, '0') || '.{depth}.' || lpad(({place})::VARCHAR, 10, '0')"
+
+
+LEAF, MID, ROOT = node_sql(0, "turn // 2"), node_sql(1, "turn // 4"), node_sql(2, "0")
+DAG_SQL = f"""{MESSAGES_SQL}, nodes AS (SELECT {LEAF} AS id, conv_id, 0 AS depth, sum(tokens)::BIGINT AS tokens FROM messages GROUP BY ALL
+  UNION ALL SELECT {MID}, conv_id, 1, (sum(tokens) // 2)::BIGINT FROM messages GROUP BY ALL
+  UNION ALL SELECT {ROOT}, conv_id, 2, (sum(tokens) // 4)::BIGINT FROM messages GROUP BY ALL),
+edges AS (SELECT DISTINCT {MID} AS parent, {LEAF} AS child FROM messages UNION ALL SELECT DISTINCT {ROOT}, {MID} FROM messages)"""
 
 
 def dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A summary graph: two turns a leaf, two leaves a summary, one root a conversation."""
-    m = messages(spark, sf_dir).withColumns({"leaf": F.expr("conv_id * 1000 + turn div 2"), "mid": F.expr("conv_id * 1000 + 500 + turn div 4"), "root": F.expr("conv_id * 1000 + 999")})
+    """A summary graph: two turns a leaf, two leaves a summary, one root a conversation. Ids name conversation, depth and place."""
+    node = lambda depth, place: F.expr(f"format_string('%012d.{depth}.%010d', conv_id, {place})")
+    m = messages(spark, sf_dir).withColumns({"leaf": node(0, "turn div 2"), "mid": node(1, "turn div 4"), "root": node(2, "0L")})
     level = lambda name, depth, share: m.groupBy(F.col(name).alias("id"), "conv_id").agg(F.lit(depth).alias("depth"), F.expr(f"sum(tokens) div {share}").alias("tokens"))
     nodes = level("leaf", 0, 1).unionByName(level("mid", 1, 2)).unionByName(level("root", 2, 4))
     edge = lambda a, b: m.select(F.col(a).alias("parent"), F.col(b).alias("child")).distinct()
     return nodes, edge("mid", "leaf").unionByName(edge("root", "mid"))
 
 
-@query(f"""WITH RECURSIVE {DAG_SQL}, walk AS (SELECT id AS root, id AS node, 0 AS depth, lpad(id::VARCHAR, 12, '0') AS path FROM nodes WHERE depth = 2
-  UNION ALL SELECT w.root, e.child, w.depth + 1, w.path || '/' || lpad(e.child::VARCHAR, 12, '0') FROM walk w JOIN edges e ON e.parent = w.node WHERE w.depth < 10)
+@query(f"""WITH RECURSIVE {DAG_SQL}, walk AS (SELECT id AS root, id AS node, 0 AS depth, id AS path FROM nodes WHERE depth = 2
+  UNION ALL SELECT w.root, e.child, w.depth + 1, w.path || '/' || e.child FROM walk w JOIN edges e ON e.parent = w.node WHERE w.depth < 10)
 SELECT root, node, depth, (SELECT count(*) FROM edges e WHERE e.parent = walk.node) AS children FROM walk""")
 def summary_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = dag(spark, sf_dir)
@@ -96,8 +101,8 @@ def summary_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.join(children, walk["node"] == children["parent"], "left").select("root", "node", "depth", F.coalesce("children", F.lit(0)).alias("children"))
 
 
-@query(f"""WITH RECURSIVE {DAG_SQL}, walk AS (SELECT id AS root, id AS node, lpad(id::VARCHAR, 12, '0') AS path FROM nodes WHERE depth = 2
-  UNION ALL SELECT w.root, e.child, w.path || '/' || lpad(e.child::VARCHAR, 12, '0') FROM walk w JOIN edges e ON e.parent = w.node)
+@query(f"""WITH RECURSIVE {DAG_SQL}, walk AS (SELECT id AS root, id AS node, id AS path FROM nodes WHERE depth = 2
+  UNION ALL SELECT w.root, e.child, w.path || '/' || e.child FROM walk w JOIN edges e ON e.parent = w.node)
 SELECT root, node, running FROM (SELECT root, node, sum(n.tokens) OVER (PARTITION BY root ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running
   FROM walk JOIN nodes n ON n.id = walk.node) WHERE running <= 150""")
 def summary_expand(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,19 +11,27 @@ from textlode.functions import text as T
 from textlode.operators import compaction, extract, packing
 from textlode.plans.registry import ORACLES, QUERIES, query
 from textlode.plans.relational import MENTIONS_SQL, mentions
-from textlode.plans.retrieval import QUESTIONS, _bm25
+from textlode.plans.retrieval import QUESTIONS, _bm25, vectors_with_copies
 from textlode.sources.tables import CLAIMS_SQL, MESSAGES_SQL, claims, messages, table
 
-PRIVATE = "^(localhost|127\\.|10\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)"
+PRIVATE = (
+    "^(localhost$|0\\.|127\\.|10\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|100\\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\\."
+    "|\\[(::1?\\]|::ffff:|fe[89ab]|f[cd]))"
+)
+#: Hosts that stand in for some pages' own, so that each rule is met.
+HOSTS = ("http://127.0.0.1/a", "https://[::1]:80/a", "http://0.0.0.0/", "http://100.64.9.9/", "ftp://example.org/a", "https://[fd00::2]/", "http://172.20.0.1:8080/", "https://LocalHost/")
 FORBIDDEN = ("token", "password", "license", "secret")
+PHRASES = ("share the token", "the Pass\u200bword is", "LICENSE key", "no se\u200dcret here", "nothing")
 SUBJECTS = ("red", "red bolt", "bolt", "old", "old anvil", "gear")
 
 
-@query(f"""SELECT page_id, host, NOT regexp_matches(host, '{PRIVATE}') AND scheme IN ('http', 'https') AS safe
-FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages)""")
+@query(rf"""WITH u AS (SELECT page_id, CASE WHEN page_id % 10 < {len(HOSTS)} THEN ([{', '.join(f"'{h}'" for h in HOSTS)}])[1 + page_id % 10] ELSE url END AS url FROM pages)
+SELECT page_id, host, NOT regexp_matches(host, '{PRIVATE}') AND scheme IN ('http', 'https') AS safe
+FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://(\[[0-9a-fA-F:.]+\]|[^/:?#]+)', 1)) AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM u)""")
 def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    host, scheme = F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)), F.regexp_extract("url", "^([a-z]+)://", 1)
+    other = F.get(F.array(*map(F.lit, HOSTS)), (F.col("page_id") % 10).cast("int"))
+    p = table(spark, sf_dir, "pages").withColumn("url", F.when(F.col("page_id") % 10 < len(HOSTS), other).otherwise(F.col("url")))
+    host, scheme = F.lower(F.regexp_extract("url", "^[a-z]+://(\\[[0-9a-fA-F:.]+\\]|[^/:?#]+)", 1)), F.regexp_extract("url", "^([a-z]+)://", 1)
     return p.select("page_id", host.alias("host"), (~host.rlike(PRIVATE) & scheme.isin("http", "https")).alias("safe"))
 
 
@@ -42,12 +50,15 @@ def vault_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.join(by("n_name", "note"), "link", "left").join(by("r_name", "alias"), "link", "left").select("c_custkey", "link", F.coalesce("note", "alias").alias("target"))
 
 
-@query("SELECT conv_id, turn, term FROM conversations, (VALUES " + ", ".join(f"('{t}')" for t in FORBIDDEN) + ") AS f(term) WHERE contains(lower(text), term)")
+@query(f"""WITH said AS (SELECT conv_id, turn, text || ' ' || ([{', '.join(f"'{p}'" for p in PHRASES)}])[1 + (conv_id * 3 + turn) % {len(PHRASES)}] AS text FROM conversations)
+SELECT conv_id, turn, term FROM said, (VALUES {', '.join(f"('{t}')" for t in FORBIDDEN)}) AS f(term)
+WHERE contains(regexp_replace(lower(text), '[​‌‍﻿]', '', 'g'), term)""")
 def invariant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that hold a forbidden term: the fixed terms are tested in a row, so nothing is joined."""
-    c = table(spark, sf_dir, "conversations")
-    low = F.lower("text")
-    held = F.filter(F.array(*map(F.lit, FORBIDDEN)), lambda t: F.contains(low, t))
+    """Turns, each with a phrase after it, that hold a forbidden term even with invisible characters inside: the fixed terms are tested in a row, so nothing is joined."""
+    phrase = F.get(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") * 3 + F.col("turn")) % len(PHRASES)).cast("int"))
+    low = F.regexp_replace(F.lower(F.concat_ws(" ", "text", phrase)), "[​‌‍﻿]", "")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", low.alias("low"))
+    held = F.filter(F.array(*map(F.lit, FORBIDDEN)), lambda t: F.contains("low", t))
     return c.select("conv_id", "turn", F.explode(held).alias("term"))
 
 
@@ -135,7 +146,7 @@ ORACLES["existing_dups_whole"] = ORACLES["existing_dups"].replace(" WHERE vec_id
 
 @query()
 def distinct_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.greedy_distinct(table(spark, sf_dir, "embeddings"), "label", 0.8)
+    return packing.greedy_distinct(vectors_with_copies(spark, sf_dir), "label", 0.95)
 
 
 @query(f"""WITH {MESSAGES_SQL}, t AS (SELECT conv_id, sum(tokens) AS n FROM messages GROUP BY 1)

@@ -43,14 +43,14 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("key", "value").agg(F.count_distinct("doc_id").alias("documents"))
 
 
-@query("""SELECT p_partkey FROM (SELECT p_partkey, 'brand' AS key, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part)
-  WHERE (key, value) IN (('brand', (SELECT min(p_brand) FROM part)), ('size', '10')) GROUP BY p_partkey HAVING count(DISTINCT key) = 2""")
+@query("""SELECT p_partkey FROM (SELECT p_partkey, 'brand' AS key, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'even', (p_size % 2 = 0)::VARCHAR FROM part)
+  WHERE (key, value) IN (('brand', (SELECT min(p_brand) FROM part)), ('even', 'true')) GROUP BY p_partkey HAVING count(DISTINCT key) = 2""")
 def metadata_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that meet every (key, value) filter: one aggregate instead of a join for each filter."""
     p = table(spark, sf_dir, "part")
     brand = F.broadcast(p.agg(F.min("p_brand").alias("value")).withColumn("key", F.lit("brand")))  # one row
-    wanted = brand.unionByName(spark.createDataFrame([("size", "10")], "key string, value string"))
-    pairs = p.select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("size")).unpivot("p_partkey", ["brand", "size"], "key", "value")
+    wanted = brand.unionByName(spark.createDataFrame([("even", "true")], "key string, value string"))
+    pairs = p.select("p_partkey", F.col("p_brand").alias("brand"), (F.col("p_size") % 2 == 0).cast("string").alias("even")).unpivot("p_partkey", ["brand", "even"], "key", "value")
     return pairs.join(F.broadcast(wanted), ["key", "value"]).groupBy("p_partkey").agg(F.count_distinct("key").alias("n")).filter("n = 2").select("p_partkey")
 
 
@@ -149,17 +149,18 @@ def query_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed'
-  WHEN a.last <> b.last THEN 'modified' ELSE 'same' END AS change
-FROM (SELECT user_id, max(event_id) AS last FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1) a
-FULL JOIN (SELECT user_id, max(event_id) AS last FROM events WHERE ts >= TIMESTAMP '2024-01-14' GROUP BY 1) b ON a.user_id = b.user_id""")
+@query("""SELECT coalesce(a.event_id, b.event_id) AS event_id, CASE WHEN a.event_id IS NULL THEN 'added' WHEN b.event_id IS NULL THEN 'removed'
+  WHEN a.version <> b.version THEN 'modified' ELSE 'same' END AS change
+FROM (SELECT event_id, user_id AS version FROM events WHERE event_id % 3 <> 0) a
+FULL JOIN (SELECT event_id, user_id + (event_id % 5 = 0)::INT AS version FROM events WHERE event_id % 4 <> 0) b ON a.event_id = b.event_id""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest without every third event against a listing without every fourth, in which every fifth is newer."""
     from textlode.sources.snapshots import changes
 
     e = table(spark, sf_dir, "events")
-    state = lambda df: df.groupBy("user_id").agg(F.max("event_id").alias("version"))
-    old, new = state(e.filter("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'")), state(e.filter("ts >= TIMESTAMP_NTZ '2024-01-14 00:00:00'"))
-    return changes(old, new, "user_id", "version")
+    old = e.filter("event_id % 3 <> 0").select("event_id", F.col("user_id").alias("version"))
+    new = e.filter("event_id % 4 <> 0").select("event_id", (F.col("user_id") + (F.col("event_id") % 5 == 0).cast("int")).alias("version"))
+    return changes(old, new, "event_id", "version")
 
 
 @query("""SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS duplicate FROM documents""")

@@ -16,6 +16,22 @@ from textlode.sources.tables import table
 QUESTIONS = ["the and", "licensed version", "under apache license", "and that with", "der und"]
 OR_QUESTIONS = ["the zzzz", "the and", "qqqq"]
 
+#: The vectors, and a near copy of every 25th and a somewhat near one of every 40th, so that duplicates and clear winners occur.
+VECTORS_SQL = """(SELECT vec_id, label, embedding FROM embeddings
+  UNION ALL SELECT vec_id + 1000000000, label, list_concat([embedding[1] + 0.05::FLOAT], embedding[2:])::FLOAT[] FROM embeddings WHERE vec_id % 25 = 0
+  UNION ALL SELECT vec_id + 2000000000, label, list_concat([embedding[1] + 0.5::FLOAT], embedding[2:])::FLOAT[] FROM embeddings WHERE vec_id % 40 = 0)"""
+
+
+def vectors_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = lambda by: F.concat(F.array((F.element_at("embedding", 1) + F.lit(by).cast("float")).cast("float")), F.slice("embedding", 2, 100_000))
+    row = lambda plus, vector: F.struct((F.col("vec_id") + plus).alias("vec_id"), vector.alias("embedding"))
+    copies = F.array(
+        row(F.lit(0), F.col("embedding")), F.when(F.col("vec_id") % 25 == 0, row(F.lit(1_000_000_000), moved(0.05))), F.when(F.col("vec_id") % 40 == 0, row(F.lit(2_000_000_000), moved(0.5)))
+    )
+    every = table(spark, sf_dir, "embeddings").select("label", F.explode(F.array_compact(copies)).alias("v"))
+    return every.select("v.vec_id", "label", "v.embedding")
+
+
 #: The vectors that are asked: the fixed twenty of the first queries, and every twentieth row of the ``_whole`` ones.
 FIXED, WHOLE = "vec_id < 20", "vec_id % 20 = 0"
 
@@ -60,19 +76,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {bm25_sql(OR_QUESTIONS, "(SELECT conv_id * 10000 + turn AS msg_id, text FROM conversations)", "msg_id")},
+    f"""WITH {bm25_sql(OR_QUESTIONS, "(SELECT conv_id || ':' || turn AS msg_id, text FROM conversations)", "msg_id")},
 strict AS (SELECT DISTINCT query_id FROM summed WHERE hits = n_terms)
 SELECT query_id, doc_id, round(score, 6) AS score, hits = n_terms AS strict FROM summed
 WHERE hits = n_terms OR query_id NOT IN (SELECT query_id FROM strict)"""
 )
 def bm25_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("msg_id"), "text")
-    asked = search.query_table(spark, OR_QUESTIONS)
-    both = search.bm25(docs, asked, len(OR_QUESTIONS), "msg_id")
-    either = search.bm25(docs, asked, len(OR_QUESTIONS), "msg_id", every=False)
-    rest = either.join(F.broadcast(both.select("query_id").distinct()), "query_id", "left_anti")
-    rows = both.withColumn("strict", F.lit(True)).unionByName(rest.withColumn("strict", F.lit(False)))
-    return rows.withColumn("score", F.round("score", 6))
+    docs = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("msg_id"), "text")
+    found = search.bm25(docs, search.query_table(spark, OR_QUESTIONS), len(OR_QUESTIONS), "msg_id", every=None)
+    any_strict = F.max("strict").over(Window.partitionBy("query_id"))
+    return found.withColumn("any", any_strict).filter("strict OR NOT any").select("query_id", "doc_id", F.round("score", 6).alias("score"), "strict")
 
 
 @query(f"WITH {KNN_ROWS} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM knn WHERE rank <= 10")
@@ -140,13 +153,20 @@ def retrieve_titles(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> Dat
 
 
 @query(
-    f"""WITH {KNN_ROWS} SELECT query_id, max(distance) FILTER (rank = 2) / nullif(max(distance) FILTER (rank = 1), 0) > 2
+    f"""WITH knn AS (SELECT q.vec_id AS query_id, list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), c.vec_id) AS rank
+  FROM {VECTORS_SQL} c, embeddings q WHERE q.vec_id < 20 AND c.vec_id <> q.vec_id)
+SELECT query_id, max(distance) FILTER (rank = 2) / nullif(max(distance) FILTER (rank = 1), 0) > 2
   OR max(distance) FILTER (rank = 1) = 0 AS clear, coalesce((max(distance) FILTER (rank = 1)) <= 0.8
   AND (max(distance) FILTER (rank = 1) = 0 OR max(distance) FILTER (rank = 2) / max(distance) FILTER (rank = 1) > 2), false) AS skip
   FROM knn WHERE rank <= 2 GROUP BY query_id"""
 )
 def rerank_skip_flag(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
-    two = _knn(spark, sf_dir, 2, asked=asked).groupBy("query_id").agg(
+    """Is the nearest other vector near, and clearly nearer than the next? The vector itself is in the corpus and does not count."""
+    corpus = vectors_with_copies(spark, sf_dir)
+    queries = table(spark, sf_dir, "embeddings").filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    others = search.nearest(corpus, queries, 3, queries.count()).filter("vec_id <> query_id").drop("rank")
+    two = search.top(others, [F.round("distance", 9), F.col("vec_id")], 2).groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("b")
     )
     clear = (F.try_divide("b", F.nullif(F.col("a"), F.lit(0.0))) > 2) | (F.col("a") == 0)
@@ -155,7 +175,8 @@ def rerank_skip_flag(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> Da
 
 @query(
     f"""WITH {KNN_ROWS}, top AS (SELECT * FROM knn WHERE rank <= 10)
-SELECT query_id, vec_id, CASE WHEN hi = lo THEN '●●●' WHEN (hi - distance) / (hi - lo) >= 0.67 THEN '●●●' WHEN (hi - distance) / (hi - lo) >= 0.34 THEN '●●○' ELSE '●○○' END AS label,
+SELECT query_id, vec_id, CASE WHEN hi = lo THEN '●●●' WHEN (hi - distance) / (hi - lo) >= 0.75 THEN '●●●' WHEN (hi - distance) / (hi - lo) >= 0.5 THEN '●●○'
+  WHEN (hi - distance) / (hi - lo) >= 0.25 THEN '●○○' ELSE '○○○' END AS label,
   CASE WHEN lo < 0.5 THEN 0.8 WHEN lo < 0.8 THEN 0.5 WHEN lo < 1.0 THEN 0.3 ELSE 0.1 END::DOUBLE AS confidence
 FROM (SELECT *, min(distance) OVER (PARTITION BY query_id) AS lo, max(distance) OVER (PARTITION BY query_id) AS hi FROM top)"""
 )
@@ -163,19 +184,18 @@ def relevance_label(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> Dat
     w = Window.partitionBy("query_id")
     rows = _knn(spark, sf_dir, 10, asked=asked).withColumn("lo", F.min("distance").over(w)).withColumn("hi", F.max("distance").over(w))
     share = F.try_divide(F.col("hi") - F.col("distance"), F.col("hi") - F.col("lo"))
-    label = F.when(F.col("hi") == F.col("lo"), "●●●").when(share >= 0.67, "●●●").when(share >= 0.34, "●●○").otherwise("●○○")
-    return rows.select("query_id", "vec_id", label.alias("label"), T.distance_confidence(F.col("lo")).alias("confidence"))
+    return rows.select("query_id", "vec_id", T.relevance_label(share).alias("label"), T.distance_confidence(F.col("lo")).alias("confidence"))
 
 
 @query(
-    """WITH near AS (SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'version'))
+    """WITH near AS (SELECT conv_id, turn FROM conversations WHERE turn % 3 = 1 AND contains(lower(text), 'a'))
 SELECT n.conv_id, n.turn, string_agg(c.text, chr(10) || chr(10) ORDER BY c.turn) AS passage, count(*) AS parts
 FROM near n JOIN conversations c ON c.conv_id = n.conv_id AND c.turn BETWEEN n.turn - 1 AND n.turn + 1 GROUP BY ALL"""
 )
 def neighbor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with the turn before and after: three offsets and an equi-join instead of a range join."""
     c = table(spark, sf_dir, "conversations")
-    hits = c.filter(F.contains(F.lower("text"), F.lit("version"))).select("conv_id", F.col("turn").alias("hit"))
+    hits = c.filter((F.col("turn") % 3 == 1) & F.contains(F.lower("text"), F.lit("a"))).select("conv_id", F.col("turn").alias("hit"))
     wanted = hits.withColumn("turn", F.explode(F.array(F.col("hit") - 1, F.col("hit"), F.col("hit") + 1)))
     parts = wanted.join(c.select("conv_id", "turn", "text"), ["conv_id", "turn"]).groupBy("conv_id", "hit").agg(
         F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("parts")
@@ -185,18 +205,15 @@ def neighbor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH fresh AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
-SELECT a, b FROM fresh WHERE s >= 0.8"""
+    f"""WITH v AS (SELECT * FROM {VECTORS_SQL}), fresh AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT a, b FROM fresh WHERE s >= 0.95"""
 )
 def neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of near-equal vectors of one collection; unit vectors, so a distance bounds the cosine."""
-    v = table(spark, sf_dir, "embeddings")
-    a = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    cosine = F.try_divide(dot(F.col("x"), F.col("y")), F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y"))))
-    return a.join(b, "label").filter(F.col("a") < F.col("b")).filter(cosine >= 0.8).select("a", "b")
+    """Pairs of near-equal vectors of one collection, block against block: only pairs that are close leave a block."""
+    from textlode.operators.packing import close_pairs
+
+    return close_pairs(vectors_with_copies(spark, sf_dir), "label", 0.95)
 
 
 def _whole(f: Callable, asked: str) -> None:

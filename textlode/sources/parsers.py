@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from email import message_from_string, policy
 from html.parser import HTMLParser
@@ -31,6 +32,7 @@ class _Text(HTMLParser):
     def __init__(self):
         super().__init__()
         self.title, self.parts, self.headings, self.skip, self.inside = "", [], [], 0, ""
+        self.marks, self.length = [], 0
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in ("script", "style", "nav", "footer")
@@ -52,6 +54,8 @@ class _Text(HTMLParser):
             self.parts.append(data)
             if self.inside:
                 self.headings.append(f"{self.inside[1]} {data}")
+                self.marks.append((self.length, self.length + len(data), int(self.inside[1])))
+            self.length += len(data) + 1
 
 
 def parse_html(pages: DataFrame) -> DataFrame:
@@ -69,6 +73,41 @@ def parse_html(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, text string, headings array<string>")
 
 
+def html_documents(pages: DataFrame) -> DataFrame:
+    """page_id, title, text and headings as (start, end, level) in it: what the chunker takes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, html in zip(batch["page_id"], batch["html"], strict=True):
+                parser = _Text()
+                parser.feed(html or "")
+                rows.append((k, parser.title, "\n".join(parser.parts), [dict(zip(("start", "end", "level"), m, strict=True)) for m in parser.marks]))
+            yield pd.DataFrame(rows, columns=["page_id", "title", "text", "headings"])
+
+    schema = "page_id long, title string, text string, headings array<struct<start:int,end:int,level:int>>"
+    return pages.select("page_id", "html").mapInPandas(run, schema)
+
+
+DEFINITION = re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:async\s+)?(?:def|class|function|func|fn|interface|struct)\s+[A-Za-z_]\w*.*$", re.ASCII)
+
+
+def marks_of(kind: str, text: str) -> list[tuple[int, int, int]]:
+    """(start, end, level) of the headings of Markdown (outside fenced code) or of the definitions of code."""
+    if kind == "code":
+        return [(m.start(), m.end(), 1) for m in DEFINITION.finditer(text)]
+    if kind != "markdown":
+        return []
+    out, at, fenced = [], 0, False
+    for line in text.split("\n"):
+        fenced ^= line.lstrip().startswith("```")
+        heading = re.match(r"(#{1,6})\s+\S", line)
+        if heading and not fenced:
+            out.append((at, at + len(line), len(heading[1])))
+        at += len(line) + 1
+    return out
+
+
 def flatten_json(value, path: str = "", depth: int = 15) -> list[str]:
     """Lines ``a.b[0]: value`` down to a depth."""
     if isinstance(value, dict) and depth:
