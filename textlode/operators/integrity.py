@@ -25,4 +25,4 @@ def duplicates(df: DataFrame, by: list[str], item: str) -> DataFrame:
 
 def report(found: dict[str, DataFrame]) -> DataFrame:
     """rule, item of everything found."""
-    return reduce(DataFrame.unionByName, [df.select(F.lit(rule).alias("rule"), "item") for rule, df in found.items()])
+    return reduce(DataFrame.unionByName, [df.select(F.lit(rule).alias("rule"), F.col("item").cast("string").alias("item")) for rule, df in found.items()])

@@ -120,10 +120,10 @@ def context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DAG_SQL}, ordered AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM messages WHERE turn <> 2)
-SELECT 'contiguous' AS rule, conv_id AS item FROM ordered WHERE coalesce(prev + 1, 0) <> turn
+SELECT 'contiguous' AS rule, conv_id::VARCHAR AS item FROM ordered WHERE coalesce(prev + 1, 0) <> turn
 UNION ALL SELECT 'lineage', id FROM nodes WHERE depth > 0 AND id NOT IN (SELECT parent FROM edges)
 UNION ALL SELECT 'orphan', id FROM nodes WHERE depth < 2 AND id NOT IN (SELECT child FROM edges)
-UNION ALL SELECT 'duplicate', conv_id FROM messages GROUP BY conv_id, role, text HAVING count(*) > 1""")
+UNION ALL SELECT 'duplicate', conv_id::VARCHAR FROM messages GROUP BY conv_id, role, text HAVING count(*) > 1""")
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = dag(spark, sf_dir)
     m = messages(spark, sf_dir)
