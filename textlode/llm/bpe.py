@@ -10,7 +10,8 @@ gives, and broadcast: its size is fixed by the file, not by the data.
 
 Null text counts as empty, and has no tokens. Words are bounded only by the
 text itself; a run of n letters costs n log n steps. Repeated rows give
-repeated results.
+repeated results, and a table without rows none. Columns other than the key and
+the text are not read.
 """
 
 from __future__ import annotations
@@ -229,7 +230,3 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_rows(df.select(F.col(key), F.col(text)), make, schema)
-
-
-def token_total(ids: Column) -> Column:
-    return F.size(F.coalesce(ids, F.array().cast("array<int>")))

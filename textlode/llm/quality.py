@@ -17,7 +17,9 @@ their ids are what is broadcast, and nothing else.
 
 Null or blank text has no words and fails the base rules. Texts without n-grams
 score 0. Without any trusted row every ratio is 0 and only base rules reject.
-Repeated rows get repeated results. Hashes have 64 bits: two different windows
+Repeated rows get repeated results. A table without rows gives none. ``judge``
+reads doc_id and text only; ``keep`` returns the columns of its input whatever
+their names are. Hashes have 64 bits: two different windows
 count as equal with a probability of 2 ** -64.
 """
 

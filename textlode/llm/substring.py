@@ -20,7 +20,8 @@ window. Three steps:
 Windows are compared as words, whole. Strings are equal if their 128-bit digests
 are. Null text has no words. Texts of fewer words than a window lose nothing.
 Repeated rows are places of their own, so each loses what they share; rows that
-share an id are told apart by a digest of their text. Memory is that of one text,
+share an id are told apart by a digest of their text. A table without rows gives
+none. Columns other than doc_id and text are not read. Memory is that of one text,
 or of one bucket.
 """
 

@@ -14,7 +14,9 @@ covers every text whole. Scores use nothing but the text.
 Null text counts as empty and scores as the bias does. Labels of ids that
 ``documents`` lacks do nothing; an id with several labels counts as toxic if any
 is; null ids and null labels are no training rows. Without training rows every
-score is 0.5. Repeated rows get repeated scores.
+score is 0.5. Repeated rows get repeated scores. A table without rows gives none.
+A very long text is one array of at most 2 ** ``bits`` places. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
