@@ -66,6 +66,15 @@ def test_reconcile_rules(spark):
         assert {r.action for r in got if r.id == 100 + i} == want
 
 
+def test_corrections_supersede_within_their_scope(spark):
+    schema = "id long, canonical_key string, confidence double, object string, provisional boolean, scope_id long"
+    existing = [(1, "k", 0.7, "a", False, 1)]
+    candidates = [(10, "k", 0.6, "a", False, 1), (11, "k", 0.6, "a", False, 2), (12, "k", 0.2, "a", False, 1), (13, "k", 0.6, "a", True, 1), (14, "k", 0.95, "a", False, 1), (15, "new", 0.6, "a", False, 1)]
+    firm = spark.createDataFrame(candidates, schema).withColumn("corrects", F.lit(True))
+    got = {r.id: (r.action, round(r.confidence, 6)) for r in reconcile.reconcile(spark.createDataFrame(existing, schema), firm).collect()}
+    assert got == {10: ("supersede", 0.75), 11: ("evidence", 0.6), 12: ("evidence", 0.2), 13: ("evidence", 0.6), 14: ("supersede", 1.0), 15: ("insert", 0.6)}
+
+
 def test_canonical_keys(spark):
     key = lambda kind, *parts: one(spark, T.canonical_key(F.lit(kind), *(F.lit(p) for p in parts)), a="x")
     assert one(spark, T.normalize(F.col("a")), a="  Hello   World  ") == "hello world"

@@ -35,6 +35,23 @@ def reconcile_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reconcile(existing, c.filter(f"created_at >= TIMESTAMP_NTZ '{CUT} 00:00:00'")).select("id", "existing_id", "action")
 
 
+@query(f"""WITH {SPLIT_SQL}, judged AS (SELECT c.id, e.id AS existing_id, c.confidence, c.object AS o, e.object AS eo, c.provisional AND NOT e.provisional AS weak,
+  c.id % 5 = 0 AND c.scope_id = e.scope_id AND NOT (c.provisional AND NOT e.provisional) AND c.confidence >= 0.3 AS fixes, c.confidence - e.confidence AS gap
+  FROM candidates c LEFT JOIN existing e USING (canonical_key)),
+acted AS (SELECT *, CASE WHEN existing_id IS NULL THEN 'insert' WHEN weak THEN 'evidence' WHEN fixes THEN 'supersede' WHEN gap > 0.001 THEN 'supersede'
+  WHEN abs(gap) <= 0.001 THEN CASE WHEN o = eo THEN 'evidence' ELSE 'supersede' END ELSE 'evidence' END AS action,
+  round(CASE WHEN fixes THEN least(1.0::DOUBLE, confidence + 0.15::DOUBLE) ELSE confidence END, 6) AS gained FROM judged)
+SELECT id, existing_id, action, gained AS confidence FROM acted
+UNION ALL SELECT id, existing_id, CASE WHEN action = 'supersede' THEN 'conflict:active' ELSE 'conflict:needs_confirmation' END, gained FROM acted
+WHERE existing_id IS NOT NULL AND NOT weak AND confidence >= 0.3 AND o <> eo AND NOT contains(o, eo) AND NOT contains(eo, o)""")
+def reconcile_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``reconcile_actions``, where every fifth claim corrects: within its scope it supersedes whatever the confidences."""
+    c = claims(spark, sf_dir)
+    existing = c.filter(f"created_at < TIMESTAMP_NTZ '{CUT} 00:00:00'")
+    candidates = c.filter(f"created_at >= TIMESTAMP_NTZ '{CUT} 00:00:00'").withColumn("corrects", F.col("id") % 5 == 0)
+    return R.reconcile(existing, candidates).withColumn("confidence", F.round("confidence", 6))
+
+
 @query(f"""WITH {CLAIMS_SQL}, net AS (SELECT canonical_key, min(confidence) AS base,
   least(1, sum(CASE WHEN object::INT % 3 > 0 THEN 0.1 ELSE 0 END)) - least(1, sum(CASE WHEN object::INT % 3 = 0 THEN 0.1 ELSE 0 END)) AS net FROM claims GROUP BY canonical_key)
 SELECT canonical_key, round(CASE WHEN net > 0 THEN least(1, base + net * (1 - base) * 0.7::DOUBLE) WHEN net < 0 THEN greatest(0.05, base * (1 + net)) ELSE base END, 6) AS confidence FROM net""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -155,3 +157,82 @@ def wikilinks(text: Column) -> Column:
 def code_definitions(text: Column) -> Column:
     """Names of functions and classes in Python-like and C-like code."""
     return F.regexp_extract_all(text, F.lit("(?m)^\\s*(?:export\\s+)?(?:async\\s+)?(?:def|class|function|func|fn|interface|struct)\\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+
+
+def parse_csv(text: str, path: str = "") -> str:
+    """Header, a rule of dashes and rows, cells joined by bars. Tabs part cells by the file's name or by the first line."""
+    first = text.split("\n", 1)[0]
+    tabs = path.lower().endswith(".tsv") or (not path.lower().endswith(".csv") and first.count("\t") > first.count(","))
+    rows = [[c.strip() for c in row] for row in csv.reader(io.StringIO(text), delimiter="\t" if tabs else ",") if any(c.strip() for c in row)]
+    if len(rows) < 2:
+        return ""
+    width = len(rows[0])
+    lines = [" | ".join((row + [""] * width)[:width]) for row in rows]
+    return "\n".join([lines[0], "-" * len(lines[0]), *lines[1:]])
+
+
+#: What a node of a canvas says, by its type: the field that must be there, and the text around it.
+CANVAS = {"text": ("text", "{}"), "file": ("file", "[Linked file: {}]"), "link": ("url", "[Link: {}]"), "group": ("label", "--- {} ---")}
+
+
+def parse_canvas(text: str) -> dict:
+    """text and links of a canvas: its nodes, then the labels of its edges. Text that is no JSON gives none."""
+    try:
+        canvas = json.loads(text)
+    except ValueError:
+        return {"text": "", "links": []}
+    nodes = [(n, *CANVAS[n["type"]]) for n in canvas.get("nodes") or [] if n.get("type") in CANVAS]
+    parts = [form.format(n[field].strip()) for n, field, form in nodes if n.get(field)]
+    parts += [f"[Connection: {e['label']}]" for e in canvas.get("edges") or [] if e.get("label")]
+    return {"text": "\n\n".join(parts), "links": [n["file"] for n, field, _ in nodes if field == "file" and n.get("file")]}
+
+
+#: What a block says in Markdown; the words of rich text stand for {}.
+BLOCKS = {
+    "paragraph": "{}", "heading_1": "# {}", "heading_2": "## {}", "heading_3": "### {}", "bulleted_list_item": "- {}", "numbered_list_item": "1. {}",
+    "toggle": "> {}", "quote": "> {}", "callout": "> {}",
+}
+MARKS = (("bold", "**"), ("italic", "*"), ("strikethrough", "~~"), ("code", "`"))
+
+
+def rich_text(spans: list | None) -> str:
+    out = ""
+    for span in spans or []:
+        word = span.get("plain_text") or ""
+        for name, mark in MARKS:
+            if (span.get("annotations") or {}).get(name):
+                word = f"{mark}{word}{mark}"
+        out += f"[{word}]({span['href']})" if span.get("href") else word
+    return out
+
+
+def block_markdown(block: dict) -> str | None:
+    """Markdown of one block, or None if it has none."""
+    kind = block.get("type")
+    data = block.get(kind) if kind else None
+    if data is None or kind == "table_of_contents":
+        return None
+    words, url = rich_text(data.get("rich_text")), data.get("url")
+    if kind in BLOCKS:
+        return BLOCKS[kind].format(words)
+    if kind == "to_do":
+        return f"- [{'x' if data.get('checked') else ' '}] {words}"
+    if kind == "code":
+        return f"```{data.get('language') or ''}\n{words}\n```"
+    if kind == "image":
+        return f"![image]({((data.get('file') or data.get('external')) or {}).get('url') or ''})"
+    fixed = {
+        "divider": "---", "bookmark": f"[{url}]({url})", "link_preview": f"[{url}]({url})", "equation": f"$${data.get('expression')}$$",
+        "child_page": f"**[{data.get('title')}]**", "child_database": f"**[Database: {data.get('title')}]**",
+    }
+    return fixed.get(kind, words if data.get("rich_text") else None)
+
+
+MESSAGE = "role string, content string"
+
+
+def session_messages(lines: DataFrame) -> DataFrame:
+    """place, role, content of a session's lines (place, value): a message, or a record that holds one. Other lines are skipped."""
+    whole, inner = F.from_json("value", MESSAGE), F.from_json("value", f"message struct<{MESSAGE}>")["message"]
+    read = lines.select("place", F.coalesce(F.when(inner["role"].isNotNull(), inner), F.when(whole["role"].isNotNull(), whole)).alias("m"))
+    return read.filter("m IS NOT NULL").select("place", "m.role", "m.content")
