@@ -70,10 +70,13 @@ def brief(ranked: DataFrame, budget: int, per_chunk: int = 3) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder of ``spark.checkpoint.dir``, or a temporary one (tests only)."""
+    """Cut the lineage with a copy in the folder of ``spark.checkpoint.dir``; only a session on this machine alone may leave it unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -131,12 +131,20 @@ def counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, count(*) AS n, round(list_sort(list(value))[floor(count(*) * 0.5)::BIGINT + 1], 6) AS p50,
   round(list_sort(list(value))[least(floor(count(*) * 0.95)::BIGINT + 1, count(*))], 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type""")
 def awareness_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank percentiles: a rank in each group, and no list of the group."""
-    w = Window.partitionBy("event_type")
-    e = table(spark, sf_dir, "events").select("event_type", "value")
-    ranked = e.withColumn("place", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda q: F.round(F.max(F.when(F.col("place") == F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1), F.col("value"))), 6)
-    return ranked.groupBy("event_type").agg(F.count("*").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+    """Nearest-rank percentiles in two passes: counts of narrow ranges say which range holds a rank, and only that range is ordered."""
+    e = table(spark, sf_dir, "events").select("event_type", "value", F.floor(F.col("value") * 4).alias("range"))
+    counts = e.groupBy("event_type", "range").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("event_type")
+    before = F.coalesce(F.sum("n").over(by.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in (("p50", 0.5), ("p95", 0.95)))))
+    placed = counts.withColumns({"before": before, "all": F.sum("n").over(by)}).withColumn("x", ranks)
+    rank = F.least(F.floor(F.col("all") * F.col("x.q")), F.col("all") - 1)
+    held = placed.withColumn("place", rank - F.col("before")).filter("place >= 0 AND place < n").select("event_type", "range", F.col("x.name").alias("name"), "place")
+    inside = e.join(F.broadcast(held), ["event_type", "range"])  # two rows a type
+    order = F.row_number().over(Window.partitionBy("event_type", "name").orderBy("value")) - 1
+    found = inside.withColumn("at", order).filter(F.col("at") == F.col("place")).groupBy("event_type").pivot("name", ["p50", "p95"]).agg(F.round(F.max("value"), 6))
+    means = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return means.join(found, "event_type").select("event_type", "n", "p50", "p95", "mean")
 
 
 @query("""SELECT count(*) AS total, round(count(*) FILTER (value >= 5) / count(*), 6) AS hit_rate, round(avg(value), 6) AS mean,
