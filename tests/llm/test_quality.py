@@ -82,3 +82,13 @@ def test_empty_tables(spark):
     assert quality.judge(docs, labels).count() == 0
     one = spark.createDataFrame([(1, "word " + " ".join(f"w{i}" for i in range(30)))], "doc_id long, text string")
     assert [r.kept for r in quality.judge(one, labels).collect()] == [True]
+
+
+def test_verdicts_on_labels_outside_the_fit(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    judged = quality.judge(docs, labels.filter(half == 0)).join(labels.filter(half == 1), "doc_id")
+    kept = {r.quality: r.kept for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1] > 0.9 and kept[0] < 0.2
