@@ -13,6 +13,7 @@ CLAIM = "(?im)^\\s*(?:remember|note|fact|important):\\s*(.{3,300})$"
 KEY_VALUE = "(?m)^\\s*[-*] +([A-Za-z][A-Za-z0-9 _]{1,40}): +(\\S.*)$"
 DECISION = "(?im)^\\s*(?:we (?:decided|agreed) to|decision:|let's go with)\\s*(.{5,300})$"
 LOOP = "(?im)^\\s*(task|reminder|blocker|question|follow-up|todo):\\s*(.{5,300})$"
+STATED = "(?i)^(?:the |a )?(.{2,60}?) (is|are|uses|expires|runs|has) (.+)$"
 #: Kinds of open loops by the word that opens the line.
 LOOP_KINDS = {"task": "task", "todo": "task", "reminder": "follow_up", "blocker": "dependency", "question": "question", "follow-up": "follow_up"}
 #: What stands between two names, and the relation that it states; the first that matches counts.
@@ -52,9 +53,10 @@ def claims(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, subject, predicate, object, confidence: what texts ask to be remembered, and their lists of keys and values."""
     t = plain(F.col("text"))
     said = docs.select(key, F.explode(F.regexp_extract_all(t, F.lit(CLAIM), F.lit(1))).alias("line")).withColumn("line", sentence(F.col("line")))
-    verb = F.regexp_extract("line", "^(?:the |a )?(.{2,60}?) (is|are|uses|expires|runs|has) (.+)$", 0) != ""
-    part = lambda n: F.regexp_extract("line", "(?i)^(?:the |a )?(.{2,60}?) (is|are|uses|expires|runs|has) (.+)$", n)
-    stated = said.filter(verb).select(key, F.lower(part(1)).alias("subject"), part(2).alias("predicate"), part(3).alias("object"), F.lit(0.9).alias("confidence"))
+    part = lambda n: F.regexp_extract("line", STATED, n)
+    stated = said.filter(F.col("line").rlike(STATED)).select(
+        key, F.lower(part(1)).alias("subject"), F.lower(part(2)).alias("predicate"), part(3).alias("object"), F.lit(0.9).alias("confidence")
+    )
     heading = F.regexp_extract(t, "(?m)^#{1,6} +(.+)$", 1)
     lines = docs.select(key, heading.alias("heading"), F.explode(F.regexp_extract_all(t, F.lit(KEY_VALUE), F.lit(0))).alias("line"))
     value = lambda n: F.regexp_extract("line", KEY_VALUE, n)
@@ -71,11 +73,12 @@ def loops(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, kind, text, priority of open tasks and questions."""
     lines = docs.select(key, F.explode(F.regexp_extract_all(plain(F.col("text")), F.lit(LOOP), F.lit(0))).alias("line"))
     word = F.lower(F.regexp_extract("line", LOOP, 1))
+    kind = F.when(word.isin("task", "todo"), "task").otherwise(word)
     kinds = F.create_map(*(F.lit(x) for pair in LOOP_KINDS.items() for x in pair))
-    return lines.select(key, F.try_element_at(kinds, word).alias("kind"), sentence(F.regexp_extract("line", LOOP, 2)).alias("text"), T.loop_priority(F.col("line")).alias("priority"))
+    return lines.select(key, F.try_element_at(kinds, word).alias("kind"), sentence(F.regexp_extract("line", LOOP, 2)).alias("text"), T.loop_priority(F.col("line"), kind).alias("priority"))
 
 
-def stated(between: Column) -> Column:
+def relation_of(between: Column) -> Column:
     """The relation that the words between two names state, or null."""
     first, *rest = (F.when(between.rlike(f"(?i){pattern}"), name) for pattern, name in VERBS)
     return F.coalesce(first, *rest)
@@ -85,5 +88,5 @@ def relations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, subject, predicate, object: two capitalised names with words between them that state a relation."""
     found = docs.select(key, F.explode(F.regexp_extract_all(plain(F.col("text")), F.lit(BETWEEN), F.lit(0))).alias("line"))
     part = lambda n: F.regexp_extract("line", BETWEEN, n)
-    named = found.select(key, F.lower(part(1)).alias("subject"), stated(part(2)).alias("predicate"), F.lower(part(3)).alias("object"))
+    named = found.select(key, F.lower(part(1)).alias("subject"), relation_of(part(2)).alias("predicate"), F.lower(part(3)).alias("object"))
     return named.filter("predicate IS NOT NULL").distinct()
