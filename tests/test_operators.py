@@ -175,7 +175,7 @@ def test_every_twentieth_vector_is_asked_in_blocks(spark, monkeypatch, same):
         want[q.vec_id] = [v for _, v in near[: 5 if same else 10]]
     assert all(q % 20 == 0 for q in want) and len(want) == 25
     got = {}
-    for r in registry.QUERIES["knn_filtered_topk_whole" if same else "knn_topk_whole"](spark, "/root/testdata/sf0.001").orderBy("query_id", "rank").collect():
+    for r in registry.QUERIES["knn_filtered_topk" if same else "knn_topk"](spark, "/root/testdata/sf0.001").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == want
 
@@ -188,7 +188,7 @@ def test_every_vector_is_judged_against_earlier_ones(spark, monkeypatch):
     gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5
     near = {r.vec_id: [gap(r.embedding, o.embedding) for o in rows if o.label == r.label and o.vec_id < r.vec_id] for r in rows}
     want = {k: min(d) <= 0.1**0.5 for k, d in near.items() if d}
-    got = {r.vec_id: r.duplicate for r in registry.QUERIES["existing_dups_whole"](spark, "/root/testdata/sf0.001").collect()}
+    got = {r.vec_id: r.duplicate for r in registry.QUERIES["existing_dups"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want and min(got) < 400
 
 
@@ -220,9 +220,9 @@ def test_texts_are_marked_normalised_and_quoted_whole(spark, tmp_path):
     spark.createDataFrame([(1, long, "de", "s", len(long))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 0, "user", long), (1, 1, "user", "b" * 50), (1, 2, "user", "c")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
-    assert run("highlight_whole")[0].marked == "x " * 150 + "**the**  End, und **der** Schluß"
-    assert run("text_functions_whole")[0].normal == "x " * 150 + "the end, und der schluß"
-    assert {r.turn: r.context for r in run("prior_context_whole")} == {1: long, 2: long + " / " + "b" * 50}
+    assert run("highlight")[0].marked == "x " * 150 + "**the**  End, und **der** Schluß"
+    assert run("text_functions")[0].normal == "x " * 150 + "the end, und der schluß"
+    assert {r.turn: r.context for r in run("prior_context")} == {1: long, 2: long + " / " + "b" * 50}
 
 
 def test_long_conversations_are_compacted_to_the_end(spark):
@@ -255,7 +255,7 @@ def test_quoted_and_coded_texts_have_names_and_null_texts_digests(spark, tmp_pat
         return found | {m.lower(): 0.6 for m in re.findall("[A-Z][a-z]+(?: [A-Z][a-z]+)+", t)}
 
     want = sorted((k, n, c) for k, t in rows for n, c in names(t).items())
-    got = registry.QUERIES["entity_mentions_whole"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["entity_mentions"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.name, r.confidence) for r in got) == want and (1, "blue bolt", 0.5) in want and (2, "cy dee", 0.6) in want
     copies = sorted(map(tuple, registry.QUERIES["exact_dedup"](spark, str(tmp_path)).select("doc_id", "first_id", "duplicate").collect()))
     assert copies == [(1, 1, False), (2, 2, False), (3, 3, False), (4, 3, True), (5, 5, False), (6, 5, True)]

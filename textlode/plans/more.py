@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
 from textlode.operators import compaction, extract, packing
-from textlode.plans.registry import ORACLES, QUERIES, query
+from textlode.plans.registry import query
 from textlode.plans.relational import MENTIONS_SQL, mentions
 from textlode.plans.retrieval import QUESTIONS, _bm25, vectors_with_copies
 from textlode.sources.tables import CLAIMS_SQL, MESSAGES_SQL, claims, messages, table
@@ -80,27 +78,15 @@ def conversation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.withColumn("n", F.row_number().over(by.orderBy(F.desc("turn")))).filter("n <= 3").select("conv_id", "turn", "has_more")
 
 
-@query("""SELECT conv_id, turn, array_to_string(list(left(text, 20)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' / ') AS context FROM conversations QUALIFY turn > 0""")
-def prior_context(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query("""SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' / ') AS context FROM conversations QUALIFY turn > 0""")
+def prior_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
-    text = F.col("text") if whole else F.substring("text", 1, 20)
-    c = table(spark, sf_dir, "conversations").withColumn("context", F.array_join(F.collect_list(text).over(w), " / "))
+    c = table(spark, sf_dir, "conversations").withColumn("context", F.array_join(F.collect_list("text").over(w), " / "))
     return c.filter("turn > 0").select("conv_id", "turn", "context")
 
 
-QUERIES["prior_context_whole"] = partial(prior_context, whole=True)
-ORACLES["prior_context_whole"] = ORACLES["prior_context"].replace("left(text, 20)", "text")
-
-
-@query("""SELECT doc_id, lower(name) AS name, 0.6::DOUBLE AS confidence FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS name
-  FROM documents WHERE NOT contains(text, '"') AND NOT contains(text, '`')) GROUP BY 1, 2""")
-def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("`")))
-    return extract.entities(d)
-
-
 @query()
-def entity_mentions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts, those with quotes and code too: SQL for them would be the operator over again, so a test has brute force."""
     return extract.entities(table(spark, sf_dir, "documents"))
 
@@ -131,19 +117,14 @@ def lease_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH near AS (SELECT a.vec_id, min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b
-  ON a.label = b.label AND b.vec_id < a.vec_id GROUP BY 1) SELECT vec_id, d <= sqrt(2 * 0.05::DOUBLE) AS duplicate FROM near WHERE vec_id >= 400""")
-def existing_dups(spark: SparkSession, sf_dir: str, first: int = 400) -> DataFrame:
-    """Is a new vector near one that its collection has? The nearest decides, so blocks send one distance a vector."""
+  ON a.label = b.label AND b.vec_id < a.vec_id GROUP BY 1) SELECT vec_id, d <= sqrt(2 * 0.05::DOUBLE) AS duplicate FROM near""")
+def existing_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is a vector near an earlier one of its collection? The nearest decides, so blocks send one distance a vector."""
     v = table(spark, sf_dir, "embeddings")
-    new = v.filter(F.col("vec_id") >= first)
-    nearest = packing.nearest_before(new, v, "label").groupBy("vec_id").agg(F.min("distance").alias("d"))
+    nearest = packing.nearest_before(v, v, "label").groupBy("vec_id").agg(F.min("distance").alias("d"))
     return nearest.select("vec_id", (F.col("d") <= (2 * 0.05) ** 0.5).alias("duplicate"))
 
 
-QUERIES["existing_dups_whole"] = partial(existing_dups, first=0)  # every vector against the earlier ones
-ORACLES["existing_dups_whole"] = ORACLES["existing_dups"].replace(" WHERE vec_id >= 400", "")
-
-
 @query()
 def distinct_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.greedy_distinct(vectors_with_copies(spark, sf_dir), "label", 0.95)
@@ -198,14 +179,8 @@ def temporal_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", resolve_hint(hint, F.to_date("ts")).alias("due"))
 
 
-@query("""SELECT doc_id, regexp_replace(left(text, 200), '\\b(der|the|and)\\b', '**\\1**', 'gi') AS marked FROM documents WHERE lang = 'en'""")
-def highlight(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    d, text = table(spark, sf_dir, "documents"), F.col("text")
-    if not whole:
-        d, text = d.filter("lang = 'en'"), F.substring("text", 1, 200)
+@query("""SELECT doc_id, regexp_replace(text, '\\b(der|the|and)\\b', '**\\1**', 'gi') AS marked FROM documents""")
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     # words end at ASCII characters, as in the SQL, whatever the Java version takes for \b
-    return d.select("doc_id", F.regexp_replace(text, "(?i)(?<![A-Za-z0-9_])(der|the|and)(?![A-Za-z0-9_])", "**$1**").alias("marked"))
-
-
-QUERIES["highlight_whole"] = partial(highlight, whole=True)
-ORACLES["highlight_whole"] = ORACLES["highlight"].replace("left(text, 200)", "text").replace(" WHERE lang = 'en'", "")
+    marked = F.regexp_replace("text", "(?i)(?<![A-Za-z0-9_])(der|the|and)(?![A-Za-z0-9_])", "**$1**")
+    return table(spark, sf_dir, "documents").select("doc_id", marked.alias("marked"))

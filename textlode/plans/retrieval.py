@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
 from textlode.operators import search
-from textlode.plans.registry import ORACLES, QUERIES, query
+from textlode.plans.registry import query
 from textlode.sources.tables import table
 
 QUESTIONS = ["the and", "licensed version", "under apache license", "and that with", "der und"]
@@ -32,8 +29,9 @@ def vectors_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("v.vec_id", "label", "v.embedding")
 
 
-#: The vectors that are asked: the fixed twenty of the first queries, and every twentieth row of the ``_whole`` ones.
-FIXED, WHOLE = "vec_id < 20", "vec_id % 20 = 0"
+#: The vectors that are asked: every twentieth row, and for fused queries also those of the questions.
+ASKED = "vec_id % 20 = 0"
+FUSED = f"({ASKED} OR vec_id < {len(QUESTIONS)})"
 
 TOKENS_SQL = "list_filter(regexp_split_to_array(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
@@ -54,9 +52,13 @@ summed AS (SELECT query_id, doc_id, n_terms, sum(idf * tf * 2.2::DOUBLE / (tf +
 
 
 BM25_ROWS = "bm25 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM summed WHERE hits = n_terms)"
-KNN_ROWS = """knn AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance,
+def knn_sql(asked: str) -> str:
+    return f"""knn AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), c.vec_id) AS rank
-  FROM embeddings c, embeddings q WHERE q.vec_id < 20)"""
+  FROM embeddings c, embeddings q WHERE {asked.replace("vec_id", "q.vec_id")})"""
+
+
+KNN_ROWS = knn_sql(ASKED)
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -64,7 +66,7 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return search.top(found, [F.desc(F.round("score", 9)), F.col("doc_id")], k)
 
 
-def _knn(spark: SparkSession, sf_dir: str, k: int, same: bool = False, asked: str = FIXED) -> DataFrame:
+def _knn(spark: SparkSession, sf_dir: str, k: int, same: bool = False, asked: str = ASKED) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
     return search.nearest(vectors, queries, k, queries.count(), "label" if same else None)
@@ -89,47 +91,45 @@ def bm25_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {KNN_ROWS} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM knn WHERE rank <= 10")
-def knn_topk(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
-    return _knn(spark, sf_dir, 10, asked=asked).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
     """SELECT q.vec_id AS query_id, c.vec_id, round(list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), c.vec_id) AS rank
-  FROM embeddings c JOIN embeddings q ON c.label = q.label WHERE q.vec_id < 20 QUALIFY rank <= 5"""
+  FROM embeddings c JOIN embeddings q ON c.label = q.label WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5"""
 )
-def knn_filtered_topk(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
-    return _knn(spark, sf_dir, 5, same=True, asked=asked).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+def knn_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, 5, same=True).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {KNN_ROWS} SELECT query_id, vec_id, round(distance, 6) AS distance FROM knn WHERE rank <= 20 AND distance < 1.05")
-def similarity_gate(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
-    return _knn(spark, sf_dir, 20, asked=asked).filter("distance < 1.05").select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+def similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, 20).filter("distance < 1.05").select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 def fused_sql(w1: float, w2: float) -> str:
-    return f"""WITH {bm25_sql(QUESTIONS, 'documents', 'doc_id')}, {BM25_ROWS}, {KNN_ROWS},
+    return f"""WITH {bm25_sql(QUESTIONS, 'documents', 'doc_id')}, {BM25_ROWS}, {knn_sql(FUSED)},
 parts AS (SELECT query_id, doc_id AS item, {w1}::DOUBLE / (60 + rank) AS part FROM bm25 WHERE rank <= 100
-  UNION ALL SELECT query_id, vec_id, {w2}::DOUBLE / (60 + rank) FROM knn WHERE rank <= 100 AND query_id < 5),
+  UNION ALL SELECT query_id, vec_id, {w2}::DOUBLE / (60 + rank) FROM knn WHERE rank <= 100),
 fused AS (SELECT query_id, item, sum(part) AS score FROM parts GROUP BY ALL)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str, w1: float, w2: float, asked: str = FIXED) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str, w1: float, w2: float) -> DataFrame:
     words = _bm25(spark, sf_dir, 100).withColumnRenamed("doc_id", "item")
-    vectors = _knn(spark, sf_dir, 100, asked=asked).withColumnRenamed("vec_id", "item")
-    if asked == FIXED:
-        vectors = vectors.filter("query_id < 5")
+    vectors = _knn(spark, sf_dir, 100, asked=FUSED).withColumnRenamed("vec_id", "item")
     return search.fuse({"words": words, "vectors": vectors}, {"words": w1, "vectors": w2})
 
 
 @query(fused_sql(1.0, 1.0) + " SELECT query_id, item, round(score, 9) AS score FROM fused")
-def rrf_fusion(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
-    return _fused(spark, sf_dir, 1.0, 1.0, asked=asked).withColumn("score", F.round("score", 9))
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir, 1.0, 1.0).withColumn("score", F.round("score", 9))
 
 
 @query(fused_sql(0.3, 0.7) + " SELECT query_id, item, round(score, 9) AS score FROM fused")
-def rrf_weighted(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
-    return _fused(spark, sf_dir, 0.3, 0.7, asked=asked).withColumn("score", F.round("score", 9))
+def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir, 0.3, 0.7).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -140,10 +140,10 @@ lines AS (SELECT *, ceil(length(source || ' (' || chunks || ')') / 3.8::DOUBLE):
 packed AS (SELECT *, sum(cost) OVER w AS running, row_number() OVER w AS place FROM lines WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT query_id, place, source, chunks, item, round(score, 9) AS score FROM packed WHERE running <= 50 OR place = 1"""
 )
-def retrieve_titles(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
+def retrieve_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused retrieval, the best hit of each source, and titles within 50 tokens."""
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "source")
-    found = _fused(spark, sf_dir, 1.0, 1.0, asked=asked).join(source, "item").withColumn("score", F.round("score", 9))
+    found = _fused(spark, sf_dir, 1.0, 1.0).join(source, "item").withColumn("score", F.round("score", 9))
     counted = found.withColumn("chunks", F.count("*").over(Window.partitionBy("query_id", "source")))
     best = search.best_per_source(counted)
     line = F.concat(F.col("source"), F.lit(" ("), F.col("chunks").cast("string"), F.lit(")"))
@@ -155,16 +155,16 @@ def retrieve_titles(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> Dat
 @query(
     f"""WITH knn AS (SELECT q.vec_id AS query_id, list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), c.vec_id) AS rank
-  FROM {VECTORS_SQL} c, embeddings q WHERE q.vec_id < 20 AND c.vec_id <> q.vec_id)
+  FROM {VECTORS_SQL} c, embeddings q WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, max(distance) FILTER (rank = 2) / nullif(max(distance) FILTER (rank = 1), 0) > 2
   OR max(distance) FILTER (rank = 1) = 0 AS clear, coalesce((max(distance) FILTER (rank = 1)) <= 0.8
   AND (max(distance) FILTER (rank = 1) = 0 OR max(distance) FILTER (rank = 2) / max(distance) FILTER (rank = 1) > 2), false) AS skip
   FROM knn WHERE rank <= 2 GROUP BY query_id"""
 )
-def rerank_skip_flag(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
+def rerank_skip_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is the nearest other vector near, and clearly nearer than the next? The vector itself is in the corpus and does not count."""
     corpus = vectors_with_copies(spark, sf_dir)
-    queries = table(spark, sf_dir, "embeddings").filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = table(spark, sf_dir, "embeddings").filter(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     others = search.nearest(corpus, queries, 3, queries.count()).filter("vec_id <> query_id").drop("rank")
     two = search.top(others, [F.round("distance", 9), F.col("vec_id")], 2).groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("b")
@@ -174,15 +174,17 @@ def rerank_skip_flag(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> Da
 
 
 @query(
-    f"""WITH {KNN_ROWS}, top AS (SELECT * FROM knn WHERE rank <= 10)
+    f"""WITH {KNN_ROWS}, top AS (SELECT * FROM knn WHERE vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10)
 SELECT query_id, vec_id, CASE WHEN hi = lo THEN '●●●' WHEN (hi - distance) / (hi - lo) >= 0.75 THEN '●●●' WHEN (hi - distance) / (hi - lo) >= 0.5 THEN '●●○'
   WHEN (hi - distance) / (hi - lo) >= 0.25 THEN '●○○' ELSE '○○○' END AS label,
   CASE WHEN lo < 0.5 THEN 0.8 WHEN lo < 0.8 THEN 0.5 WHEN lo < 1.0 THEN 0.3 ELSE 0.1 END::DOUBLE AS confidence
 FROM (SELECT *, min(distance) OVER (PARTITION BY query_id) AS lo, max(distance) OVER (PARTITION BY query_id) AS hi FROM top)"""
 )
-def relevance_label(spark: SparkSession, sf_dir: str, asked: str = FIXED) -> DataFrame:
+def relevance_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the ten nearest other vectors, by their place between the nearest and the farthest of them."""
     w = Window.partitionBy("query_id")
-    rows = _knn(spark, sf_dir, 10, asked=asked).withColumn("lo", F.min("distance").over(w)).withColumn("hi", F.max("distance").over(w))
+    others = search.top(_knn(spark, sf_dir, 11).filter("vec_id <> query_id").withColumnRenamed("rank", "own"), [F.col("own")], 10)
+    rows = others.withColumn("lo", F.min("distance").over(w)).withColumn("hi", F.max("distance").over(w))
     share = F.try_divide(F.col("hi") - F.col("distance"), F.col("hi") - F.col("lo"))
     return rows.select("query_id", "vec_id", T.relevance_label(share).alias("label"), T.distance_confidence(F.col("lo")).alias("confidence"))
 
@@ -214,16 +216,3 @@ def neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlode.operators.packing import close_pairs
 
     return close_pairs(vectors_with_copies(spark, sf_dir), "label", 0.95)
-
-
-def _whole(f: Callable, asked: str) -> None:
-    """Registers a query once more for the whole query set, with its SQL for that set."""
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = partial(f, asked=asked)
-    ORACLES[name] = ORACLES[f.__name__].replace("q.vec_id < 20", f"({asked.replace('vec_id', 'q.vec_id')})").replace(" AND query_id < 5", "")
-
-
-for _f in (knn_topk, knn_filtered_topk, similarity_gate, rerank_skip_flag, relevance_label):
-    _whole(_f, WHOLE)
-for _f in (rrf_fusion, rrf_weighted, retrieve_titles):  # each question keeps its vector
-    _whole(_f, f"{WHOLE} OR vec_id < {len(QUESTIONS)}")

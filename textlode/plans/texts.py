@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
-from textlode.plans.registry import ORACLES, QUERIES, query
+from textlode.plans.registry import query
 from textlode.sources.tables import table
 
 
 @query("""SELECT doc_id, ceil(length(text) / 3.8::DOUBLE)::BIGINT AS tokens, ceil(length(text) / 4.0::DOUBLE)::BIGINT AS tokens4,
-  regexp_replace(trim(lower(left(text, 200))), '\\s+', ' ', 'g') AS normal, substr(sha256(substr(trim(lower(text)), 1, 100)), 1, 16) AS prefix_hash FROM documents WHERE lang = 'en'""")
-def text_functions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    d, t = table(spark, sf_dir, "documents"), F.col("text")
-    d = d if whole else d.filter("lang = 'en'")
-    return d.select(
-        "doc_id", T.estimate_tokens(t).alias("tokens"), T.estimate_tokens(t, 4.0).alias("tokens4"),
-        T.normalize(t if whole else F.substring(t, 1, 200)).alias("normal"), T.hash_prefix(t, 100).alias("prefix_hash"),
+  regexp_replace(trim(lower(text)), '\\s+', ' ', 'g') AS normal, substr(sha256(substr(trim(lower(text)), 1, 100)), 1, 16) AS prefix_hash FROM documents""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", T.estimate_tokens(t).alias("tokens"), T.estimate_tokens(t, 4.0).alias("tokens4"), T.normalize(t).alias("normal"), T.hash_prefix(t, 100).alias("prefix_hash"),
     )
 
 
-QUERIES["text_functions_whole"] = partial(text_functions, whole=True)
-ORACLES["text_functions_whole"] = ORACLES["text_functions"].replace("left(text, 200)", "text").replace(" WHERE lang = 'en'", "")
-
-
 @query("""SELECT page_id, list_distinct(list_filter(list_concat([regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1)],
     CASE WHEN len(p) > 1 THEN p[greatest(len(p) - 2, 1) : greatest(len(p) - 2, 1) + least(2, len(p) - 1) - 1] ELSE [] END),
     lambda t: length(t) BETWEEN 2 AND 29 AND t NOT IN ('src', 'docs', 'index', 'tmp', 'www'))).list_sort() AS tags,
