@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from textlode.llm import bpe, jaccard, lm, media, mixing, pii, quality, secrets, substring, toxicity
+from textlode.llm import bpe, counts, jaccard, lm, media, mixing, pii, quality, secrets, substring, toxicity
 from textlode.llm.common import remainder_column, table
 
 
@@ -64,7 +64,12 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_pii, op9_lm_scoring, op10_bpe_round_trip)
+    for f in (op1_ngram_jaccard, op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_pii, op9_lm_scoring, op10_bpe_round_trip, op13_token_counts)
 }
