@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import bpe, counts, jaccard, lm, media, mixing, pii, quality, secrets, substring, toxicity
-from textlode.llm.common import remainder_column, table
+from textlode.llm import bpe, counts, jaccard, lm, media, mixing, pii, quality, secrets, substring, toxicity, turns
+from textlode.llm.common import remainder_column, stored, table
 
 
 def vocabulary_path() -> str:
@@ -64,6 +65,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    damaged = turns.damaged(original)
+    audits = stored(turns.audits(damaged))
+    digests = turns.digests(turns.repaired(damaged, audits))
+    zeros = {"gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
+    found = audits.join(digests.withColumnRenamed("conv_id", "conv"), F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    every = original.select(F.col("conv_id").alias("conv")).distinct()
+    found = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv_id")
+    return found.select(F.col("conv").alias("conv_id"), *(F.coalesce(c, F.lit(v)).alias(c) for c, v in zeros.items()))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -71,5 +84,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_pii, op9_lm_scoring, op10_bpe_round_trip, op13_token_counts)
+    for f in (op1_ngram_jaccard, op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_pii, op9_lm_scoring, op10_bpe_round_trip, op11_structure_repair, op13_token_counts)
 }
