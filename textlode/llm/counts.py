@@ -91,7 +91,7 @@ class Splitter(bpe.Codec):
         self.bytes = dict(enumerate(bpe.byte_symbols()))
 
     def known(self, text: str) -> bool:
-        return self.splits and (text.isascii() or not self.unknown.search(text))
+        return self.splits and (text.isascii() or not self.beyond_latin.search(text) or not self.unknown.search(text))
 
     def whole(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
