@@ -5,9 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from textlode.llm import queries, turns
+from textlode.llm.sql import ORACLES
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 FORM = re.compile("(s?(ua)+)?")
@@ -172,3 +174,12 @@ def test_product_is_associative():
         kinds = "".join(rng.choice("suaoSUAOX") for _ in range(rng.randint(2, 60)))
         cut = rng.randrange(1, len(kinds))
         assert turns.times(turns.product(kinds[:cut]), turns.product(kinds[cut:])) == turns.product(kinds)
+
+
+def test_query_against_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.conv_id: tuple(r[c] for c in COLUMNS) for r in queries.op11_structure_repair(spark, sf).collect()}
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = duck.sql(f"SELECT conv_id, {', '.join(COLUMNS)} FROM ({ORACLES['op11_structure_repair']})").fetchall()
+    assert got == {r[0]: r[1:] for r in want}

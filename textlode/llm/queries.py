@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import bpe, counts, jaccard, lm, media, mixing, pii, quality, secrets, substring, toxicity, turns
+from textlode.llm import bpe, counts, jaccard, lm, media, mixing, negatives, pii, quality, secrets, substring, toxicity, turns
 from textlode.llm.common import remainder_column, stored, table
 
 
@@ -77,6 +77,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("conv").alias("conv_id"), *(F.coalesce(c, F.lit(v)).alias(c) for c, v in zeros.items()))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -84,5 +90,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_pii, op9_lm_scoring, op10_bpe_round_trip, op11_structure_repair, op13_token_counts)
+    for f in (op1_ngram_jaccard, op2_quality_rules, op3_source_mixing, op4_secret_scan, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_pii, op9_lm_scoring, op10_bpe_round_trip, op11_structure_repair, op12_hard_negatives, op13_token_counts)
 }
