@@ -242,20 +242,15 @@ def test_long_conversations_are_compacted_to_the_end(spark):
 
 
 def test_quoted_and_coded_texts_have_names_and_null_texts_digests(spark, tmp_path):
-    import re
-
     from textlode.plans import registry
 
     rows = [(1, 'Ann Lee said "blue bolt" to Bo Ray'), (2, "see `Not Me` and\n```\nNor Me\n```\nCy Dee"), (3, None), (4, None), (5, "Ann Lee"), (6, "Ann Lee")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
 
-    def names(text):
-        t = re.sub("`[^`\n]*`", " ", re.sub("(?s)```.*?(```|$)", " ", text or ""))
-        found = {m.lower(): 0.5 for m in re.findall('"([A-Za-z][A-Za-z0-9 ]{2,40})"', t)}
-        return found | {m.lower(): 0.6 for m in re.findall("[A-Z][a-z]+(?: [A-Z][a-z]+)+", t)}
-
-    want = sorted((k, n, c) for k, t in rows for n, c in names(t).items())
+    spark.createDataFrame([(1, "the ann lee of red")], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "blue bolt")], "p_partkey int, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     got = registry.QUERIES["entity_mentions"](spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, r.name, r.confidence) for r in got) == want and (1, "blue bolt", 0.5) in want and (2, "cy dee", 0.6) in want
+    want = {(1, "ann lee", 0.9), (1, "blue bolt", 0.9), (1, "bo ray", 0.6), (2, "cy dee", 0.6), (5, "ann lee", 0.9), (6, "ann lee", 0.9)}
+    assert {(r.doc_id, r.name, r.confidence) for r in got} == want and {r.context_terms for r in got if r.doc_id == 1} == {"ann lee|blue bolt"}
     copies = sorted(map(tuple, registry.QUERIES["exact_dedup"](spark, str(tmp_path)).select("doc_id", "first_id", "duplicate").collect()))
     assert copies == [(1, 1, False), (2, 2, False), (3, 3, False), (4, 3, True), (5, 5, False), (6, 5, True)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
-from textlode.operators import compaction, extract, packing
+from textlode.operators import compaction, packing
 from textlode.plans.registry import query
 from textlode.plans.relational import MENTIONS_SQL, mentions
 from textlode.plans.retrieval import QUESTIONS, _bm25, vectors_with_copies
@@ -85,12 +85,6 @@ def prior_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.filter("turn > 0").select("conv_id", "turn", "context")
 
 
-@query()
-def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts, those with quotes and code too: SQL for them would be the operator over again, so a test has brute force."""
-    return extract.entities(table(spark, sf_dir, "documents"))
-
-
 @query(f"""WITH {CLAIMS_SQL}, o AS (SELECT canonical_key, max(confidence) AS c FROM claims WHERE created_at < TIMESTAMP '2024-01-20' GROUP BY 1),
 n AS (SELECT canonical_key, max(confidence) AS c FROM claims WHERE created_at >= TIMESTAMP '2024-01-20' GROUP BY 1)
 SELECT canonical_key, round(CASE WHEN o.c IS NULL THEN n.c WHEN n.c IS NULL THEN o.c ELSE 0.7::DOUBLE * n.c + 0.3::DOUBLE * o.c END, 6) AS confidence FROM o FULL JOIN n USING (canonical_key)""")

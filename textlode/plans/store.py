@@ -8,35 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.operators import graph
+from textlode.operators.filters import LEAST_CONFIDENCE, META_PREDICATES, META_SUBJECTS, PATHS, RELATIVE, SENDING, STATING, is_junk
 from textlode.plans.history import DAG_SQL, dag
 from textlode.plans.registry import query
 from textlode.plans.relational import MENTIONS_SQL, mentions
 from textlode.plans.retrieval import BM25_ROWS, QUESTIONS, _bm25, bm25_sql
 from textlode.sources.tables import CLAIMS_SQL, MESSAGES_SQL, claims, messages, table
 
-#: Subjects and predicates of messages' own data, which are no knowledge.
-META_SUBJECTS = ("message", "user message", "assistant", "bot", "system", "image", "attachment", "file")
-META_PREDICATES = ("sent", "contains", "timestamp", "received", "delivered", "forwarded", "replied", "sender", "sent_by", "from", "file_path", "type", "size", "format")
-SENDING = ("sent", "sender", "sent_by")
-STATING = (*META_SUBJECTS, "document", "user_note", "general")
-PATHS = r"^[a-z]:\\|^/[a-z]|\\users\\|\\home/"
-RELATIVE = r"^\./|^\.\./|^src/|^dist/|^node_modules/"
-LEAST_CONFIDENCE = 0.35
-
-
 def listed(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def is_junk(subject: Column, predicate: Column, value: Column, confidence: Column) -> Column:
-    """Claims about messages, paths and addresses, and those of little confidence."""
-    s, p, v = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (subject, predicate, value))
-    return (
-        (s.isin(*META_SUBJECTS) & p.isin(*META_PREDICATES)) | v.rlike(f"(?i){PATHS}") | s.rlike(f"(?i){PATHS}") | s.rlike("^(http|https|ftp)://")
-        | v.rlike(RELATIVE) | (F.coalesce(confidence, F.lit(0.0)) < LEAST_CONFIDENCE) | p.isin(*SENDING) | ((p == "states") & s.isin(*STATING))
-    )
-
-
 #: Claims of each kind of junk and of none, by event.
 SAID = (
     ("Message", "contains", "hello"), ("docs site", "is", "https://docs.example.com"), ("config", "path", "/etc/hosts"), ("http://x.y", "is", "down"), ("build", "output", "./dist/a"),
