@@ -206,13 +206,23 @@ def known_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KNOWN_SQL = """words AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM benchmark),
 known AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM words) UNION SELECT p_name FROM part)"""
-TERM_MENTIONS_SQL = f"""{KNOWN_SQL}, mentions AS (SELECT doc_id, term, source FROM documents JOIN known ON contains(lower(text), term) AND regexp_matches(lower(text), '\\b' || term || '\\b'))"""
-
-
-@query(f"WITH {TERM_MENTIONS_SQL} SELECT doc_id, term FROM mentions")
-def term_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which texts name which of some thousand known terms."""
-    return terms.find(table(spark, sf_dir, "documents"), known_terms(spark, sf_dir)).filter("bounded").select("doc_id", "term")
+TERM_MENTIONS_SQL = f"""{KNOWN_SQL}, low AS MATERIALIZED (SELECT doc_id, source, lower(text) AS low FROM documents),
+tokens AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(regexp_extract_all(low, '[a-z0-9_]+'))) AS token FROM low),
+keyed AS (SELECT term, regexp_extract(term, '^[^a-z0-9_]*([a-z0-9_]+)', 1) AS first, regexp_extract(term, '([a-z0-9_]+)[^a-z0-9_]*$', 1) AS last FROM known),
+held AS MATERIALIZED (SELECT DISTINCT low.doc_id, term, source FROM keyed JOIN tokens a ON a.token = first JOIN tokens b ON b.token = last AND b.doc_id = a.doc_id JOIN low ON low.doc_id = a.doc_id
+  WHERE contains(low, term) AND regexp_matches(low, '\\b' || term || '\\b'))"""
+
+
+def held_terms(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, term and further columns of documents: which texts name which known terms."""
+    d = table(spark, sf_dir, "documents")
+    if not more:
+        return terms.find(d, known_terms(spark, sf_dir)).filter("bounded").select("doc_id", "term")
+    # the columns travel through the pass as a part of the key, so no join follows
+    keyed = d.select(F.to_json(F.struct("doc_id", *more)).alias("key"), "text")
+    found = terms.find(keyed, known_terms(spark, sf_dir), "key").filter("bounded")
+    row = F.from_json("key", d.select("doc_id", *more).schema)
+    return found.select(row.alias("d"), "term").select("d.*", "term")
 
 
 @query()

@@ -6,22 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
+from textlode.operators import awareness
+from textlode.plans.extraction import TERM_MENTIONS_SQL, held_terms
 from textlode.plans.registry import query
 from textlode.sources.tables import ATTEMPTS_SQL, attempts, table
 
-TERMS = ("licensed", "version", "apache", "idiot", "token", "der", "the", "und")
-TERM_VALUES = ", ".join(f"('{t}')" for t in TERMS)
-MENTIONS_SQL = f"""mentions AS (SELECT DISTINCT term, doc_id, source FROM (SELECT doc_id, source,
-  unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))) AS term FROM documents)
-  JOIN (VALUES {TERM_VALUES}) AS known(term) USING (term))"""
+MENTIONS_SQL = f"{TERM_MENTIONS_SQL}, mentions AS (SELECT DISTINCT term, doc_id, source FROM held)"
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(term, doc_id, source): which texts name which known terms, by equality of tokens."""
-    d = table(spark, sf_dir, "documents")
-    words = F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))
-    known = F.array(*map(F.lit, TERMS))
-    return d.select("doc_id", "source", F.explode(F.array_intersect(words, known)).alias("term"))
+    """(term, doc_id, source): which texts name which known terms."""
+    return held_terms(spark, sf_dir, "source")
 
 
 @query("SELECT source AS collection, count(*) AS documents, coalesce(sum(n_chars), 0)::BIGINT AS chars, max(n_chars) AS longest, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
@@ -87,12 +82,9 @@ def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {MENTIONS_SQL} SELECT a.term AS a, b.term AS b, count(DISTINCT a.doc_id) AS sources FROM mentions a
   JOIN mentions b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2""")
 def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of terms by texts that name both: pairs are made inside a row, so a text that names all costs no join."""
-    d = table(spark, sf_dir, "documents")
-    found = F.array_sort(F.array_intersect(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")), F.array(*map(F.lit, TERMS))))
-    named = d.select(found.alias("terms"))
-    pairs = F.flatten(F.transform("terms", lambda a: F.transform(F.filter("terms", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return named.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("sources"))
+    """Pairs of terms by texts that name both: pairs are made inside a text's row."""
+    m = mentions(spark, sf_dir).select(F.col("term").alias("entity"), F.col("doc_id").alias("source"))
+    return awareness.connections(m).select("a", "b", "sources")
 
 
 @query(f"""WITH {MENTIONS_SQL}, sources AS (SELECT DISTINCT term, source FROM mentions)

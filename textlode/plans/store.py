@@ -180,13 +180,14 @@ def fresh_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.size("fresh").cast("long").alias("fresh"), F.array_join(F.array_sort("fresh"), " ").alias("terms"))
 
 
-@query(f"""WITH {MENTIONS_SQL}, near AS (SELECT DISTINCT doc_id FROM mentions WHERE term IN ('licensed', 'token'))
-SELECT term, sources FROM (SELECT term, count(*) AS sources, row_number() OVER (ORDER BY count(*) DESC, term) AS n FROM mentions SEMI JOIN near USING (doc_id) WHERE term NOT IN ('licensed', 'token') GROUP BY term) WHERE n <= 3""")
+@query(f"""WITH {MENTIONS_SQL}, given AS (SELECT term FROM mentions GROUP BY term ORDER BY count(*) DESC, term LIMIT 2), near AS (SELECT DISTINCT doc_id FROM mentions WHERE term IN (SELECT term FROM given))
+SELECT term, sources FROM (SELECT term, count(*) AS sources, row_number() OVER (ORDER BY count(*) DESC, term) AS n FROM mentions SEMI JOIN near USING (doc_id) WHERE term NOT IN (SELECT term FROM given) GROUP BY term) WHERE n <= 3""")
 def proactive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three terms that most often share a text with given ones."""
-    m, given = mentions(spark, sf_dir), ("licensed", "token")
-    near = m.filter(F.col("term").isin(*given)).select("doc_id").distinct()
-    counted = m.filter(~F.col("term").isin(*given)).join(near, "doc_id", "left_semi").groupBy("term").agg(F.count("*").alias("sources"))
+    """The three terms that most often share a text with the two most frequent ones."""
+    m = mentions(spark, sf_dir).select("term", "doc_id")
+    given = F.broadcast(m.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(2).select("term"))
+    near = m.join(given, "term", "left_semi").select("doc_id").distinct()
+    counted = m.join(given, "term", "left_anti").join(near, "doc_id", "left_semi").groupBy("term").agg(F.count("*").alias("sources"))
     return counted.orderBy(F.desc("sources"), "term").limit(3)
 
 
