@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlode.operators import search
 from textlode.operators.chunking import sentences, tokens_of
+from textlode.sources.shared import durable
 
 
 def pack_context(ranked: DataFrame, budget: int) -> DataFrame:
@@ -69,52 +68,36 @@ def brief(ranked: DataFrame, budget: int, per_chunk: int = 3) -> DataFrame:
     return ranked.select("query_id", "query", "item", "text", "score").groupBy("query_id").applyInPandas(choose, schema)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder of ``spark.checkpoint.dir``; only a session on this machine alone may leave it unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def close_pairs(vectors: DataFrame, by: str, least_cosine: float) -> DataFrame:
-    """a, b: pairs of one group, a before b, whose cosine reaches the least one; blocks of a group meet blocks."""
+    """a, b: pairs of one group, a before b (by id), whose cosine reaches the least one; blocks of a group meet blocks, each pair once.
+
+    Vectors of different lengths are no pairs.
+    """
     import numpy as np
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.array([], "i8"), np.array([], "i8"))]
-        if len(left) and len(right):
-            a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            x, y = (np.stack(side["embedding"].to_numpy()).astype("f8") for side in (left, right))
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-            i, j = np.nonzero((x @ y.T >= least_cosine) & (a[:, None] < b[None, :]))
-            out.append((a[i], b[j]))
-        return pd.DataFrame(dict(zip(("a", "b"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+    def run(left: search.Side, right: search.Side, same: bool) -> dict[str, np.ndarray]:
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (left.vectors, right.vectors))
+        i, j = np.nonzero(x @ y.T >= least_cosine)
+        a, b = left.ids[i], right.ids[j]
+        kept = a < b if same else a != b
+        return {"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept]}
 
-    v = vectors.select(by, "vec_id", "embedding").filter("embedding IS NOT NULL")
-    n = v.count()
-    return search.blocked(v, v, ("vec_id", "vec_id"), (n, n), run, "a long, b long", by)
+    v = vectors.select(by, F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.blocked(v, None, by, run, "a long, b long")
 
 
 def nearest_before(new: DataFrame, old: DataFrame, by: str) -> DataFrame:
     """vec_id, distance: of each new vector, the nearest earlier one of its group in each block of the old ones."""
     import numpy as np
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            ids, x = right["vec_id"].to_numpy(), np.stack(right["embedding"].to_numpy()).astype("f8")
-            for vec_id, y in zip(left["vec_id"], left["embedding"], strict=True):
-                earlier = x[ids < vec_id]
-                if len(earlier):
-                    rows.append((vec_id, float(np.sqrt(np.square(earlier - np.asarray(y, "f8")).sum(axis=1)).min())))
-        return pd.DataFrame(rows, columns=["vec_id", "distance"])
-
-    new, old = (v.select(by, "vec_id", "embedding").filter("embedding IS NOT NULL") for v in (new, old))
-    return search.blocked(new, old, ("vec_id", "vec_id"), (new.count(), old.count()), run, "vec_id long, distance double", by)
+    def run(left: search.Side, right: search.Side, same: bool) -> dict[str, np.ndarray]:
+        d = np.sqrt(search.squares(left.vectors, right.vectors))
+        d[right.ids[None, :] >= left.ids[:, None]] = np.inf
+        best = d.min(axis=1)
+        return {"vec_id": left.ids[np.isfinite(best)], "distance": best[np.isfinite(best)]}
+
+    new, old = (v.select(by, F.col("vec_id").alias("id"), F.col("embedding").alias("vector")) for v in (new, old))
+    return search.blocked(new, old, by, run, "vec_id long, distance double")
 
 
 def greedy_distinct(vectors: DataFrame, by: str, least_cosine: float = 0.95) -> DataFrame:

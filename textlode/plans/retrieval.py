@@ -69,7 +69,7 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 def _knn(spark: SparkSession, sf_dir: str, k: int, same: bool = False, asked: str = ASKED) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
-    return search.nearest(vectors, queries, k, queries.count(), "label" if same else None)
+    return search.nearest(vectors, queries, k, "label" if same else None)
 
 
 @query(f"WITH {bm25_sql(QUESTIONS, 'documents', 'doc_id')}, {BM25_ROWS} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 10")
@@ -165,7 +165,7 @@ def rerank_skip_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is the nearest other vector near, and clearly nearer than the next? The vector itself is in the corpus and does not count."""
     corpus = vectors_with_copies(spark, sf_dir)
     queries = table(spark, sf_dir, "embeddings").filter(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    others = search.nearest(corpus, queries, 3, queries.count()).filter("vec_id <> query_id").drop("rank")
+    others = search.nearest(corpus, queries, 3).filter("vec_id <> query_id").drop("rank")
     two = search.top(others, [F.round("distance", 9), F.col("vec_id")], 2).groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("b")
     )
