@@ -163,6 +163,19 @@ def fallback_snippet(text: Column, terms: list[str]) -> Column:
     return F.when(at.isNotNull(), around).when(F.length(text) > 80, F.concat(F.substring(text, 1, 77), F.lit("..."))).otherwise(text)
 
 
+def snippet_around(text: Column, terms: Column) -> Column:
+    """As ``fallback_snippet`` for a column of lower-case terms; of terms at one place the first counts."""
+    low = F.lower(text)
+    found = F.filter(F.transform(terms, lambda t, i: F.struct(F.instr(low, t).alias("p"), i.alias("i"), F.length(t).alias("n"))), lambda x: x["p"] > 0)
+    first = F.array_min(found)
+    start, end = F.greatest(first["p"] - 25, F.lit(0)), F.least(F.length(text), first["p"] - 1 + F.greatest(first["n"], F.lit(1)) + 40)
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    around = F.concat(F.when(start > 0, "...").otherwise(""), strip(F.substring(text, start + 1, end - start)), F.when(end < F.length(text), "...").otherwise(""))
+    head = strip(text)
+    cut = F.concat(F.regexp_replace(F.substring(head, 1, 77), r"\s+$", ""), F.lit("..."))
+    return F.when(F.size(found) > 0, around).when(F.length(head) <= 80, head).otherwise(cut)
+
+
 def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns))
 
