@@ -7,16 +7,17 @@ pieces. A text is a row of words, each drawn from that model, and an end. The
 vocabulary file stores merge ranks as scores; they give a weight
 1 / (rank + ``FLAT``) to each piece. ``rounds`` passes of expectation
 maximisation over the counts of the training words fit the weights to the
-corpus, with the vocabulary's own weights as ``PSEUDO`` counts beside the
-expected ones; each pass sums expected piece counts, one number for each piece
-of the vocabulary, whatever the data.
-
-Beside it stands the base score of add-one word counts. All training rows are
-counted, map-side first. Counts of at most ``common`` words, those above the
-least count that leaves no more (found from a histogram of counts, some hundred
-rows), are broadcast; each text sends its other words, which are few, to be
-joined with the full table of counts. So the vocabulary of the corpus may grow
-without bound, and a hot word moves no rows.
+corpus, with the vocabulary's own weights beside the expected counts, as
+pseudo-counts of a share ``PSEUDO`` of the training words; each pass sums expected
+piece counts, one number for each piece of the vocabulary, whatever the data.
+
+Beside it stands the base score of add-one word counts. All words are counted,
+map-side first, those of training rows apart, and one pass over the table of
+words gives each its probability, so that no word is computed twice. Of at most
+``common`` words, those above the least count that leaves no more (found from a
+histogram of counts, some hundred rows), count and probability are broadcast; each
+text sends its other words, which are few, to be joined with the full table. So
+the vocabulary of the corpus may grow without bound, and a hot word moves no rows.
 
 Null and blank texts have no words and score the end alone. Characters outside
 the vocabulary are spelled in its byte pieces. Words of n characters take
@@ -46,10 +47,9 @@ SPACE_MARK = "▁"
 COMMON = 100_000
 ROUNDS = 2
 FLAT = 100.0
-PSEUDO = 1_000.0
+PSEUDO = 0.1
 #: Steps of the histogram of counts for each power of two.
 STEPS = 8
-CACHED = 1_000_000
 SHORT = 64  # characters of words that are computed by the batch
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,12 +72,11 @@ def read_pieces(path: str) -> tuple[dict[str, float], list[float]]:
 
 
 class Lattice:
-    """All segmentations of words, with a bounded cache of word probabilities."""
+    """All segmentations of words."""
 
     def __init__(self, pieces: dict[str, float], spelled: list[float]):
         self.pieces, self.spelled = pieces, spelled
         self.longest = max(map(len, pieces), default=1)
-        self.cache: dict[bytes, float] = {}
         self.names, self.tables, self.powers = list(pieces), {}, {}
         for size in sorted(set(map(len, self.names))):
             numbers = [i for i, p in enumerate(self.names) if len(p) == size]
@@ -157,22 +156,16 @@ class Lattice:
             alpha.append(self.log_sum([alpha[s] + w for s, w, _ in found]))
         return alpha
 
-    def learn(self, words: list[bytes]) -> None:
-        """Puts the words' probabilities into the cache."""
-        texts = [w.decode() for w in words]
-        short = [i for i, t in enumerate(texts) if len(t) <= SHORT]
-        for i in set(range(len(texts))).difference(short):
-            self.cache[words[i]] = self.forward(SPACE_MARK + texts[i])[-1]
-        if short:
-            for places, codes in self.by_length([texts[i] for i in short]):
-                last = self.batch_forward(self.batch_edges(codes)[0], len(places))[-1].tolist()
-                self.cache.update(zip([words[short[i]] for i in places.tolist()], last, strict=True))
-
-    def log_probability(self, word: bytes) -> float:
-        """Natural logarithm of the word's marginal probability."""
-        if word not in self.cache:
-            self.learn([word])
-        return self.cache[word]
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural logarithms of the words' marginal probabilities."""
+        out = np.zeros(len(words))
+        short = np.array([i for i, w in enumerate(words) if len(w) <= SHORT], "i8")
+        for i in set(range(len(words))).difference(short.tolist()):
+            out[i] = self.forward(SPACE_MARK + words[i])[-1]
+        if len(short):
+            for places, codes in self.by_length([words[i] for i in short.tolist()]):
+                out[short[places]] = self.batch_forward(self.batch_edges(codes)[0], len(places))[-1]
+        return out
 
     def batch_expected(self, words: list[str], counts: list[int], pieces: np.ndarray, spelled: Counter) -> None:
         """As ``expected`` for many words of up to SHORT characters; pieces are summed by number."""
@@ -218,15 +211,29 @@ class Lattice:
                 beta[start] = value if old == -math.inf else top + math.log(math.exp(old - top) + math.exp(value - top))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: counts of lower-case words of all rows of (text)."""
+def word_counts(docs: DataFrame, train: Column) -> DataFrame:
+    """word, n: lower-case words of all rows of (text), and how often rows that meet ``train`` have them."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = words_of(F.translate(F.col("text"), upper, lower))
-    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    flagged = docs.select(F.coalesce(train, F.lit(False)).cast("long").alias("train"), words.alias("words"))
+    return flagged.select("train", F.explode("words").alias("word")).groupBy("word").agg(F.sum("train").alias("n"))
+
+
+def priced(counts: DataFrame, pieces: dict, spelled: list) -> DataFrame:
+    """word, n, p: each word's log probability."""
+    shared = counts.sparkSession.sparkContext.broadcast((pieces, spelled))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*shared.value)
+        for batch in batches:
+            p = pa.array(lattice.log_probabilities(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, p], names=["word", "n", "p"])
+
+    return counts.select("word", "n").mapInArrow(run, "word string, n long, p double")
 
 
-def reweighted(counts: DataFrame, pieces: dict, spelled: list, prior: tuple[dict, list]) -> tuple[dict, list]:
-    """One round of expectation maximisation over word counts; ``prior``: the vocabulary's own weights, as pseudo-counts."""
+def reweighted(counts: DataFrame, pieces: dict, spelled: list, prior: tuple[dict, list], pseudo: float) -> tuple[dict, list]:
+    """One round of expectation maximisation over word counts; ``prior``: the vocabulary's own weights, as ``pseudo`` counts in all."""
     shared = counts.sparkSession.sparkContext.broadcast((pieces, spelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,14 +254,15 @@ def reweighted(counts: DataFrame, pieces: dict, spelled: list, prior: tuple[dict
 
     sums = counts.select("word", "n").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     found = {r.piece: r.n for r in sums.collect()}  # a number for each piece of the vocabulary at most
-    of_piece = {p: found.get("=" + p, 0.0) + PSEUDO * math.exp(w) for p, w in prior[0].items()}
-    of_byte = [found.get(f"{b:02x}", 0.0) + PSEUDO * math.exp(w) for b, w in enumerate(prior[1])]
+    of_piece = {p: found.get("=" + p, 0.0) + pseudo * math.exp(w) for p, w in prior[0].items()}
+    of_byte = [found.get(f"{b:02x}", 0.0) + pseudo * math.exp(w) for b, w in enumerate(prior[1])]
     total = math.log(math.fsum([*of_piece.values(), *of_byte]))
     return {p: math.log(n) - total for p, n in of_piece.items()}, [math.log(n) - total for n in of_byte]
 
 
-def frequent_words(counts: DataFrame, common: int) -> dict[bytes, int]:
-    """Counts of at most ``common`` words, all that occur often enough."""
+def frequent_words(counts: DataFrame, common: int) -> dict[bytes, tuple[int, float]]:
+    """Count and log probability of at most ``common`` words, all that training rows have often enough."""
+    counts = counts.filter("n > 0")
     step = F.floor(F.log2("n") * STEPS).alias("step")
     sizes = {r.step: r.words for r in counts.groupBy(step).agg(F.count("*").alias("words")).collect()}  # STEPS rows a power of two
     least, held = None, 0
@@ -265,17 +273,14 @@ def frequent_words(counts: DataFrame, common: int) -> dict[bytes, int]:
         least = k
     if least is None:
         return {}
-    return {r.word.encode(): r.n for r in counts.filter(step >= least).collect()}
+    return {r.word.encode(): (r.n, r.p) for r in counts.filter(step >= least).collect()}
 
 
 def first_pass(docs: DataFrame, shared, p_end: float, known_end: int) -> DataFrame:
-    """What one text says alone: its score, the base sum over common words, and its other words with their counts."""
+    """What one text says alone: the sums of its common words and of the ends, and its other words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if "lattice" not in model:  # one for each Python worker: the broadcast value outlives a task
-            model["lattice"] = Lattice(*model["weights"])
-        lattice, frequent = model["lattice"], model["frequent"]
+        frequent = shared.value
         go_on, stop = math.log1p(-p_end), math.log(p_end)
         names = ["doc_id", "version", "n_words", "known", "base", "score", "rare", "rare_tf"]
         kinds = [pa.int64()] * 4 + [pa.float64()] * 2
@@ -283,26 +288,21 @@ def first_pass(docs: DataFrame, shared, p_end: float, known_end: int) -> DataFra
             for at in range(0, batch.num_rows, 500):
                 ids, texts = (c.slice(at, 500).to_pylist() for c in batch.columns)
                 raw = [(t or "").encode() for t in texts]
-                tokens = [Counter(ascii_lower(r).split()) for r in raw]
-                if len(lattice.cache) > CACHED:
-                    lattice.cache.clear()
-                cache = lattice.cache
-                lattice.learn([w for w in set().union(*tokens) if w not in cache])
                 rows, rare, rare_tf, offsets = [], [], [], [0]
-                for k, r, words in zip(ids, raw, tokens, strict=True):
+                for k, r in zip(ids, raw, strict=True):
+                    words = Counter(ascii_lower(r).split())
                     n_words, known, base, p = words.total(), known_end, [], []
                     for w, n in words.items():
-                        p.append(n * cache[w])
-                        c = frequent.get(w)
-                        if c is None:
+                        found = frequent.get(w)
+                        if found is None:
                             rare.append(w)
                             rare_tf.append(n)
                         else:
                             known += n
-                            base.append(n * math.log10(c + 1))
+                            base.append(n * math.log10(found[0] + 1))
+                            p.append(n * found[1])
                     offsets.append(len(rare))
-                    score = (math.fsum(p) + n_words * go_on + stop) / math.log(10)
-                    rows.append((k, xxhash.xxh3_64_intdigest(r) >> 1, n_words, known, math.fsum(base), score))
+                    rows.append((k, xxhash.xxh3_64_intdigest(r) >> 1, n_words, known, math.fsum(base), math.fsum(p) + n_words * go_on + stop))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 ends = pa.array(offsets, pa.int32())
                 lists = [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(rare_tf, pa.int64())]
@@ -312,27 +312,28 @@ def first_pass(docs: DataFrame, shared, p_end: float, known_end: int) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, train: Column, path: str, rounds: int = ROUNDS, common: int = COMMON) -> DataFrame:
+def score(docs: DataFrame, train: Column, path: str, rounds: int = ROUNDS, common: int = COMMON, pseudo: float = PSEUDO) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every text; rows that meet ``train`` are learned from."""
     docs = docs.select("doc_id", "text")
-    training = docs.filter(train)
-    counts = stored(word_counts(training))
-    rows = training.count()
-    types, words = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = stored(word_counts(docs, train))
+    rows = docs.filter(train).count()
+    learned = counts.filter("n > 0")
+    types, words = learned.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_total, n_types = words + rows, types + (rows > 0)
     pieces, spelled = prior = read_pieces(path)
     for _ in range(rounds if words else 0):
-        pieces, spelled = reweighted(counts, pieces, spelled, prior)
-    frequent = frequent_words(counts, common)
-    shared = docs.sparkSession.sparkContext.broadcast({"weights": (pieces, spelled), "frequent": frequent})
+        pieces, spelled = reweighted(learned, pieces, spelled, prior, pseudo * words)
+    counts = stored(priced(counts, pieces, spelled))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(counts, common))
     alone = stored(first_pass(docs, shared, (rows + 1) / (n_total + 2), int(rows > 0)))
     rare = alone.select("doc_id", "version", F.explode(F.arrays_zip("rare", "rare_tf")).alias("x"))
     rare = rare.select("doc_id", "version", F.col("x.rare").alias("word"), F.col("x.rare_tf").alias("tf"))
     # rows that share id and text add up here; ``tokens`` tells how many they are
-    sums = rare.join(counts, "word", "left").groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version")).agg(
+    sums = rare.join(counts, "word").groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version")).agg(
         F.sum("tf").alias("tokens"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_base"),
+        F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("rare_base"),
+        F.sum(F.col("tf") * F.col("p")).alias("rare_score"),
     )
     own = F.aggregate("rare_tf", F.lit(0).cast("long"), lambda total, x: total + x)
     alone = alone.withColumn("own", own).drop("rare", "rare_tf")
@@ -341,7 +342,8 @@ def score(docs: DataFrame, train: Column, path: str, rounds: int = ROUNDS, commo
     n_tokens = F.col("n_words") + 1
     base = F.col("base") + F.coalesce(F.col("rare_base") / F.col("copies"), F.lit(0.0)) + math.log10(rows + 1)
     known = F.col("known") + F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), F.lit(0))
+    total = (F.col("score") + F.coalesce(F.col("rare_score") / F.col("copies"), F.lit(0.0))) / math.log(10)
     return joined.select(
         "doc_id", n_tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n_total).cast("long").alias("train_tokens"),
-        (base - n_tokens * math.log10(n_total + n_types + 1)).alias("base_score"), "score",
+        (base - n_tokens * math.log10(n_total + n_types + 1)).alias("base_score"), total.alias("score"),
     )
