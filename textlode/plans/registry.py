@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from textlode.plans import aware, extraction, history, knowledge, more, relational, retrieval, store, texts  # noqa: E402, F401
+from textlode.plans import aware, evidence, extraction, history, knowledge, more, relational, retrieval, store, texts  # noqa: E402, F401
