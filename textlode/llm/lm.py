@@ -215,8 +215,8 @@ def word_counts(docs: DataFrame, train: Column) -> DataFrame:
     """word, n: lower-case words of all rows of (text), and how often rows that meet ``train`` have them."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = words_of(F.translate(F.col("text"), upper, lower))
-    flagged = docs.select(F.coalesce(train, F.lit(False)).cast("long").alias("train"), words.alias("words"))
-    return flagged.select("train", F.explode("words").alias("word")).groupBy("word").agg(F.sum("train").alias("n"))
+    each = docs.select(F.coalesce(train, F.lit(False)).alias("train"), F.explode(words).alias("word"))
+    return each.groupBy("word").agg(F.count(F.when(F.col("train"), 1)).alias("n"))
 
 
 def priced(counts: DataFrame, pieces: dict, spelled: list) -> DataFrame:
