@@ -25,12 +25,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_QUERIES else df
 
 
-def query_table(spark: SparkSession, texts: list[str]) -> DataFrame:
-    """query_id, term, n_terms. A word of several tokens, as with a hyphen, is one term: its tokens in a row, joined by spaces."""
-    rows = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, n_terms of (query_id, query). A word of several tokens, as with a hyphen, is one term: its tokens in a row, joined by spaces."""
     words = F.transform(F.split("query", "\\s+"), lambda w: F.array_join(T.tokens(w), " "))
     terms = F.array_distinct(F.filter(words, lambda w: w != ""))
-    return rows.select("query_id", F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
+    return queries.select("query_id", F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
+
+
+def query_table(spark: SparkSession, texts: list[str]) -> DataFrame:
+    return query_terms(spark.createDataFrame(list(enumerate(texts)), "query_id long, query string"))
 
 
 #: Distinct terms up to which a text's tokens are looked up in its row, in a hash set; beyond it tokens are joined.

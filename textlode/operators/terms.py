@@ -25,10 +25,11 @@ LONGEST, VALID = 100, r"^[\p{L}\p{N}\s\-_.'" + '"]+$'
 WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
 
 
-def listed(known: DataFrame, column: str = "term") -> DataFrame:
-    """Valid terms, trimmed; of those that differ by case the first."""
+def listed(known: DataFrame, column: str = "term", any_sign: bool = False) -> DataFrame:
+    """Valid terms, trimmed; of those that differ by case the first. With ``any_sign`` all that are not empty are valid."""
     term = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
-    valid = known.select(term.alias("term")).filter(F.length("term").between(1, LONGEST) & F.col("term").rlike(VALID))
+    fits = F.length("term") > 0 if any_sign else F.length("term").between(1, LONGEST) & F.col("term").rlike(VALID)
+    valid = known.select(term.alias("term")).filter(fits)
     return valid.groupBy(F.lower("term").alias("low")).agg(F.min("term").alias("term")).select("term")
 
 
@@ -56,9 +57,9 @@ class Finder:
         return found
 
 
-def find(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", column: str = "term") -> DataFrame:
+def find(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", column: str = "term", any_sign: bool = False) -> DataFrame:
     """key, term, at (from 0) and bounded, for each term that a text holds."""
-    spark, terms = docs.sparkSession, listed(known, column)
+    spark, terms = docs.sparkSession, listed(known, column, any_sign)
     n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
     shards = max(1, -(-n // SHARD), -(-chars // SHARD_CHARS))
     kind = docs.schema[key].dataType.simpleString()

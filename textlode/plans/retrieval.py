@@ -40,7 +40,12 @@ def bm25_sql(questions: list[str], source: str, key: str) -> str:
     rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(questions))
     return f"""
 questions AS (SELECT * FROM (VALUES {rows}) AS q(query_id, query)),
-terms AS (SELECT query_id::BIGINT AS query_id, unnest(list_distinct(string_split(query, ' '))) AS term, len(list_distinct(string_split(query, ' '))) AS n_terms FROM questions),
+{bm25_rows_sql(source, key)}"""
+
+
+def bm25_rows_sql(source: str, key: str) -> str:
+    """From ``questions`` (query_id, query) on."""
+    return f"""terms AS (SELECT query_id::BIGINT AS query_id, unnest(list_distinct(string_split(query, ' '))) AS term, len(list_distinct(string_split(query, ' '))) AS n_terms FROM questions),
 split AS (SELECT {key} AS doc_id, {TOKENS_SQL} AS words FROM {source}),
 totals AS (SELECT count(*) AS n_docs, avg(len(words)) AS mean_length FROM split),
 counted AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(words) AS length, unnest(words) AS term FROM split) GROUP BY ALL),
