@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
@@ -58,15 +57,20 @@ def believe(base: Column, pro: Column, con: Column) -> Column:
 
 
 def knapsack(rows: DataFrame, by: str, budget: int) -> DataFrame:
-    """Rows of each group by score a token, while they fit; misfits are skipped, which no window expresses. Groups must be small."""
+    """Rows of each group by score a token, while they fit; misfits are skipped. Groups may be of any size.
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        left, kept = budget, []
-        order = group.assign(rate=group["score"] / group["tokens"].clip(lower=1)).sort_values(["rate", "id"], ascending=[False, True])
-        for i, tokens in zip(order.index, order["tokens"], strict=True):
-            if tokens <= left:
-                left -= tokens
-                kept.append(i)
-        return group.loc[kept]
-
-    return rows.groupBy(by).applyInPandas(pack, rows.schema)
+    Of rows of one cost those that are taken come first in that order, as what is left only shrinks: so of each
+    cost no more than the budget holds can matter, and those ranks are limited before rows move. Rows that cost nothing are
+    all taken.
+    """
+    cost = F.greatest(F.col("tokens"), F.lit(0))
+    rate = F.col("score") / F.greatest(F.col("tokens"), F.lit(1))
+    priced = rows.filter((cost > 0) & (cost <= budget)).withColumn("_rate", -rate)
+    place = F.row_number().over(Window.partitionBy(by, "tokens").orderBy("_rate", "id"))
+    near = priced.withColumn("_place", place).filter(F.col("_place") <= budget).filter(F.col("_place") * F.col("tokens") <= budget)
+    row = F.struct(*rows.columns)
+    each = near.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(F.struct("_rate", "id", row.alias("row")))).alias("all"))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.slice("all", 1, 0).alias("kept"))
+    fill = lambda s, x: F.when(x["row"]["tokens"] <= s["left"], F.struct((s["left"] - x["row"]["tokens"]).alias("left"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s)
+    taken = each.select(F.explode(F.aggregate("all", start, fill)["kept"]).alias("x")).select("x.row.*")
+    return taken.unionByName(rows.filter(cost <= 0))

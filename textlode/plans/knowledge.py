@@ -173,10 +173,11 @@ def stale_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.filter("last_seen < TIMESTAMP_NTZ '2024-01-30 12:00:00'")
 
 
-@query()
+@query(f"""WITH {CLAIMS_SQL}, priced AS (SELECT scope_id, id, confidence AS score, ceil(length(concat_ws(' ', canonical_key, object)) / 3.8::DOUBLE)::BIGINT AS tokens FROM claims),
+folded AS (SELECT scope_id, list_reduce(list({{'id': id, 'score': score, 'tokens': tokens}} ORDER BY score / greatest(tokens, 1) DESC, id), lambda s, x:
+    CASE WHEN x.tokens <= s.room THEN {{'room': s.room - x.tokens, 'kept': s.kept || [x]}} ELSE s END, {{'room': 120::BIGINT, 'kept': []::STRUCT(id BIGINT, score DOUBLE, tokens BIGINT)[]}}) AS s FROM priced GROUP BY scope_id)
+SELECT scope_id, x.id, x.score, x.tokens FROM (SELECT scope_id, unnest(s.kept) AS x FROM folded)""")
 def capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of each scope packed into a token budget, best score a token first; what does not fit is skipped."""
-    n = F.row_number().over(Window.partitionBy("scope_id").orderBy(F.desc("confidence"), "id"))
-    best = claims(spark, sf_dir).withColumn("n", n).filter("n <= 50")
     line = F.concat_ws(" ", "canonical_key", "object")
-    return R.knapsack(best.select("scope_id", "id", F.col("confidence").alias("score"), T.estimate_tokens(line).alias("tokens")), "scope_id", 120)
+    return R.knapsack(claims(spark, sf_dir).select("scope_id", "id", F.col("confidence").alias("score"), T.estimate_tokens(line).alias("tokens")), "scope_id", 120)
