@@ -117,7 +117,7 @@ def test_capsules(spark):
     assert r.tokens == 3 + sum(-(-len(x) // 4) for x in r.text.split("\n")[1:])
     (small,) = run(budget=3 + 4 + 6).values()
     assert small.kinds == "decision,loop"  # the best a token that fit
-    asked = spark.createDataFrame([(1, "runbook: c24, success?")], "scope_id long, query string")
-    (led,) = run(budget=3 + 12, asked=asked).values()
-    assert led.kinds == "runbook"
+    asked = spark.createDataFrame([(1, "s25")], "scope_id long, query string")
+    (led,) = run(budget=3 + 5, asked=asked).values()
+    assert led.kinds == "relation"
     assert run(budget=3) == {}
