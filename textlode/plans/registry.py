@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from textlode.plans import answers, aware, evidence, extraction, files, history, knowledge, maintenance, memory, more, ranking, relational, retrieval, store, texts  # noqa: E402, F401
+from textlode.plans import answers, aware, evidence, extraction, files, history, intake, knowledge, maintenance, memory, more, ranking, relational, retrieval, store, texts  # noqa: E402, F401
