@@ -98,9 +98,9 @@ def test_clashing_columns(spark):
 
 def test_groups_share_small_cells_and_split_large_ones(spark):
     pilot = pa.table({"vec_id": list(range(4)), "label": [0] * 4, "embedding": [[0.0, 0.0], [10.0, 0.0], [0.1, 0.0], [0.2, 0.1]]})
-    space = negatives.Space(pilot, 1e7, negatives.Mining(pivots=4, group=10))
+    space = negatives.Space(**negatives.parts_of(pilot, 1e7, negatives.Mining(pivots=4)))
     cells = [{"cell": c, "n": n} for c, n in enumerate([3, 25, 4, 4])]
-    first, last = negatives.groups_of(cells, space)
+    first, last = negatives.groups_of(cells, space, 10)
     assert first[0] == last[0] == first[2] == last[2] != first[3]
     assert last[1] - first[1] == 2
     assert not set(range(first[1], last[1] + 1)) & {first[0], first[3]}

@@ -101,12 +101,9 @@ def integers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Space:
     """Pivots and pilot, and distances to pivots; the same on the driver and in tasks."""
 
-    def __init__(self, pilot: pa.Table, largest: float, m: Mining):
-        self.m, self.largest = m, largest
-        pilot = pilot.combine_chunks()
-        self.pilot = matrix(pilot["embedding"].combine_chunks(), m.scale) if pilot.num_rows else np.zeros((1, 1))
-        self.ids, self.labels = longs(pilot["vec_id"]), longs(pilot["label"])
-        self.pivots = self.pilot[: m.pivots]
+    def __init__(self, pilot: np.ndarray, ids: np.ndarray, labels: np.ndarray, largest: float, pivots: int):
+        self.pilot, self.ids, self.labels, self.largest = pilot, ids, labels, largest
+        self.pivots = pilot[:pivots]
         self.height = np.sqrt(np.maximum(0, largest - (self.pivots**2).sum(1)))
         #: More than what rounding adds to a distance.
         self.slack = 1e-5 * np.sqrt(largest) + 1e-9
@@ -125,6 +122,21 @@ class Space:
         return np.where(scores == LEAST, np.inf, d)
 
 
+def parts_of(pilot: pa.Table, largest: float, m: Mining) -> dict:
+    """What a space is made of, as plain values that travel without this module."""
+    pilot = pilot.combine_chunks()
+    vectors = matrix(pilot["embedding"].combine_chunks(), m.scale) if pilot.num_rows else np.zeros((1, 1))
+    return {"pilot": vectors, "ids": longs(pilot["vec_id"]), "labels": longs(pilot["label"]), "largest": largest, "pivots": m.pivots}
+
+
+def space_of(shared: Broadcast) -> Space:
+    """One for each Python worker: the broadcast value outlives a task."""
+    parts = shared.value
+    if "space" not in parts:
+        parts["space"] = Space(**parts)
+    return parts["space"]
+
+
 def longs(column) -> np.ndarray:
     return np.asarray(column.cast(pa.int64()).fill_null(LAST), "i8")
 
@@ -241,7 +253,7 @@ def local_join(m: Mining) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 WANTED = "array<struct<id:long,score:long,low:long,high:long>>"
 
 
-def groups_of(cells: list[dict], space: Space) -> tuple[np.ndarray, np.ndarray]:
+def groups_of(cells: list[dict], space: Space, group_size: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last group of each pivot's cell: close cells share one, large cells get several."""
     first, last = (np.full(len(space.pivots), -1) for _ in range(2))
     counts = {c["cell"]: c["n"] for c in cells}
@@ -249,8 +261,8 @@ def groups_of(cells: list[dict], space: Space) -> tuple[np.ndarray, np.ndarray]:
     while left:
         at = min(left, key=lambda c: ((space.pivots[c] - space.pivots[at]) ** 2).sum())
         left.remove(at)
-        n = -(-counts[at] // space.m.group)
-        if n > 1 or fill + counts[at] > space.m.group:
+        n = -(-counts[at] // group_size)
+        if n > 1 or fill + counts[at] > group_size:
             first[at], last[at] = group + 1, group + n
             group, fill = group + n, LAST if n > 1 else counts[at]
         else:
@@ -263,7 +275,7 @@ def joined(candidates: DataFrame, anchors: DataFrame, space: Broadcast, n: int,
     """The local joins' rows. ``anchors``: row, vec_id, label, embedding, cell, near, floor, wanted, least and most (distances needed)."""
     cells = anchors.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("inner"), F.max("near").alias("outer"), F.min("least").alias("least"), F.max("most").alias("most"))
     cells = [r.asDict() for r in cells.collect()]
-    first, last = groups_of(cells, space.value)
+    first, last = groups_of(cells, space_of(space), m.group)
     chunks = -(-n // m.chunk)
     own = [c["cell"] for c in cells]
     bounds = {k: np.array([c[k] for c in cells], "f8") for k in ("inner", "outer", "least", "most")}
@@ -271,7 +283,7 @@ def joined(candidates: DataFrame, anchors: DataFrame, space: Broadcast, n: int,
     member = np.array([[(first[c], last[c]) == r for r in ranges] for c in own])
 
     def served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = space.value
+        s = space_of(space)
         for batch in batches:
             d = s.distances(matrix(batch["embedding"], m.scale), anchors=False)[:, own]
             nearest = np.maximum(d - bounds["outer"], bounds["inner"] - d)
@@ -299,7 +311,7 @@ def _asking(space: Broadcast, m: Mining) -> Callable[[Iterator[pa.RecordBatch]],
     """Anchors with their cell, and what the pilot says of the positives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = space.value
+        s = space_of(space)
         for batch in batches:
             x, ids, labels = matrix(batch["embedding"], m.scale), longs(batch["vec_id"]), longs(batch["label"])
             d, own = s.distances(x, anchors=True), (x * x).sum(1)
@@ -322,7 +334,7 @@ def _windows(space: Broadcast, m: Mining) -> Callable[[Iterator[pa.RecordBatch]]
     """Anchors with their positives: the scores that negatives may have, as far as the pilot does not narrow them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, arrow = space.value, pa.list_(pa.struct([(k, pa.int64()) for k in ("id", "score", "low", "high")]))
+        s, arrow = space_of(space), pa.list_(pa.struct([(k, pa.int64()) for k in ("id", "score", "low", "high")]))
         for batch in batches:
             x, labels = matrix(batch["embedding"], m.scale), longs(batch["label"])
             own, scores = (x * x).sum(1), integers(x, s.pilot)[:, : len(s.ids)]
@@ -356,7 +368,7 @@ def mine(vectors: DataFrame, anchor: Column, m: Mining | None = None) -> DataFra
     norm = F.aggregate("embedding", F.lit(0.0), lambda sum_, x: sum_ + F.pow(F.floor(x.cast("double") * m.scale).cast("double"), F.lit(2.0)))
     n, largest = rows.agg(F.count("*"), F.max(norm)).first()
     pilot = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "label").limit(m.pilot)
-    space = context.broadcast(Space(pilot.toArrow(), largest or 0.0, m))
+    space = context.broadcast(parts_of(pilot.toArrow(), largest or 0.0, m))
 
     kinds = "row long, vec_id long, label long, embedding {}, cell int, near double".format(rows.schema["embedding"].dataType.simpleString())
     asking = rows.filter(anchor).withColumn("row", F.monotonically_increasing_id()).select("row", *rows.columns)

@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 FAN = 32
-#: Turns whose product is remembered.
-RUN = 8
+#: Turns whose product is remembered, and how many such products a task keeps.
+RUN, KEPT = 8, 1 << 16
 STATES = "ESUA"
 #: From a state to the one that a role's initial leads to.
 NEXT = {"Es": "S", "Eu": "U", "Su": "U", "Ua": "A", "Au": "U"}
@@ -80,7 +79,6 @@ def _closure() -> Matrix:
 CLOSURE = _closure()
 
 
-@lru_cache(None)
 def turn_matrix(kind: str) -> Matrix:
     """Of one turn: ``X`` must go; else its role's initial (``o``: another), in upper case if truncated."""
     ways = {s + s: (3, "D") for s in STATES}
@@ -94,9 +92,17 @@ def turn_matrix(kind: str) -> Matrix:
     return times(_matrix(ways), CLOSURE)
 
 
-@lru_cache(1 << 16)
+#: A plain table: a wrapped function would travel by its module's name, which workers need not have.
+RUNS: dict[str, Matrix] = {}
+
+
 def _run(kinds: str) -> Matrix:
-    return reduce(times, map(turn_matrix, kinds))
+    found = RUNS.get(kinds)
+    if found is None:
+        if len(RUNS) >= KEPT:
+            RUNS.clear()
+        found = RUNS[kinds] = turn_matrix(kinds) if len(kinds) == 1 else times(_run(kinds[:-1]), _run(kinds[-1]))
+    return found
 
 
 def product(kinds: str) -> Matrix:
