@@ -1 +1,11 @@
-"""Evidence analytics over text, conversations and extracted facts, on Spark."""
+"""Evidence analytics on Spark.
+
+Python functions of this package travel to the executors by value, so a
+cluster needs no copy of the repository on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

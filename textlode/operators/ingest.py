@@ -18,6 +18,7 @@ from textlode.functions import text as T
 from textlode.operators.chunking import chunk_documents
 from textlode.sources import documents as parsers
 from textlode.sources.shared import durable
+from textlode.sources.shared import stored as stored_table
 
 MOST_BYTES = 100_000_000
 #: Fixed value: texts that parsers leave where they failed.
@@ -75,15 +76,15 @@ def ingested(files: DataFrame, store: Store, tags: tuple[str, ...] = (), force:
     ``near`` gets the chunks (document_id, position, text) and returns those (document_id, position) that are near copies: they are
     dropped, but an update keeps its first chunk; a new document without any other is a duplicate.
     """
-    seen = durable(judged(files, store, force))
+    # two copies of the texts are kept: what the parsers read, and the chunks
+    seen = durable(judged(files, store, force).drop("text"))
     wanted = seen.filter("action IN ('add', 'update')")
-    parsed = durable(parsers.parsed(wanted.select("path", "text")))
+    parsed = stored_table(parsers.parsed(files.select("path", "text").join(wanted.select("path"), "path", "left_semi")))
     bad = parsed.filter(F.col("problem").isNotNull() | F.trim("text").rlike(PLACEHOLDER)).select(F.col("path").alias("bad"))
     name = F.substring(F.sha2(F.concat_ws("\0", "path", "content_hash"), 256), 1, 32)
-    docs = parsed.join(bad, F.col("path") == F.col("bad"), "left_anti").withColumnRenamed("text", "body").join(wanted.drop("text"), "path").withColumn("document_id", name)
-    docs = durable(docs)
+    docs = parsed.join(bad, F.col("path") == F.col("bad"), "left_anti").withColumnRenamed("text", "body").join(wanted, "path").withColumn("document_id", name)
     marks = F.transform(F.filter("structure", lambda s: s["type"] == "heading"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["level"].alias("level")))
-    chunks = durable(chunk_documents(docs.select(F.col("document_id").alias("doc_id"), F.coalesce("kind", F.lit("text")).alias("kind"), F.col("body").alias("text"), marks.alias("headings"))).withColumnRenamed("doc_id", "document_id"))
+    chunks = stored_table(chunk_documents(docs.select(F.col("document_id").alias("doc_id"), F.coalesce("kind", F.lit("text")).alias("kind"), F.col("body").alias("text"), marks.alias("headings"))).withColumnRenamed("doc_id", "document_id"))
     if near is not None:
         copies = near(chunks.select("document_id", "position", "text")).select("document_id", "position").distinct().withColumn("copy", F.lit(True))
         chunks = chunks.join(copies, ["document_id", "position"], "left")
@@ -92,14 +93,16 @@ def ingested(files: DataFrame, store: Store, tags: tuple[str, ...] = (), force:
     facts = chunks.groupBy("document_id").agg(F.count("*").alias("made"), F.count("copy").alias("copies"), F.min("position").alias("first"))
     docs = docs.join(facts.withColumnRenamed("document_id", "of"), F.col("document_id") == F.col("of"), "left").drop("of")
     action = F.when(F.coalesce("made", F.lit(0)) == 0, "empty").when((F.col("action") == "add") & (F.col("copies") == F.col("made")), "duplicate").otherwise(F.col("action"))
-    docs = durable(docs.withColumn("action", action))
+    docs = durable(docs.withColumn("action", action).drop("body", "structure"))
     stored = docs.filter("action IN ('add', 'update')")
     whole = stored.select(F.col("document_id").alias("of"), ((F.col("copies") == F.col("made")) & (F.col("action") == "update")).alias("all_copies"), F.col("first").alias("least"))
     kept = chunks.join(whole, F.col("document_id") == F.col("of")).filter(F.col("copy").isNull() | (F.col("all_copies") & (F.col("position") == F.col("least"))))
     before = F.lag("position").over(Window.partitionBy("document_id").orderBy("position"))
-    kept = durable(kept.select("document_id", "position", "prefix", "text", "tokens", digest(F.col("text")).alias("content_hash"), before.alias("parent")))
+    parents = kept.select("document_id", "position", before.alias("parent"))
+    kept = kept.select("document_id", "position", "prefix", "text", "tokens", digest(F.col("text")).alias("content_hash")).join(durable(parents), ["document_id", "position"])
+    kept = kept.select("document_id", "position", "prefix", "text", "tokens", "content_hash", "parent")
 
-    numbers = kept.groupBy(F.col("document_id").alias("of")).agg(F.count("*").alias("chunks"))
+    numbers = parents.groupBy(F.col("document_id").alias("of")).agg(F.count("*").alias("chunks"))
     result = docs.join(numbers, F.col("document_id") == F.col("of"), "left").select(F.col("path").alias("p"), F.col("action").alias("done"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("made"))
     outcome = seen.select("path", "action").join(result, F.col("path") == F.col("p"), "left")
     failed = F.when(F.col("action").isin("add", "update"), F.coalesce("done", F.lit("failed"))).otherwise(F.col("action"))

@@ -95,9 +95,9 @@ class Answers:
 
 
 def answer(
-    queries: DataFrame, chunks: DataFrame, entities: DataFrame, mentions: DataFrame, scores: DataFrame | None = None, s: Settings | None = None, titles: bool = False,
+    queries: DataFrame, chunks: DataFrame, entities: DataFrame, mentions: DataFrame, scores: DataFrame | None = None, s: Settings | None = None, titles: bool = False, vectors: DataFrame | None = None,
 ) -> Answers:
-    """Passages for queries (query_id, query, vector, collection; a null collection is all) from chunks (item, document, position, collection, text, embedding).
+    """Passages for queries (query_id, query, vector, collection; a null collection is all) from chunks (item, document, position, collection, text, embedding); ``vectors`` (item, embedding) may stand apart.
 
     Words must all be held; vectors within the gate are near. Both lists are fused by rank, or the
     vectors stand alone where no text holds the words. The best candidates take in their neighbours before and
@@ -119,7 +119,8 @@ def answer(
     words = durable(search.top(worded, [F.desc(F.round("score", 9)), F.col("item")], s.candidates).select("query_id", "item", "rank"))
 
     named, everywhere = heard.filter("collection IS NOT NULL AND vector IS NOT NULL"), heard.filter("collection IS NULL AND vector IS NOT NULL")
-    corpus = chunks.select(F.col("item").alias("vec_id"), "embedding", "collection")
+    held = chunks.select("item", "embedding", "collection") if vectors is None else vectors.select("item", "embedding").join(chunks.select("item", "collection"), "item")
+    corpus = held.withColumnRenamed("item", "vec_id")
     near = search.nearest(corpus, named, s.candidates, "collection").unionByName(search.nearest(corpus, everywhere, s.candidates))
     near = durable(near.select("query_id", F.col("vec_id").alias("item"), "distance"))
     good = near.filter(F.col("distance") < s.gate)
@@ -131,16 +132,18 @@ def answer(
     # where no text holds the words, ranks of the vectors alone give the same order as their distances
     ranked = durable(search.top(fused, [F.desc(F.round("score", 12)), F.col("item")], s.candidates).select("query_id", "item", F.col("rank").alias("at")))
 
-    hit = ranked.join(chunks.select("item", "document", "position", "collection", "text"), "item")
+    # what follows is as wide as the queries are many, and texts stay where they are
+    n_queries = asked.count()
+    hit = chunks.select("item", "document", "position", "collection").join(search.small(ranked, n_queries), "item")
     hits = hit.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "item", "document", "position", "collection"))).alias("hits"))
     kept = F.col("hits") if titles else without_absorbed(F.col("hits"))
-    hits = hits.withColumn("hits", kept).select("query_id", F.size("hits").alias("n"), F.posexplode("hits").alias("i", "h")).select("query_id", "n", "i", "h.*")
+    hits = durable(hits.withColumn("hits", kept).select("query_id", F.size("hits").alias("n"), F.posexplode("hits").alias("i", "h")).select("query_id", "n", "i", "h.*"))
     if titles:
-        found = hits.join(chunks.select("item", F.col("text").alias("passage")), "item").withColumn("parts", F.lit(1))
+        found = chunks.select("item", F.col("text").alias("passage")).join(search.small(hits, n_queries), "item").withColumn("parts", F.lit(1))
     else:
         wanted = hits.withColumn("beside", F.explode(F.array(F.col("position") - 1, F.col("position"), F.col("position") + 1)))
         texts = chunks.select(F.col("document").alias("of"), F.col("position").alias("there"), "text")
-        parts = wanted.join(texts, (F.col("document") == F.col("of")) & (F.col("beside") == F.col("there")))
+        parts = texts.join(search.small(wanted, n_queries), (F.col("document") == F.col("of")) & (F.col("beside") == F.col("there")))
         group = ["query_id", "n", "i", "at", "item", "document", "position", "collection"]
         parts = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("there", "text"))).alias("p"))
         found = parts.select(*group, F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("passage"), F.size("p").alias("parts"))

@@ -10,17 +10,17 @@ from textlode.operators import awareness, packing, retrieve
 from textlode.plans.aware import ENTITIES_SQL, MENTION_ROWS_SQL, mention_rows
 from textlode.plans.registry import query
 from textlode.plans.retrieval import bm25_rows_sql
+from textlode.sources.shared import durable
 from textlode.sources.tables import table
 
 SETTINGS = retrieve.Settings(top=5)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four neighbouring documents are the chunks of one, with the vector of their number where there is one."""
-    d, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    """Four neighbouring documents are the chunks of one."""
+    d = table(spark, sf_dir, "documents")
     document = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 4).cast("string"))
-    rows = d.select("doc_id", document.alias("document"), (F.col("doc_id") % 4).cast("int").alias("position"), F.col("source").alias("collection"), "text")
-    return rows.join(v, "doc_id", "left").withColumnRenamed("doc_id", "item")
+    return d.select(F.col("doc_id").alias("item"), document.alias("document"), (F.col("doc_id") % 4).cast("int").alias("position"), F.col("source").alias("collection"), "text")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> retrieve.Answers:
-    m = mention_rows(spark, sf_dir)
+    m = durable(mention_rows(spark, sf_dir))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
     entities = awareness.entities(m).select("entity", F.lit("term").alias("type"), "mentions")
-    return retrieve.answer(asked(spark, sf_dir), chunks(spark, sf_dir), entities, m.select("id", "entity", "terms"), s=SETTINGS)
+    return retrieve.answer(asked(spark, sf_dir), chunks(spark, sf_dir), entities, m.select("id", "entity", "terms"), s=SETTINGS, vectors=vectors)
 
 
 ANSWERS_SQL = f"""WITH {MENTION_ROWS_SQL}, {ENTITIES_SQL},

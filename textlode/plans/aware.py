@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textlode.operators import awareness, terms
 from textlode.plans.extraction import TERM_MENTIONS_SQL, held_terms, known_terms
 from textlode.plans.registry import query
+from textlode.sources.shared import durable
 from textlode.sources.tables import AS_OF, table
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -39,7 +40,7 @@ SELECT entity, row_number() OVER w AS place, id_a, source_a, id_b, source_b FROM
 def entity_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest three pairs of mentions of each term in different sources within 90 days."""
     since = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.lit(90))
-    return awareness.mismatches(mention_rows(spark, sf_dir), 3, since).select("entity", "place", "id_a", "source_a", "id_b", "source_b")
+    return awareness.mismatches(durable(mention_rows(spark, sf_dir)), 3, since).select("entity", "place", "id_a", "source_a", "id_b", "source_b")
 
 
 CONNECTIONS_SQL = """sources AS (SELECT DISTINCT entity, source FROM mentions),
@@ -61,7 +62,7 @@ def entity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each term's mentions: how many, and the newest fifty."""
     from pyspark.sql import Window
 
-    m = mention_rows(spark, sf_dir)
+    m = durable(mention_rows(spark, sf_dir))
     newest = Window.partitionBy("entity").orderBy(F.desc("created_at"), F.desc("id"))
     ranked = m.withColumn("place", F.row_number().over(newest)).filter("place <= 50").select(F.col("entity").alias("of"), "place", "source", "created_at")
     return awareness.entities(m).join(ranked, F.col("entity") == F.col("of")).drop("of")
@@ -109,4 +110,4 @@ SELECT key, '[Awareness]' || chr(10) || array_to_string(s.lines, chr(10)) AS not
 @query(NOTES_SQL)
 def awareness_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes for each conversation by its last three turns."""
-    return awareness.notes(named_terms(spark, sf_dir), mention_rows(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz"))
+    return awareness.notes(durable(named_terms(spark, sf_dir)), durable(mention_rows(spark, sf_dir)), F.lit(AS_OF).cast("timestamp_ntz"))
