@@ -78,11 +78,12 @@ def ingested(files: DataFrame, store: Store, tags: tuple[str, ...] = (), force:
     """
     # two copies of the texts are kept: what the parsers read, and the chunks
     seen = durable(judged(files, store, force).drop("text"))
-    wanted = seen.filter("action IN ('add', 'update')")
-    parsed = stored_table(parsers.parsed(files.select("path", "text").join(wanted.select("path"), "path", "left_semi")))
-    bad = parsed.filter(F.col("problem").isNotNull() | F.trim("text").rlike(PLACEHOLDER)).select(F.col("path").alias("bad"))
+    keep = ("mtime", "size", "content_hash", "old_id", "action")
+    wanted = seen.filter("action IN ('add', 'update')").select("path", *keep)
+    parsed = stored_table(parsers.parsed(files.select("path", "text").join(wanted, "path"), keep))
+    failed_ = F.col("problem").isNotNull() | F.coalesce(F.trim("text").rlike(PLACEHOLDER), F.lit(False))
     name = F.substring(F.sha2(F.concat_ws("\0", "path", "content_hash"), 256), 1, 32)
-    docs = parsed.join(bad, F.col("path") == F.col("bad"), "left_anti").withColumnRenamed("text", "body").join(wanted, "path").withColumn("document_id", name)
+    docs = parsed.filter(~failed_).withColumnRenamed("text", "body").withColumn("document_id", name)
     marks = F.transform(F.filter("structure", lambda s: s["type"] == "heading"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["level"].alias("level")))
     chunks = stored_table(chunk_documents(docs.select(F.col("document_id").alias("doc_id"), F.coalesce("kind", F.lit("text")).alias("kind"), F.col("body").alias("text"), marks.alias("headings"))).withColumnRenamed("doc_id", "document_id"))
     if near is not None:

@@ -56,7 +56,9 @@ def boosted(queries: DataFrame, entities: DataFrame, mentions: DataFrame, s: Set
     inside = short.join(held, F.col("low") == F.col("term")).join(known, F.col("holder") == F.col("entity"))
     best = staged(exact, 1).unionByName(staged(named, 2)).unionByName(staged(inside, 3)).groupBy("query_id").agg(F.min("found").alias("found"))
     first = F.row_number().over(Window.partitionBy("entity").orderBy("id"))
-    said = mentions.filter(F.size("terms") > 0).join(best.select(F.col("found.entity").alias("entity")).distinct(), "entity", "left_semi").withColumn("n", first).filter(F.col("n") <= s.boost_mentions)
+    # no more entities than queries: others' mentions do not move
+    named_ones = search.small(best.select(F.col("found.entity").alias("entity")).distinct(), queries.count())
+    said = mentions.filter(F.size("terms") > 0).join(named_ones, "entity", "left_semi").withColumn("n", first).filter(F.col("n") <= s.boost_mentions)
     said = said.groupBy(F.col("entity").alias("of")).agg(F.array_sort(F.collect_list(F.struct("n", "terms"))).alias("said"))
     beside = short.join(best, "query_id").join(said, F.col("found.entity") == F.col("of"))
     others = F.filter(F.array_distinct(F.flatten(F.transform("said", lambda x: x["terms"]))), lambda t: F.lower(t) != F.col("low"))

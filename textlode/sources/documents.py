@@ -250,8 +250,10 @@ def parse(path: str | None, text: str | None) -> dict:
     return {"path": path} | PARSERS[extension](path, text)
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """Documents (SCHEMA) of files (path, text)."""
+def parsed(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents (SCHEMA) of files (path, text), with the columns ``keep`` of the files as they are."""
+    kinds = dict(files.dtypes)
+    schema = ", ".join([SCHEMA, *(f"{c} {kinds[c]}" for c in keep)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -259,9 +261,10 @@ def parsed(files: DataFrame) -> DataFrame:
             for r in rows:
                 r["links"] = [{"target": a, "display": b} for a, b in r["links"]] if r.get("links") else None
                 r["structure"] = [dict(zip(("type", "level", "language", "start", "end"), x, strict=True)) for x in r.get("structure") or []]
-            yield pd.DataFrame([[r.get(c) for c in COLUMNS] for r in rows], columns=COLUMNS, dtype="object")
+            out = pd.DataFrame([[r.get(c) for c in COLUMNS] for r in rows], columns=COLUMNS, dtype="object")
+            yield out.assign(**{c: batch[c].to_numpy() for c in keep})
 
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
+    return files.select("path", "text", *keep).mapInPandas(run, schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
