@@ -33,8 +33,8 @@ from textlode.sources.shared import durable
 BUCKETS = 64
 #: Files of one bucket, to which the texts of a term are dealt.
 SPREAD = 8
-#: Query terms up to which their buckets are named to the reader.
-NAMED_TERMS = 10_000
+#: Query terms up to which their buckets are named to the reader, and up to which they are broadcast.
+NAMED_TERMS, BROADCAST_TERMS = 10_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,8 @@ def postings(index: Index, tokens: DataFrame) -> DataFrame:
         if 0 < len(names) <= 100:
             held = held.filter(F.col("term").isin(names))
         tokens = F.broadcast(rows.select("term"))
+    elif tokens.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        tokens = F.broadcast(tokens)
     return held.join(tokens, "term").select("term", "doc", "length", "positions")
 
 
