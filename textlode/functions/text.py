@@ -69,6 +69,7 @@ BOILERPLATE = (
 )
 #: Urgency of an open task by its words; the first that matches counts.
 BLOCKED, URGENT, ASKED = r"\bblocker\b|\bblocking\b|\bdepends?\s+on\b|\bdependenc", r"\burgent\b|\basap\b|\bcritical\b|\bimmediately\b", r"\?|\bquestion\b"
+#: Words before a value that is hidden.
 SECRET_WORDS = "(?i)(password|secret|token|api[_-]?key)\\s*[:=]\\s*\\S+"
 
 

@@ -171,7 +171,7 @@ def parse_csv(text: str, path: str = "") -> str:
     return "\n".join([lines[0], "-" * len(lines[0]), *lines[1:]])
 
 
-#: What a node of a canvas says, by its type: the field that must be there, and the text around it.
+#: What a node of a canvas says, by its type: the field that must be there, and the text around it.
 CANVAS = {"text": ("text", "{}"), "file": ("file", "[Linked file: {}]"), "link": ("url", "[Link: {}]"), "group": ("label", "--- {} ---")}
 
 
@@ -187,11 +187,12 @@ def parse_canvas(text: str) -> dict:
     return {"text": "\n\n".join(parts), "links": [n["file"] for n, field, _ in nodes if field == "file" and n.get("file")]}
 
 
-#: What a block says in Markdown; the words of rich text stand for {}.
+#: What a block says in Markdown; the words of rich text stand for {}.
 BLOCKS = {
     "paragraph": "{}", "heading_1": "# {}", "heading_2": "## {}", "heading_3": "### {}", "bulleted_list_item": "- {}", "numbered_list_item": "1. {}",
     "toggle": "> {}", "quote": "> {}", "callout": "> {}",
 }
+#: Marks of rich text, the innermost first.
 MARKS = (("bold", "**"), ("italic", "*"), ("strikethrough", "~~"), ("code", "`"))
 
 
