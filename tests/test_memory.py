@@ -62,6 +62,12 @@ def test_heads_of_chains_trees_and_circles(spark):
     assert memory.heads(spark.createDataFrame([], "node long, next long")).count() == 0
 
 
+def test_heads_of_a_long_chain_keep_the_planner_s_estimates_small(spark):
+    chain = memory.heads(spark.range(5000).selectExpr("id AS node", "id + 1 AS next"))
+    assert int(str(chain._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 500
+    assert {(r.head, r.node + r.steps) for r in chain.collect()} == {(5000, 5000)}
+
+
 def test_knapsack_of_a_large_group(spark):
     rng = random.Random(5)
     rows = [(1, i, rng.random(), rng.choice([0, 1, 3, 7, 20, 200])) for i in range(3000)] + [(2, 9000, 1.0, 500)]

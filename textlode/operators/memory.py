@@ -8,13 +8,12 @@ functions work on whole tables at once; a scope or key may hold any share of the
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
-from textlode.sources.shared import durable
+from textlode.sources.shared import stored
 
 #: How much of a confidence the new one makes, and statuses that an update finds.
 NEW, OLD, OPEN = 0.7, 0.3, ("active", "needs_confirmation")
@@ -99,31 +98,32 @@ def heads(edges: DataFrame) -> DataFrame:
     """node, head, steps, cyclic of (node, next), one ``next`` a node: what each was superseded by in the end.
 
     Pointers double each round, so a chain of n links takes log n rounds; nodes that have arrived leave. What still moves after as
-    many rounds as the table's size allows is on a circle or leads to one: it has no head.
+    many rounds as the table's size allows, or when a round stops nothing, is on a circle or leads to one: it has no head. Rounds are
+    stored as tables, whose sizes Spark knows: its estimates of copies in memory multiply with each join, until the driver holds
+    numbers of millions of digits.
     """
-    links = durable(edges.filter("node IS NOT NULL AND next IS NOT NULL").groupBy("node").agg(F.min("next").alias("next")).withColumn("steps", F.lit(1).cast("long")))
+    links = stored(edges.filter("node IS NOT NULL AND next IS NOT NULL").groupBy("node").agg(F.min("next").alias("next")).withColumn("steps", F.lit(1).cast("long")))
     rounds = math.ceil(math.log2(max(2, links.count()))) + 1
     done, moving = [], links
     for _ in range(rounds):
         ahead = moving.select(F.col("node").alias("at"), F.col("next").alias("after"), F.col("steps").alias("more"))
-        step = durable(moving.join(ahead, F.col("next") == F.col("at"), "left"))
+        step = stored(moving.join(ahead.hint("merge"), F.col("next") == F.col("at"), "left"))
         # a node whose next one has arrived already may stop, too: its next one is looked up among the arrived below
-        done.append(step.filter("at IS NULL").select("node", "next", "steps"))
-        moving = durable(step.filter("at IS NOT NULL").select("node", F.col("after").alias("next"), (F.col("steps") + F.col("more")).alias("steps")))
-        if moving.isEmpty():
+        stopped = step.filter("at IS NULL").select("node", "next", "steps")
+        if stopped.isEmpty():  # a chain of what moves would have a node that stops in this round
             break
-    arrived = reduce(DataFrame.unionByName, done)
-    last = arrived.select(F.col("node").alias("of"), F.col("next").alias("end"), F.col("steps").alias("rest"))
-    # ends of ends: a round's jump may land on a node that arrived in an earlier one
-    for _ in range(len(done)):
-        hop = arrived.join(last, F.col("next") == F.col("of"), "left")
-        arrived = durable(hop.select("node", F.coalesce("end", "next").alias("next"), (F.col("steps") + F.coalesce("rest", F.lit(0))).alias("steps"), F.col("of").isNotNull().alias("hopped")))
-        if arrived.filter("hopped").isEmpty():
+        done.append(stopped)
+        moving = step.filter("at IS NOT NULL").select("node", F.col("after").alias("next"), (F.col("steps") + F.col("more")).alias("steps"))
+        if moving.isEmpty():
             break
-        arrived = arrived.drop("hopped")
+    # ends of ends: a round's jump lands on a head or on a node that stopped in an earlier round, whose end is known by then
+    arrived = links.limit(0)
+    for stopped in done:
         last = arrived.select(F.col("node").alias("of"), F.col("next").alias("end"), F.col("steps").alias("rest"))
+        hop = stopped.join(last.hint("merge"), F.col("next") == F.col("of"), "left")
+        arrived = arrived.unionByName(stored(hop.select("node", F.coalesce("end", "next").alias("next"), (F.col("steps") + F.coalesce("rest", F.lit(0))).alias("steps"))))
     found = arrived.select("node", F.col("next").alias("head"), "steps", F.lit(False).alias("cyclic"))
-    rest = links.join(arrived.select("node"), "node", "left_anti").select("node", F.lit(None).cast(dict(links.dtypes)["next"]).alias("head"), F.lit(None).cast("long").alias("steps"), F.lit(True).alias("cyclic"))
+    rest = links.join(arrived.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(None).cast(dict(links.dtypes)["next"]).alias("head"), F.lit(None).cast("long").alias("steps"), F.lit(True).alias("cyclic"))
     return found.unionByName(rest)
 
 
