@@ -88,3 +88,19 @@ def test_bundles_are_limited_and_cut(spark):
     assert lines[0] == "Claims:" and lines[1:16] == [f"  - s{i} is: u1 (confidence: {i / 100:.2f})" for i in range(39, 24, -1)]
     assert got[1].endswith("x\n[... truncated]") and len(got[1]) == 12_000 + len("\n[... truncated]")
     assert got[2] == "Invariants:\n  - [critical] b invariant" and 3 not in got
+
+
+def test_foremost_holders_are_those_of_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), float(rng.randint(0, 5)), float(rng.randint(0, 3)), " ".join(rng.sample(["red", "hot", "bolt", "ring", f"u{i}"], rng.randint(1, 4)))) for i in range(300)]
+    known = spark.createDataFrame(rows, "id long, part string, first double, second double, content string")
+    asked = {q: rng.sample(["red", "hot", "bolt", "ring", "none"], rng.randint(1, 3)) for q in range(40)}
+    terms = spark.createDataFrame([(q, len(w), t) for q, w in asked.items() for t in w], "query_id long, n_terms int, term string")
+    index = ix.build(known, str(tmp_path / "o"), "id", "content")
+    got = evidence.foremost_holders(index, terms, known, {"a": 2, "b": 3})
+    want = set()
+    for q, words in asked.items():
+        for part, n in (("a", 2), ("b", 3)):
+            best = sorted((f, s, i) for i, p, f, s, c in rows if p == part and set(words) <= set(c.split()))[:n]
+            want |= {(q, part, k, i) for k, (_, _, i) in enumerate(best, 1)}
+    assert {(r.query_id, r.part, r.place, r.id) for r in got.collect()} == want

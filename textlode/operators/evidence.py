@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textlode.functions import text as T
 from textlode.operators import index as ix
 from textlode.operators.search import small
-from textlode.sources.shared import durable
+from textlode.sources.shared import durable, stored
 
 #: Sections of a scope's bundle in order, with their limits, and the characters after which it ends.
 LIMITS = (("claim", "Claims:", 15), ("decision", "Decisions:", 10), ("loop", "Open Loops:", 10), ("invariant", "Invariants:", 10), ("anti_runbook", "Anti-Runbooks (avoid):", 5))
@@ -113,16 +113,24 @@ class History:
     index: ix.Index
 
 
-def holders(index: ix.Index, queries: DataFrame) -> DataFrame:
-    """query_id, doc: texts that hold every term of a query, from the texts of its rarest one."""
-    queries = durable(queries)
-    n = queries.count()
-    held = ix.hits(index, queries).join(small(queries, n), "term").select("query_id", "term", "doc", "n_terms")
-    known = index.read("terms").join(small(queries.select("term").distinct(), n), "term").select("term", "df")
-    rarest = queries.join(small(known, n), "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("rarest")).withColumnRenamed("query_id", "of")
-    near = held.join(small(rarest, n), (F.col("query_id") == F.col("of")) & (F.col("term") == F.col("rarest"))).select("query_id", "doc")
-    met = held.join(near, ["query_id", "doc"], "left_semi").groupBy("query_id", "doc", "n_terms").agg(F.count_distinct("term").alias("n"))
-    return met.filter("n = n_terms").select("query_id", "doc")
+def foremost_holders(index: ix.Index, terms: DataFrame, rows: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """``rows`` (id, part, first, second, more) that hold every term of a query, as many of a part as ``limits`` say: query_id, place and the rows' columns.
+
+    Rows that hold the same of all asked terms are found by the same queries, so of each such set only the
+    first of a part can be wanted; queries of the same terms are answered once. Sets meet queries, rows do not.
+    """
+    terms = durable(terms)
+    wanted = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("wanted"))
+    most = F.coalesce(*(F.when(F.col("part") == part, n) for part, n in limits.items()))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by, "part").orderBy("first", "second", "id"))
+    held = ix.hits(index, terms).groupBy("doc").agg(F.array_sort(F.collect_set("term")).alias("held"))
+    kept = rows.join(held, F.col("id") == F.col("doc")).drop("doc").withColumn("place", first("held"))
+    kept = stored(kept.filter(F.col("place") <= max(limits.values())).filter(F.col("place") <= most).drop("place"))
+    sets = kept.select("held").distinct().withColumn("term", F.explode("held"))
+    asked = wanted.select("wanted", F.element_at("wanted", 1).alias("term")).distinct()
+    met = sets.join(asked, "term").filter(F.size(F.array_except("wanted", "held")) == 0).select("wanted", "held")
+    found = met.join(kept, "held").withColumn("place", first("wanted")).filter(F.col("place") <= max(limits.values())).filter(F.col("place") <= most)
+    return wanted.join(found.drop("held"), "wanted").drop("wanted")
 
 
 def federated(queries: DataFrame, objects: DataFrame, index: ix.Index, histories: list[History] | None = None, documents: DataFrame | None = None, budget: int = 900) -> DataFrame:
@@ -134,12 +142,12 @@ def federated(queries: DataFrame, objects: DataFrame, index: ix.Index, histories
     snippets each, the newest of what their ladder finds), and where nothing else is
     known ``documents`` (query_id, text).
     """
-    queries = durable(queries.select("query_id", "query", "scope_id"))
+    everyone = durable(queries.select("query_id", "query", "scope_id"))
+    # a question that is asked again in its scope has the same answer
+    queries = durable(everyone.groupBy("query", "scope_id").agg(F.min("query_id").alias("query_id")).select("query_id", "query", "scope_id"))
     words = F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda w: F.length(w) > 2)
     asked = queries.withColumn("words", words)
     terms = ix._terms(asked, F.transform(ix.words_of(F.array_join("words", " ")), ix.phrase))
-    met = holders(index, terms).join(standing(objects), F.col("doc") == F.col("id")).drop("scope_id")
-    at = Window.partitionBy("query_id", "part").orderBy("first", "second", "id")
 
     def section(rows: DataFrame, number: int, name: str, line: Column, needs: int = 0) -> DataFrame:
         lines = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
@@ -149,8 +157,8 @@ def federated(queries: DataFrame, objects: DataFrame, index: ix.Index, histories
 
     relates = (F.col("kind") == "claim") & ~F.col("predicate").isin("is", "states")
     parts = F.array(F.when(F.col("kind").isin("claim", "decision", "entity"), F.col("kind")), F.when(relates, "relating"))
-    found = met.select("*", F.explode(F.array_compact(parts)).alias("part")).withColumn("place", F.row_number().over(at))
-    found = found.filter(F.col("place") <= F.when(F.col("part") == "decision", 3).otherwise(5)).filter("place <= 5")
+    known = standing(objects).withColumn("part", F.explode(F.array_compact(parts))).select("id", "part", "first", "second", "subject", "predicate", "object", "event_type", "content")
+    found = stored(foremost_holders(index, terms, known, {"claim": 5, "decision": 3, "entity": 5, "relating": 5}))
     of = lambda part: found.filter(F.col("part") == part)
     dot, tie = F.lit("• "), lambda c: F.concat(F.lit("• "), "subject", F.lit(" —["), "predicate", F.lit("]→ "), c)
     made = [
@@ -164,19 +172,23 @@ def federated(queries: DataFrame, objects: DataFrame, index: ix.Index, histories
     scored = asked.select("query_id", "scope_id", "words").join(ranked, "scope_id").withColumn("score", F.size(F.filter("words", lambda w: F.contains(said, w))))
     scored = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("confidence"), "id"))).filter("place <= 12")
     made.append(section(scored, 4, "relations", F.concat(tie(F.col("object")), F.lit(" (conf="), rounded(F.col("confidence")), F.lit(")"))))
+    spoken = durable(queries.groupBy("query").agg(F.min("query_id").alias("query_id")).select("query_id", "query"))  # whatever the scope
     for number, history in enumerate(histories or [], 6):
-        hits = ix.ladder(history.index, history.turns, queries, key="msg_id", newest="created")
+        hits = ix.ladder(history.index, history.turns, spoken, key="msg_id", newest="created")
         newest = hits.join(history.turns.select(F.col("msg_id").alias("of"), "created"), F.col("doc") == F.col("of"))
         newest = newest.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created"), "doc"))).filter("place <= 3")
-        shown = ix.snippets(newest.select("query_id", "step", "doc", "place"), history.turns, queries, key="msg_id")
+        shown = ix.snippets(newest.select("query_id", "step", "doc", "place"), history.turns, spoken, key="msg_id")
+        shown = queries.select("query_id", "query").join(spoken.withColumnRenamed("query_id", "of"), "query").join(shown.withColumnRenamed("query_id", "of"), "of")
         made.append(section(shown, number, history.name, F.concat(dot, F.coalesce("snippet", F.lit("(no snippet)"))), 100 if number == 6 else 50))
     every = made[0]
     for one in made[1:]:
         every = every.unionByName(one)
-    answered = budgeted(every, budget)
+    answers = queries.join(budgeted(every, budget).withColumnRenamed("query_id", "of"), F.col("query_id") == F.col("of")).drop("query_id", "of")
+    again = [F.col(f"asked.{c}").eqNullSafe(F.col(f"known.{c}")) for c in ("query", "scope_id")]
+    answered = everyone.alias("asked").join(answers.alias("known"), again).select("query_id", "answer", "sources", "n_sections")
     if documents is None:
         return answered
     answered = durable(answered)
-    last = documents.join(queries, "query_id").join(answered, "query_id", "left_anti").filter(F.trim("text") != "")
+    last = documents.join(everyone, "query_id").join(answered, "query_id", "left_anti").filter(F.trim("text") != "")
     text = F.concat(F.lit(HEADERS["documents"]), F.substring(F.trim("text"), 1, max(100, budget * 4)))
     return answered.unionByName(last.select("query_id", text.alias("answer"), F.lit("documents").alias("sources"), F.lit(1).alias("n_sections")))
