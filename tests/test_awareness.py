@@ -77,3 +77,20 @@ def test_notes_stay_within_lines_and_tokens(spark):
 
 def test_no_mentions(spark):
     assert awareness.notes(named(spark, (1, "nova"), (2, None)), spark.createDataFrame([], SCHEMA), F.lit(NOW)).count() == 0
+
+
+def test_sources_of_the_same_entities_make_their_pairs_once(spark):
+    rows = [(f"s{i:03}", e) for i in range(200) for e in ("x", "y", *(("z",) if i % 50 == 7 else ()))] + [("one", "x"), ("one", None), (None, "y")]
+    found = awareness.connections(spark.createDataFrame(rows, "source string, entity string"))
+    assert {tuple(r) for r in found.collect()} == {("x", "y", 200, "s000"), ("x", "z", 4, "s007"), ("y", "z", 4, "s007")}
+    plan = found._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan
+    stages, seen = [plan], 0
+    while stages:
+        node = stages.pop()
+        if "QueryStage" in node.nodeName():
+            stages.append(node.plan())
+        if "Generate" in node.nodeName():
+            seen += int(str(node.metrics().get("numOutputRows").get().value()))
+        stages += [node.children().apply(i) for i in range(node.children().size())]
+    assert seen == 4

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
+from textlode.sources.shared import stored
 
 
 def mismatches(mentions: DataFrame, limit: int, since: Column) -> DataFrame:
@@ -40,10 +41,15 @@ def mismatches(mentions: DataFrame, limit: int, since: Column) -> DataFrame:
 
 
 def connections(mentions: DataFrame) -> DataFrame:
-    """a, b (a < b), sources, first_source: entities that share sources. Pairs are made inside a source's row."""
+    """a, b (a < b), sources, first_source: entities that share sources. Pairs are made inside a source's row, once for all sources of the same entities."""
     held = mentions.filter("entity IS NOT NULL AND source IS NOT NULL").groupBy("source").agg(F.array_sort(F.collect_set("entity")).alias("names"))
-    pairs = F.flatten(F.transform("names", lambda a: F.transform(F.filter("names", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return held.select("source", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("sources"), F.min("source").alias("first_source"))
+    held = held.filter(F.size("names") > 1).groupBy("names").agg(F.count("*").alias("n"), F.min("source").alias("first_source"))
+    # numbers in the order of the first sources, which differ: counts and least numbers are added up in place, least strings would be sorted
+    held = stored(held.repartitionByRange("first_source").sortWithinPartitions("first_source").withColumn("number", F.monotonically_increasing_id()))
+    # names are in order: a pair's second one stands behind its first
+    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    shared = held.select("n", "number", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("sources"), F.min("number").alias("number"))
+    return shared.join(held.select("number", "first_source"), "number").select("a", "b", "sources", "first_source")
 
 
 def entities(mentions: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def notes(
     ``least_mentions`` get mismatches, stale references and connections, in this order; others
     get background lines. A line that does not fit is passed over for the next. Keys without lines give no row.
     """
-    known, pairs = entities(mentions), connections(mentions)
+    known, pairs = entities(mentions), stored(connections(mentions))  # read three times: no more rows than pairs of entities
     told = named.join(known.withColumnRenamed("entity", "of"), F.col("entity") == F.col("of"), "left").drop("of").withColumn("enough", F.coalesce(F.col("mentions") >= least_mentions, F.lit(False)))
     matched = told.filter("enough").select("key", "entity", "mentions", "last_seen")
     others = named.join(matched.select("key").distinct(), "key", "left_anti")
@@ -105,7 +111,9 @@ def notes(
 
     a, b = matched.select("key", F.col("entity").alias("a")), matched.select("key", F.col("entity").alias("b"))
     order = Window.partitionBy("key").orderBy(F.desc("sources"), "a", "b")
-    near = a.join(pairs, "a").join(b, ["key", "b"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most_notes)
+    # the names of a text meet first: they are few, while an entity shares sources with most others
+    named_pairs = stored(a.join(b, "key").filter("a < b").distinct())
+    near = named_pairs.join(pairs, ["a", "b"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most_notes)
     line = F.concat(F.lit("Connection: "), quoted("a"), F.lit(" and "), quoted("b"), F.lit(" co-occur in "), "first_source")
     lines = lines.unionByName(near.select("key", F.lit(3).alias("part"), F.col("n").cast("long").alias("place"), F.lit("connection").alias("kind"), line.alias("line")))
 
