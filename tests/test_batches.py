@@ -1,6 +1,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from textlode.functions import text as T
 from textlode.functions.batches import SLICE_BYTES, SLICE_ROWS, flat_map, slices
 from textlode.sources import documents
 
@@ -30,3 +31,11 @@ def test_parsed_files_keep_columns_with_nulls(spark):
     files = spark.createDataFrame(rows, "path string, text string, mtime long, note string").coalesce(1)
     found = documents.parsed(files, ("mtime", "note")).select("path", "text", "mtime", "note")
     assert {r.path: tuple(r) for r in found.collect()} == {r[0]: r for r in rows}
+
+
+def test_script_language_reads_a_text_once_a_script(spark):
+    rows = [("en", "plain words"), ("zh", "汉语文本没有空格"), ("ru", "русский текст"), ("ar", "هذا نص"), ("ko", "한국어"), ("hi", "हिन्दी"), ("unknown", "12345 - 67"), ("unknown", ""), (None, None), ("en", "ab 汉语"), ("en", "abc 汉语文")]
+    found = spark.createDataFrame(rows, "want string, text string").select("want", T.script_language(F.col("text")).alias("got"))
+    assert [r for r in found.collect() if r.want != r.got] == []
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(text") <= 6

@@ -218,10 +218,15 @@ def strip_sensitive(text: Column) -> Column:
 def script_language(text: Column) -> Column:
     """Language by the share of characters of a script; below a tenth it is unknown."""
     ranges = {"en": "a-zA-Z", "zh": "\\u4e00-\\u9fff", "ar": "\\u0600-\\u06ff", "ru": "\\u0400-\\u04ff", "ko": "\\uac00-\\ud7af", "hi": "\\u0900-\\u097f"}
-    share = {k: F.length(F.regexp_replace(text, f"[^{r}]", "")) / F.greatest(F.length(text), F.lit(1)) for k, r in ranges.items()}
-    best = F.greatest(*share.values())
-    named = reduce(lambda c, kv: c.when(kv[1] == best, kv[0]), list(share.items())[1:], F.when(share["en"] == best, "en"))
-    return F.when(best < 0.1, "unknown").otherwise(named)
+    # what the runs of a script leave is removed at one place each: a text has far fewer runs than signs
+    share = [(F.length(text) - F.length(F.regexp_replace(text, f"[{r}]+", ""))) / F.greatest(F.length(text), F.lit(1)) for r in ranges.values()]
+
+    def named(found: Column) -> Column:
+        best = F.array_max(found)
+        return F.when(best < 0.1, "unknown").otherwise(F.get(F.array(*map(F.lit, ranges)), (F.array_position(found, best) - 1).cast("int")))
+
+    # bound to a variable, as the shares are named several times and cost a pass over the text each
+    return F.get(F.transform(F.array(F.array(*share)), named), F.lit(0))
 
 
 def cut_words(text: Column, words: int) -> Column:
