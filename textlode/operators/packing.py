@@ -86,18 +86,34 @@ def close_pairs(vectors: DataFrame, by: str, least_cosine: float) -> DataFrame:
     return search.blocked(v, None, by, run, "a long, b long")
 
 
-def nearest_before(new: DataFrame, old: DataFrame, by: str) -> DataFrame:
-    """vec_id, distance: of each new vector, the nearest earlier one of its group in each block of the old ones."""
+def nearest_before(new: DataFrame, old: DataFrame | None, by: str) -> DataFrame:
+    """vec_id, distance: of each new vector, the nearest earlier one of its group in each block of the old ones.
+
+    Without ``old``, vectors are held against their own table, and each pair of blocks meets once for both.
+    """
     import numpy as np
 
+    one_table = old is None
+
+    def before(left: search.Side, right: search.Side) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for start in range(0, len(left.ids), search.AT_ONCE):
+            ids, vectors = left.ids[start : start + search.AT_ONCE], left.vectors[start : start + search.AT_ONCE]
+            near, off = search.near_squares(vectors, right.vectors)
+            near[right.ids[None, :] >= ids[:, None]] = np.inf
+            least = near.min(axis=1)
+            rows, at = np.nonzero((near <= least[:, None] + 2 * off) & np.isfinite(least)[:, None])
+            best = np.full(len(ids), np.inf)
+            np.minimum.at(best, rows, search.paired_distances(vectors[rows], right.vectors[at]))
+            out.append((ids[np.isfinite(best)], best[np.isfinite(best)]))
+        return out
+
     def run(left: search.Side, right: search.Side, same: bool) -> dict[str, np.ndarray]:
-        d = np.sqrt(search.squares(left.vectors, right.vectors))
-        d[right.ids[None, :] >= left.ids[:, None]] = np.inf
-        best = d.min(axis=1)
-        return {"vec_id": left.ids[np.isfinite(best)], "distance": best[np.isfinite(best)]}
+        found = before(left, right) + (before(right, left) if one_table and not same else [])
+        return dict(zip(("vec_id", "distance"), map(np.concatenate, zip(*found, strict=True)), strict=True))
 
-    new, old = (v.select(by, F.col("vec_id").alias("id"), F.col("embedding").alias("vector")) for v in (new, old))
-    return search.blocked(new, old, by, run, "vec_id long, distance double")
+    new, other = (v if v is None else v.select(by, F.col("vec_id").alias("id"), F.col("embedding").alias("vector")) for v in (new, old))
+    return search.blocked(new, other, by, run, "vec_id long, distance double")
 
 
 def greedy_distinct(vectors: DataFrame, by: str, least_cosine: float = 0.95) -> DataFrame:

@@ -127,6 +127,27 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Rows of a block that are held against the other block at a time.
+AT_ONCE = 256
+
+
+def near_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one product of matrices, and what they may be off; as by ``squares`` where that is not finite."""
+    xx, yy = np.square(x).sum(axis=1), np.square(y).sum(axis=1)
+    out = x @ y.T
+    out *= -2
+    out += xx[:, None]
+    out += yy
+    if np.isfinite(out).all():
+        return out, 8 * (x.shape[1] + 4) * np.finfo(float).eps * (xx.max() + yy.max())
+    return squares(x, y), 0.0
+
+
+def paired_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of row and row, added up in the order of ``squares``."""
+    return np.sqrt(np.add.accumulate(np.square(x - y), axis=1)[:, -1]) if x.shape[1] else np.zeros(len(x))
+
+
 def blocked(left: DataFrame, right: DataFrame | None, same: str | None, run: Callable[[Side, Side, bool], dict], schema: str) -> DataFrame:
     """Rows (id, vector) of ``left`` meet those of ``right`` (of equal ``same``) block by block; without ``right``, pairs of ``left``'s blocks meet once.
 
@@ -197,13 +218,22 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, same: str | None = No
     """
 
     def run(c: Side, q: Side, _: bool) -> dict[str, np.ndarray]:
-        distances = np.sqrt(squares(q.vectors, c.vectors))
         out = []
-        for query_id, d in zip(q.ids, distances, strict=True):
+        for start in range(0, len(q.ids), AT_ONCE):
+            ids, vectors = q.ids[start : start + AT_ONCE], q.vectors[start : start + AT_ONCE]
+            near, off = near_squares(vectors, c.vectors)
+            if len(c.ids) > k:
+                # no row whose rounded distance may be the k-th's is left out
+                kth = np.maximum(np.partition(near, k - 1, axis=1)[:, k - 1], 0)[:, None]
+                rows, at = np.nonzero(near <= kth + 2 * off + 1e-8 * np.sqrt(kth + off) + 1e-16)
+            else:
+                rows, at = (i.ravel() for i in np.indices(near.shape))
+            d = paired_distances(vectors[rows], c.vectors[at])
             # a little more than k: the final order is by rounded distance, then id
-            at = np.flatnonzero(np.round(d, 9) <= np.round(np.partition(d, k - 1)[k - 1], 9) + 2e-9) if len(d) > k else np.arange(len(d))
-            at = at[np.lexsort((c.ids[at], np.round(d[at], 9)))][: k + TIES]
-            out.append((np.full(len(at), query_id), c.ids[at], d[at]))
+            order = np.lexsort((c.ids[at], np.round(d, 9), rows))
+            rows, at, d = rows[order], at[order], d[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            out.append((ids[rows][place < k + TIES], c.ids[at][place < k + TIES], d[place < k + TIES]))
         return dict(zip(("query_id", "vec_id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
     kept = [same] if same else []

@@ -115,7 +115,7 @@ def lease_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def existing_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is a vector near an earlier one of its collection? The nearest decides, so blocks send one distance a vector."""
     v = table(spark, sf_dir, "embeddings")
-    nearest = packing.nearest_before(v, v, "label").groupBy("vec_id").agg(F.min("distance").alias("d"))
+    nearest = packing.nearest_before(v, None, "label").groupBy("vec_id").agg(F.min("distance").alias("d"))
     return nearest.select("vec_id", (F.col("d") <= (2 * 0.05) ** 0.5).alias("duplicate"))
 
 
