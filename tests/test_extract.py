@@ -145,6 +145,17 @@ def test_tool_results(spark):
     assert all(r.trust == 1.0 and r.confidence == 0.8 for r in got)
 
 
+def test_tool_results_are_walked_in_one_pass(spark):
+    """However deep they are nested, results are read and parsed once, and dealt to all tasks."""
+    rows = [(i, "t", '{"a": {"b": {"c": %d}}, "xs": [{"k": [{"z": 1}]}, [2], {}], "e": {}, "n": []}' % i) for i in range(50)]
+    calls = spark.createDataFrame(rows, "id int, tool string, result string").coalesce(1)
+    found = extract.tool_claims(calls)
+    assert sorted((r.id, r.predicate, r.object) for r in found.collect()) == sorted(x for i in range(50) for x in ((i, "a.b.c", str(i)), (i, "xs.0.k.0.z", "1")))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [

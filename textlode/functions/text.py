@@ -112,7 +112,8 @@ def normalize_topic(text: Column) -> Column:
 def canonical_key(kind: Column, subject: Column, predicate: Column, value: Column, topic: Column | None = None) -> Column:
     """Key under which equal knowledge meets; null where a part is missing or the kind has none. A claim's topic goes before its predicate."""
     full = lambda c: F.when(F.trim(c) != "", normalize(c))
-    join = lambda *parts: F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.concat_ws("::", *parts))
+    # null if a part is: each part is written out once
+    join = lambda *parts: F.concat(parts[0], *(x for p in parts[1:] for x in (F.lit("::"), p)))
     aspect = normalize_predicate(full(predicate))
     if topic is not None:
         aspect = F.coalesce(normalize_topic(full(topic)), aspect)

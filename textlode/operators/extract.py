@@ -208,17 +208,27 @@ def tool_claims(results: DataFrame, key: str = "id", tool: str = "tool", result:
     are none. What is no JSON object or array at the top, or no JSON, gives nothing.
     """
     spark, kind = results.sparkSession, F.schema_of_variant
-    exploded = "SELECT w.`{0}`, w.tool, w.path, coalesce(e.key, CAST(e.pos AS STRING)) AS name, e.pos, e.value AS v FROM {{w}} AS w, LATERAL variant_explode(w.v) AS e".format(key)
-    walked = results.select(F.col(key), F.col(tool).alias("tool"), F.lit("").alias("path"), F.try_parse_json(F.col(result)).alias("v"))
-    walked, found = walked.filter(kind("v").rlike("^(OBJECT|ARRAY)")), None
+    # one pass: rows that are not opened go through the outer explode as they are
+    opening = "SELECT w.*, e.pos, coalesce(e.key, CAST(e.pos AS STRING)) AS name, e.value FROM {{w}} AS w, LATERAL variant_explode_outer(CASE WHEN w.kind IN ({0}) THEN w.v END) AS e"
+    first = lambda v: F.regexp_extract(kind(v), "^[A-Z]+", 0)
+
+    def opened(rows: DataFrame, *kinds: str) -> DataFrame:
+        """Rows with the members of those of these kinds in their place: ``inside`` tells which are members, ``pos`` where they stood."""
+        found = spark.sql(opening.format(", ".join(f"'{k}'" for k in kinds)), w=rows)
+        inside = F.col("kind").isin(*kinds)
+        path = F.when(inside, F.concat_ws(".", F.nullif("path", F.lit("")), "name")).otherwise(F.col("path"))
+        found = found.filter(~inside | F.col("pos").isNotNull()).select(key, "tool", path.alias("path"), F.when(inside, F.col("value")).otherwise(F.col("v")).alias("v"), "kind", "pos", inside.alias("inside"))
+        return found.withColumn("kind", F.when(F.col("inside"), first(F.col("v"))).otherwise(F.col("kind")))
+
+    # the walk takes far longer than the reading, so that it is dealt to all tasks, however few files there are
+    dealt = results.select(F.col(key), F.col(tool).alias("tool"), F.col(result).alias("result")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    found = dealt.select(key, "tool", F.lit("").alias("path"), F.try_parse_json("result").alias("v"))
+    found = found.withColumn("kind", first(F.col("v"))).filter("kind IN ('OBJECT', 'ARRAY')")
     for level in range(depth + 1):
-        each = spark.sql(exploded, w=walked).select(key, "tool", F.concat_ws(".", F.nullif("path", F.lit("")), "name").alias("path"), "v", kind("v").alias("kind"))
-        leaves = each.filter(~F.col("kind").rlike("^(OBJECT|ARRAY|VOID)"))
-        found = leaves if found is None else found.unionByName(leaves)
+        found = opened(found, "OBJECT", "ARRAY").filter("kind <> 'VOID'").drop("pos", "inside")
         if level < depth:
-            inside = spark.sql(exploded, w=each.filter(F.col("kind").startswith("ARRAY")).drop("kind")).filter((F.col("pos") < items) & kind("v").startswith("OBJECT"))
-            inside = inside.select(key, "tool", F.concat_ws(".", "path", "name").alias("path"), "v")
-            walked = each.filter(F.col("kind").startswith("OBJECT")).drop("kind").unionByName(inside)
+            found = opened(found, "ARRAY").filter(~F.col("inside") | (F.col("pos") < items) & (F.col("kind") == "OBJECT")).drop("pos", "inside")
+    found = found.filter("kind NOT IN ('OBJECT', 'ARRAY')")
     number = F.col("kind").rlike("^(BIGINT|DECIMAL|DOUBLE)")
     value = F.variant_get(F.col("v"), "$", "string")
     value = F.when(number & F.contains(value, F.lit(".")), F.regexp_replace(value, r"\.?0+$", "")).otherwise(value)
