@@ -119,3 +119,16 @@ def test_empty_index(spark, tmp_path):
 def test_snippet_around_a_part(spark, text, want):
     df = spark.createDataFrame([(text, ["zz", "needle"])], "text string, terms array<string>")
     assert df.select(T.snippet_around(F.col("text"), F.col("terms")).alias("s")).first().s == want
+
+
+def test_an_index_for_a_batch_holds_what_it_asks(spark, built, tmp_path):
+    """Answers are those of the whole index, and postings of other terms are not written."""
+    docs, whole = built
+    queries = spark.createDataFrame(list(enumerate(["red bolt", "sub-mar", "runa", "zzz lonely", "nothing here", "café", "", "!!"])), "query_id long, query string")
+    index = ix.build(docs.repartition(3), str(tmp_path / "i"), asked=ix.asked(queries))
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    assert rows(ix.ladder(index, docs, queries)) == rows(ix.ladder(whole, docs, queries))
+    assert rows(index.read("totals")) == rows(whole.read("totals"))
+    held, every = ({(r.term, r.doc): (r.length, r.positions) for r in i.read("postings").filter("term IS NOT NULL").collect()} for i in (index, whole))
+    assert held == {k: v for k, v in every.items() if k[0] in {"red", "bolt", "sub", "mar", "zzz", "lonely"} or k[0].startswith(("runa", "cafe"))}
+    assert 0 < len(held) < len(every)

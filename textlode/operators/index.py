@@ -11,6 +11,9 @@ term are what the other terms' postings are joined to. Of an OR query, terms tha
 together cannot lift a text to the k-th score of the best term's texts are not
 searched for texts (MaxScore); both leave the results as they are.
 
+An index for one batch of queries holds the postings of that batch's terms alone (``build`` with ``asked``): all texts
+are read and counted, and what nobody asks does not move.
+
 Terms are folded tokens; ``a b`` is a phrase of neighbours, and a star at the end makes the
 last token a prefix. Null texts have no tokens; a key that occurs twice is two texts
 of one name, whose scores add up. An index without texts answers nothing.
@@ -21,16 +24,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
 from textlode.operators.search import inverse_frequency, small, term_score, top
-from textlode.sources.shared import durable
+from textlode.sources.shared import durable, stored
 
 BUCKETS = 64
+#: The folder of the texts' sizes, whose rows have no term, so that texts are split once.
+SIZES = -1
 #: Files of one bucket, to which the texts of a term are dealt.
 SPREAD = 8
 #: Query terms up to which their buckets are named to the reader, and up to which they are broadcast.
@@ -60,42 +67,70 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> Index:
-    """Postings move once, to their bucket's files; each file is written in the order of its terms."""
+def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", asked: DataFrame | None = None) -> Index:
+    """Postings move once, to their bucket's files; each file is written in the order of its terms.
+
+    With ``asked`` (term: tokens, phrases, prefixes) the index is for these terms alone, and answers them as a whole one does; above
+    BROADCAST_TERMS of their tokens it is a whole one.
+    """
     kind = docs.schema[key].dataType.simpleString()
     index = Index(docs.sparkSession, folder, kind)
     split = docs.select(F.col(key).alias("doc"), T.tokens(F.col(text)).alias("words"))
-    split.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("mean_length"), F.lit(None).cast(kind).alias("doc")).write.parquet(f"{folder}/totals")
-    mean = F.broadcast(index.read("totals").select("mean_length"))  # one row
     schema = f"term string, doc {kind}, length int, positions array<int>"
-    postings_ = split.select("doc", "words").mapInArrow(_places, schema)
-    postings_ = postings_.withColumn("bucket", bucket_of(F.col("term"))).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int"))
+    wanted = None
+    if asked is not None:
+        parts = asked.select(F.explode(F.split("term", " ")).alias("token")).filter("token <> ''").distinct().limit(BROADCAST_TERMS + 1)
+        names = [r.token for r in parts.collect()]
+        wanted = index.spark.sparkContext.broadcast(names) if len(names) <= BROADCAST_TERMS else None
+    postings_ = split.select("doc", "words").mapInArrow(lambda batches: _places(batches, None if wanted is None else wanted.value), schema)
+    bucket = F.when(F.col("term").isNull(), SIZES).otherwise(bucket_of(F.col("term")))
+    postings_ = postings_.withColumn("bucket", bucket).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int"))
     dealt = postings_.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "doc")
     dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    written = index.read("postings")
+    tokens = F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda n, x: n + x))
+    totals = written.filter(F.col("bucket") == SIZES).agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("n_docs"), tokens.alias("tokens"))
+    mean_length = F.when(F.col("n_docs") > 0, F.col("tokens") / F.col("n_docs")).otherwise(0.0)
+    totals.select("n_docs", mean_length.alias("mean_length"), F.lit(None).cast(kind).alias("doc")).write.parquet(f"{folder}/totals")
+    mean = F.broadcast(index.read("totals").select("mean_length"))  # one row
     weight = term_score(F.lit(1.0), F.size("positions"), F.col("length"), F.col("mean_length"))
-    terms = index.read("postings").crossJoin(mean).groupBy("term").agg(F.count("*").alias("df"), F.max(weight).alias("peak"))
+    terms = written.filter(F.col("bucket") != SIZES).crossJoin(mean).groupBy("term").agg(F.count("*").alias("df"), F.max(weight).alias("peak"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
     return index
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A text's tokens as one row a term, with its places, so that less moves."""
+#: Texts whose tokens are gathered at a time.
+TEXTS = 100
+
+
+def _places(batches: Iterator[pa.RecordBatch], wanted: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """A text's tokens (of those wanted, a star at the end for all that begin so) as one row a term, with its places, so that less moves; the sizes of all texts come as rows without a term."""
+    names = pa.array([w for w in wanted or () if not w.endswith("*")], "string")
+    fronts = [w[:-1] for w in wanted or () if w.endswith("*")]
+    fronts = {n: pa.array([f for f in fronts if len(f) == n], "string") for n in {len(f) for f in fronts}}
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            terms, rows, lengths, ends, positions = [], [], [], [0], []
-            for row, words in enumerate(part.column(1).to_pylist()):
-                places: dict[str, list[int]] = {}
-                for i, w in enumerate(words or ()):
-                    places.setdefault(w, []).append(i)
-                for w, held in places.items():
-                    terms.append(w)
-                    positions += held
-                    ends.append(len(positions))
-                rows += [row] * len(places)
-                lengths += [len(words or ())] * len(places)
-            lists = pa.ListArray.from_arrays(pa.array(ends, "int32"), pa.array(positions, "int32"))
-            columns = [pa.array(terms, "string"), part.column(0).take(pa.array(rows, "int64")), pa.array(lengths, "int32"), lists]
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            words = part.column(1)
+            tokens, rows = words.flatten(), pc.list_parent_indices(words).to_numpy()
+            lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            places = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            if wanted is not None:
+                kept = pc.is_in(tokens, value_set=names)
+                for n, front in fronts.items():
+                    kept = pc.or_(kept, pc.is_in(pc.utf8_slice_codeunits(tokens, 0, n), value_set=front))
+                kept = np.flatnonzero(kept.to_numpy(zero_copy_only=False))
+                tokens, rows, places = tokens.take(pa.array(kept)), rows[kept], places[kept]
+            sizes = pa.ListArray.from_arrays(pa.array([0, len(lengths)], "int32"), pa.array(lengths, "int32"))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, "string"), pa.nulls(1, part.column(0).type), pa.array([0], "int32"), sizes], names=["term", "doc", "length", "positions"])
+            coded = tokens.dictionary_encode()
+            codes = coded.indices.to_numpy()
+            order = np.lexsort((codes, rows))  # stable: places stay in order
+            rows, codes, places = rows[order], codes[order], places[order]
+            starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])]) if len(rows) else np.zeros(0, "int64")
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(rows)], "int32"), pa.array(places, "int32"))
+            of = pa.array(rows[starts], "int64")
+            columns = [coded.dictionary.take(pa.array(codes[starts])), part.column(0).take(of), pa.array(lengths[rows[starts]], "int32"), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "doc", "length", "positions"])
 
 
@@ -141,7 +176,7 @@ def hits(index: Index, terms: DataFrame) -> DataFrame:
     whole = by_place.groupBy("term", "n", "doc", "length").agg(F.collect_list("starts").alias("all")).filter(F.size("all") == F.col("n"))
     common = F.aggregate(F.slice("all", 2, 1_000), F.array_distinct(F.element_at("all", 1)), lambda a, b: F.array_intersect(a, b))
     phrases = whole.select("term", "doc", "length", F.size(common).cast("long").alias("tf")).filter("tf > 0")
-    return found.unionByName(phrases)
+    return found.unionByName(stored(phrases))  # read several times, and narrower than what makes them
 
 
 def search(index: Index, queries: DataFrame, k: int, every: bool = True) -> DataFrame:
@@ -208,6 +243,30 @@ def like_terms(query: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(F.filter(F.array(bare(query)), lambda t: t != ""))
 
 
+def _phrases(query: Column) -> Column:
+    return F.transform(words_of(query), phrase)
+
+
+def _starred(query: Column) -> Column:
+    """The terms of a query whose last word is a prefix."""
+    words = words_of(query)
+    last = F.try_element_at(words, F.lit(-1))
+    return F.concat(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), phrase), F.array(F.concat(phrase(last), F.lit("*"))))
+
+
+def _by_prefix(query: Column) -> Column:
+    """Whether a query is one word that is long enough to be a prefix."""
+    words, n_raw = words_of(query), F.size(F.split(F.regexp_replace(query, r"^\s+|\s+$", ""), r"\s+"))
+    return (n_raw == 1) & (F.size(words) > 0) & (F.length(F.try_element_at(words, F.lit(-1))) >= SHORTEST_PREFIX)
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """term: all that the ladder may look for in an index, for queries (query_id, query)."""
+    query = F.col("query")
+    starred = F.when(_by_prefix(query) & ~F.contains(F.try_element_at(words_of(query), F.lit(-1)), F.lit("-")), _starred(query)).otherwise(F.array().cast("array<string>"))
+    return queries.select(F.explode(F.concat(_phrases(query), starred)).alias("term")).filter("term NOT IN ('', '*')").distinct()
+
+
 def _terms(queries: DataFrame, terms: Column) -> DataFrame:
     """query_id, term, n_terms; queries without terms drop out."""
     distinct = queries.select("query_id", F.array_distinct(F.filter(terms, lambda t: t != "")).alias("terms"))
@@ -223,25 +282,24 @@ def ladder(index: Index, docs: DataFrame, queries: DataFrame, k: int = 50, key:
     (descending) or the key.
     """
     queries = durable(queries.select("query_id", "query"))
-    words, n_raw = words_of(F.col("query")), F.size(F.split(F.regexp_replace("query", r"^\s+|\s+$", ""), r"\s+"))
+    query = F.col("query")
+    n_raw = F.size(F.split(F.regexp_replace(query, r"^\s+|\s+$", ""), r"\s+"))
     without = lambda found, asked: asked.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    strict = durable(search(index, _terms(queries, F.transform(words, phrase)), k).withColumn("step", F.lit("and")))
+    strict = durable(search(index, _terms(queries, _phrases(query)), k).withColumn("step", F.lit("and")))
     left = durable(without(strict, queries))
     several, single = left.filter(n_raw >= 2), left.filter(n_raw == 1)
-    any_word = search(index, _terms(several, F.transform(words, phrase)), k, every=False).withColumn("step", F.lit("or"))
-    last = F.try_element_at(words, F.lit(-1))
-    long = single.filter((F.size(words) > 0) & (F.length(last) >= SHORTEST_PREFIX))
-    starred = F.concat(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), phrase), F.array(F.concat(phrase(last), F.lit("*"))))
-    by_prefix = search(index, _terms(long.filter(~F.contains(last, F.lit("-"))), starred), k).withColumn("step", F.lit("prefix"))
+    any_word = search(index, _terms(several, _phrases(query)), k, every=False).withColumn("step", F.lit("or"))
+    last, long = F.try_element_at(words_of(query), F.lit(-1)), single.filter(_by_prefix(query))
+    by_prefix = search(index, _terms(long.filter(~F.contains(last, F.lit("-"))), _starred(query)), k).withColumn("step", F.lit("prefix"))
     found = strict.unionByName(any_word).unionByName(by_prefix).select("query_id", "step", "doc", F.col("rank").cast("long").alias("rank"))
     inside = durable(long.filter(F.contains(last, F.lit("-"))).select("query_id", like_terms(F.col("query")).alias("terms")))
     if inside.isEmpty():
         return found
-    asked = F.broadcast(inside.agg(F.collect_list(F.struct("query_id", "terms")).alias("asked")))  # one row: queries of this kind
-    low = F.lower(F.col(text))
-    held = F.filter("asked", lambda q: (F.size(q["terms"]) > 0) & F.forall(q["terms"], lambda t: F.contains(low, t)))
-    order = F.col(key) if newest is None else F.col(newest)
-    hit = docs.crossJoin(asked).select(F.col(key).alias("doc"), order.alias("newest"), F.explode(held).alias("q")).select("q.query_id", "doc", "newest")
+    parts = F.broadcast(inside.agg(F.collect_list(F.struct("query_id", "terms")).alias("asked")))  # one row: queries of this kind
+    held = F.filter("asked", lambda q: (F.size(q["terms"]) > 0) & F.forall(q["terms"], lambda t: F.contains("low", t)))
+    # lowered before the join: inside the filter it would be done anew for each term
+    low = docs.select(F.col(key).alias("doc"), F.col(key if newest is None else newest).alias("newest"), F.lower(F.col(text)).alias("low"))
+    hit = low.crossJoin(parts).select("doc", "newest", F.explode(held).alias("q")).select("q.query_id", "doc", "newest")
     like = top(hit, [F.desc("newest"), F.col("doc")], k).select("query_id", F.lit("like").alias("step"), "doc", F.col("rank").cast("long").alias("rank"))
     return found.unionByName(like)
 
