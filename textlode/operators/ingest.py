@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
-from textlode.operators.chunking import chunk_documents
+from textlode.operators.chunking import chunk_lists
 from textlode.sources import documents as parsers
 from textlode.sources.shared import durable
 from textlode.sources.shared import stored as stored_table
@@ -54,11 +54,12 @@ def judged(files: DataFrame, store: Store, force: bool = False) -> DataFrame:
     """
     known = store.documents.select(F.col("path").alias("old_path"), F.col("document_id").alias("old_id"), F.col("content_hash").alias("old_hash"), F.col("mtime").alias("old_mtime"))
     held = store.documents.select(F.col("content_hash").alias("held")).distinct().withColumn("is_held", F.lit(True))
-    rows = files.select("path", "text", "mtime", "size", digest(F.col("text")).alias("content_hash"))
+    # all that is asked of a text is known before the joins, so that texts move through them only where the caller reads them
+    rows = files.select("path", "text", "mtime", "size", digest(F.col("text")).alias("content_hash"), F.col("text").isNull().alias("no_text"))
     met = rows.join(known, F.col("path") == F.col("old_path"), "left").join(held, F.col("content_hash") == F.col("held"), "left")
     same = (F.col("old_mtime") == F.col("mtime")) | (F.col("old_hash") == F.col("content_hash"))
     new = F.col("old_id").isNull()
-    action = F.when(F.col("size") > MOST_BYTES, "too large").when(F.col("text").isNull(), "unreadable")
+    action = F.when(F.col("size") > MOST_BYTES, "too large").when(F.col("no_text"), "unreadable")
     if not force:
         action = action.when(~new & F.coalesce(same, F.lit(False)), "duplicate").when(new & F.col("is_held").isNotNull(), "duplicate")
     met = met.withColumn("action", action.when(new, "add").otherwise("update"))
@@ -76,35 +77,36 @@ def ingested(files: DataFrame, store: Store, tags: tuple[str, ...] = (), force:
     ``near`` gets the chunks (document_id, position, text) and returns those (document_id, position) that are near copies: they are
     dropped, but an update keeps its first chunk; a new document without any other is a duplicate.
     """
-    # two copies of the texts are kept: what the parsers read, and the chunks
+    # texts move once, to what is wanted of them, and one copy of them is kept: the chunks, in the row of their document
     seen = durable(judged(files, store, force).drop("text"))
     keep = ("mtime", "size", "content_hash", "old_id", "action")
     wanted = seen.filter("action IN ('add', 'update')").select("path", *keep)
-    parsed = stored_table(parsers.parsed(files.select("path", "text").join(wanted, "path"), keep))
+    parsed = parsers.parsed(files.select("path", "text").join(wanted, "path"), keep)
     failed_ = F.col("problem").isNotNull() | F.coalesce(F.trim("text").rlike(PLACEHOLDER), F.lit(False))
     name = F.substring(F.sha2(F.concat_ws("\0", "path", "content_hash"), 256), 1, 32)
-    docs = parsed.filter(~failed_).withColumnRenamed("text", "body").withColumn("document_id", name)
     marks = F.transform(F.filter("structure", lambda s: s["type"] == "heading"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["level"].alias("level")))
-    chunks = stored_table(chunk_documents(docs.select(F.col("document_id").alias("doc_id"), F.coalesce("kind", F.lit("text")).alias("kind"), F.col("body").alias("text"), marks.alias("headings"))).withColumnRenamed("doc_id", "document_id"))
+    read = parsed.filter(~failed_).withColumn("document_id", name).withColumn("stored_kind", F.col("kind")).withColumn("kind", F.coalesce("kind", F.lit("text"))).withColumn("headings", marks)
+    made = chunk_lists(read, ["document_id", "path", "stored_kind", "title", "author", "date", "tags", "aliases", "links", *keep]).withColumnRenamed("stored_kind", "kind")
+    made = stored_table(made.withColumn("made", F.size("chunks").cast("long")))
     if near is not None:
-        copies = near(chunks.select("document_id", "position", "text")).select("document_id", "position").distinct().withColumn("copy", F.lit(True))
-        chunks = chunks.join(copies, ["document_id", "position"], "left")
+        every = made.select("document_id", F.explode("chunks").alias("c")).select("document_id", "c.position", "c.text")
+        copied = durable(near(every).select("document_id", F.col("position").cast("int").alias("position")).groupBy("document_id").agg(F.collect_set("position").alias("copied")))
+        made = made.join(copied, "document_id", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<int>")))
     else:
-        chunks = chunks.withColumn("copy", F.lit(None).cast("boolean"))
-    facts = chunks.groupBy("document_id").agg(F.count("*").alias("made"), F.count("copy").alias("copies"), F.min("position").alias("first"))
-    docs = docs.join(facts.withColumnRenamed("document_id", "of"), F.col("document_id") == F.col("of"), "left").drop("of")
-    action = F.when(F.coalesce("made", F.lit(0)) == 0, "empty").when((F.col("action") == "add") & (F.col("copies") == F.col("made")), "duplicate").otherwise(F.col("action"))
-    docs = durable(docs.withColumn("action", action).drop("body", "structure"))
-    stored = docs.filter("action IN ('add', 'update')")
-    whole = stored.select(F.col("document_id").alias("of"), ((F.col("copies") == F.col("made")) & (F.col("action") == "update")).alias("all_copies"), F.col("first").alias("least"))
-    kept = chunks.join(whole, F.col("document_id") == F.col("of")).filter(F.col("copy").isNull() | (F.col("all_copies") & (F.col("position") == F.col("least"))))
-    before = F.lag("position").over(Window.partitionBy("document_id").orderBy("position"))
-    parents = kept.select("document_id", "position", before.alias("parent"))
-    kept = kept.select("document_id", "position", "prefix", "text", "tokens", digest(F.col("text")).alias("content_hash")).join(durable(parents), ["document_id", "position"])
-    kept = kept.select("document_id", "position", "prefix", "text", "tokens", "content_hash", "parent")
-
-    numbers = parents.groupBy(F.col("document_id").alias("of")).agg(F.count("*").alias("chunks"))
-    result = docs.join(numbers, F.col("document_id") == F.col("of"), "left").select(F.col("path").alias("p"), F.col("action").alias("done"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("made"))
+        made = made.withColumn("copied", F.array().cast("array<int>"))
+    is_copy = lambda position: F.array_contains("copied", position)
+    action = F.when(F.col("made") == 0, "empty").when((F.col("action") == "add") & (F.col("copies") == F.col("made")), "duplicate").otherwise(F.col("action"))
+    made = made.withColumn("copies", F.size(F.filter("chunks.position", is_copy))).withColumn("action", action)
+    all_copies = (F.col("copies") == F.col("made")) & (F.col("action") == "update")
+    stays = lambda position: ~is_copy(position) | (all_copies & (position == 0))
+    docs = durable(made.withColumn("chunks", F.size(F.filter("chunks.position", stays)).cast("long")).drop("copied"))
+    is_stored = F.col("action").isin("add", "update")
+    stored = docs.filter(is_stored)
+    kept = made.filter(is_stored).select("document_id", F.filter("chunks", lambda c: stays(c["position"])).alias("kept"))
+    kept = kept.select("document_id", F.posexplode("kept").alias("i", "c"), F.col("kept.position").alias("places")).withColumn("parent", F.when(F.col("i") > 0, F.get("places", F.col("i") - 1)))
+    kept = kept.select("document_id", "c.position", "c.prefix", "c.text", "c.tokens", digest(F.col("c.text")).alias("content_hash"), "parent")
+
+    result = docs.select(F.col("path").alias("p"), F.col("action").alias("done"), F.when(is_stored, F.col("chunks")).otherwise(0).alias("chunks"), "made")
     outcome = seen.select("path", "action").join(result, F.col("path") == F.col("p"), "left")
     failed = F.when(F.col("action").isin("add", "update"), F.coalesce("done", F.lit("failed"))).otherwise(F.col("action"))
     dropped = F.when(failed.isin("add", "update", "duplicate"), F.coalesce(F.col("made") - F.col("chunks"), F.lit(0))).otherwise(0)
