@@ -94,3 +94,18 @@ def test_sources_of_the_same_entities_make_their_pairs_once(spark):
             seen += int(str(node.metrics().get("numOutputRows").get().value()))
         stages += [node.children().apply(i) for i in range(node.children().size())]
     assert seen == 4
+
+
+def test_mentions_that_are_read_again_are_stored_by_text(spark):
+    """A text's terms are one stored row, however many mentions it makes."""
+    from textlode.plans import registry  # noqa: F401
+    from textlode.plans.aware import mention_rows
+
+    sf = "/root/testdata/sf0.001"
+    once = mention_rows(spark, sf, once=True)
+    folders = {f.rsplit("/", 1)[0] for f in once.inputFiles()}
+    assert len(folders) == 1 and "/table-" in folders.copy().pop()
+    stored = spark.read.parquet(*folders)
+    assert stored.count() == once.select("id").distinct().count() < once.count()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(once) == rows(mention_rows(spark, sf))

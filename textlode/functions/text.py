@@ -131,8 +131,8 @@ def canonical_key(kind: Column, subject: Column, predicate: Column, value: Colum
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without diacritics; texts of ASCII alone have none, and are not translated sign by sign."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(F.lower(text), MARKED, PLAIN))
 
 
 def tokens(text: Column) -> Column:

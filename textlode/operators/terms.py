@@ -47,12 +47,14 @@ class Finder:
         low, found = text.lower(), {}
         n = len(low)
         for end, (term, length) in self.automaton.iter(low):
+            known = found.get(term)
+            if known is not None and known[1]:  # the first place between boundaries stays
+                continue
             start = end - length + 1
             left = start > 0 and low[start - 1] in WORD
             right = end + 1 < n and low[end + 1] in WORD
             bounded = left != (low[start] in WORD) and right != (low[end] in WORD)
-            known = found.get(term)
-            if known is None or (bounded and not known[1]):
+            if known is None or bounded:
                 found[term] = start, bounded
         return found
 

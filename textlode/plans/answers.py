@@ -10,7 +10,6 @@ from textlode.operators import awareness, packing, retrieve
 from textlode.plans.aware import ENTITIES_SQL, MENTION_ROWS_SQL, mention_rows
 from textlode.plans.registry import query
 from textlode.plans.retrieval import bm25_rows_sql
-from textlode.sources.shared import durable
 from textlode.sources.tables import table
 
 SETTINGS = retrieve.Settings(top=5)
@@ -34,7 +33,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> retrieve.Answers:
-    m = durable(mention_rows(spark, sf_dir))
+    m = mention_rows(spark, sf_dir, once=True)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
     entities = awareness.entities(m).select("entity", F.lit("term").alias("type"), "mentions")
     return retrieve.answer(asked(spark, sf_dir), chunks(spark, sf_dir), entities, m.select("id", "entity", "terms"), s=SETTINGS, vectors=vectors)

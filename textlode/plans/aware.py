@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textlode.operators import awareness, terms
 from textlode.plans.extraction import TERM_MENTIONS_SQL, held_terms, known_terms
 from textlode.plans.registry import query
-from textlode.sources.shared import durable
+from textlode.sources.shared import durable, stored
 from textlode.sources.tables import AS_OF, table
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -16,9 +16,13 @@ MENTION_ROWS_SQL = f"""{TERM_MENTIONS_SQL}, mentions AS MATERIALIZED (SELECT doc
   list_sort(list(term) OVER (PARTITION BY doc_id)) AS terms FROM held)"""
 
 
-def mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions: two neighbouring documents are one source, and a document is as many days old as its id tells."""
+def mention_rows(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """Mentions: two neighbouring documents are one source, and a document is as many days old as its id tells.
+
+    With ``once`` texts are read now, and their terms are stored as a row a text: each mention's row would hold all of them again.
+    """
     held = held_terms(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    held = stored(held) if once else held
     created = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval((F.col("doc_id") % 200).cast("int"))
     source = F.concat(F.lit("doc "), F.floor(F.col("doc_id") / 2).cast("string"))
     return held.select(F.col("doc_id").alias("id"), F.explode("terms").alias("entity"), source.alias("source"), created.alias("created_at"), "terms")
