@@ -49,6 +49,25 @@ def test_connections_against_all_pairs(spark):
     assert all(r.first_source == min(s for s, es in by.items() if {r.a, r.b} <= es) for r in got)
 
 
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    # few sources with many pairs: tasks follow the pairs, also within one source
+    rng = random.Random(7)
+    by = {f"s{i}": set(rng.sample(range(300), 150)) for i in range(10)} | {"all": set(range(300)), "one": {4}}
+    rows = [(i, f"e{e:03}", s, NOW, []) for i, (s, e) in enumerate((s, e) for s, es in by.items() for e in es)]
+    want = Counter(p for es in by.values() for p in itertools.combinations(sorted(es), 2))
+    monkeypatch.setattr(awareness, "PAIRS", 5_000, raising=False)
+    context, group = spark.sparkContext, "pairs are dealt"
+    context.setJobGroup(group, group)
+    try:
+        got = awareness.connections(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        context._jsc.clearJobGroup()
+    assert {(int(r.a[1:]), int(r.b[1:])): r.sources for r in got} == want
+    assert all(r.first_source == min(s for s, es in by.items() if {int(r.a[1:]), int(r.b[1:])} <= es) for r in got)
+    stages = {k for j in context.statusTracker().getJobIdsForGroup(group) for k in context.statusTracker().getJobInfo(j).stageIds}
+    assert max(info.numTasks for k in stages if (info := context.statusTracker().getStageInfo(k))) >= sum(len(e) * (len(e) - 1) // 2 for e in by.values()) // 5_000
+
+
 def named(spark, *rows):
     return spark.createDataFrame(list(rows), "key long, entity string")
 

@@ -8,12 +8,17 @@ Null entities or sources are no mentions. Tables without rows give none.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
 from textlode.sources.shared import stored
 
+#: Pairs that one task adds up, and the parts of that by which sources are dealt: a pair takes some 100 bytes there.
+PAIRS, CUTS = 4_000_000, 16
+
 
 def mismatches(mentions: DataFrame, limit: int, since: Column) -> DataFrame:
     """The newest ``limit`` pairs of mentions of each entity in different sources: entity, place, earlier and later ones' columns.
@@ -41,15 +46,31 @@ def mismatches(mentions: DataFrame, limit: int, since: Column) -> DataFrame:
 
 
 def connections(mentions: DataFrame) -> DataFrame:
-    """a, b (a < b), sources, first_source: entities that share sources. Pairs are made inside a source's row, once for all sources of the same entities."""
-    held = mentions.filter("entity IS NOT NULL AND source IS NOT NULL").groupBy("source").agg(F.array_sort(F.collect_set("entity")).alias("names"))
-    held = held.filter(F.size("names") > 1).groupBy("names").agg(F.count("*").alias("n"), F.min("source").alias("first_source"))
-    # numbers in the order of the first sources, which differ: counts and least numbers are added up in place, least strings would be sorted
+    """a, b (a < b), sources, first_source: entities that share sources. Pairs are made once for all sources of the same entities.
+
+    A task adds up about ``PAIRS`` pairs, however many there are: more pairs go to more tasks. Entities are numbers until then.
+    """
+    seen = stored(mentions.filter("entity IS NOT NULL AND source IS NOT NULL").select("entity", "source"))
+    # numbers in the order of the names, as those of sources below in that of the first ones: counts and least numbers are added up in place, least strings would be sorted
+    names = stored(seen.select("entity").distinct().repartitionByRange("entity").sortWithinPartitions("entity").withColumn("id", F.monotonically_increasing_id()))
+    held = seen.join(names, "entity").groupBy("source").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    held = held.filter(F.size("ids") > 1).groupBy("ids").agg(F.count("*").alias("n"), F.min("source").alias("first_source"))
     held = stored(held.repartitionByRange("first_source").sortWithinPartitions("first_source").withColumn("number", F.monotonically_increasing_id()))
-    # names are in order: a pair's second one stands behind its first
-    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    shared = held.select("n", "number", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("sources"), F.min("number").alias("number"))
-    return shared.join(held.select("number", "first_source"), "number").select("a", "b", "sources", "first_source")
+    held_pairs = held.withColumn("pairs", F.expr("CAST(size(ids) AS LONG) * (size(ids) - 1) DIV 2"))
+    tasks = math.ceil((held_pairs.agg(F.sum("pairs")).first()[0] or 1) / PAIRS)
+    # a source of many pairs is cut, so that no task gets much more than another
+    most = max(1, PAIRS // CUTS)
+    whole = held_pairs.filter(F.col("pairs") <= most).withColumn("first", F.lit(0).cast("long"))
+    large = held_pairs.filter(F.col("pairs") > most).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pairs") - 1, F.lit(most).cast("long"))))
+    dealt = whole.unionByName(large).repartition(tasks, "number", "first")
+    # pair p of a source is that of its ids i < j with p = j * (j - 1) / 2 + i; ids are in order
+    each = dealt.select("n", "number", "ids", F.explode(F.sequence("first", F.least(F.col("first") + most, "pairs") - 1)).alias("p"))
+    each = each.withColumn("j", F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2).cast("int"))
+    each = each.withColumn("i", (F.col("p") - F.expr("CAST(j AS LONG) * (j - 1) DIV 2")).cast("int"))
+    pairs = each.select("n", "number", F.get("ids", "i").alias("a"), F.get("ids", "j").alias("b"))
+    shared = pairs.groupBy("a", "b").agg(F.sum("n").alias("sources"), F.min("number").alias("number")).join(held.select("number", "first_source"), "number")
+    name = lambda c: names.select(F.col("id").alias(c), F.col("entity").alias(f"name_{c}"))
+    return shared.join(name("a"), "a").join(name("b"), "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "sources", "first_source")
 
 
 def entities(mentions: DataFrame) -> DataFrame:
