@@ -111,6 +111,16 @@ def test_small_chunks_join_the_one_before_and_lines_overlap():
     assert second == C.Chunk("7\n8\n9\nnext", "N", size("7\n8\n9\nnext")) and first.text.count("\n") == 9
 
 
+def test_a_long_run_of_small_chunks_is_joined_once(monkeypatch):
+    measured = []
+    monkeypatch.setattr(C, "tokens_of", lambda text: measured.append(len(text)) or size(text))
+    chunks = [C.Chunk("a" * 500, "", 132), *(C.Chunk(f"b{i}", f"p{i}" if i % 2 else "", 1) for i in range(2000)), C.Chunk("c", "C", 100)]
+    first, last = C.merged(chunks, 100)
+    assert first.text == "\n\n".join(c.text for c in chunks[:-1]) and first.prefix == " | ".join(f"p{i}" for i in range(1, 2000, 2))
+    assert first.tokens == size(first.text) and last == chunks[-1] and C.merged([], 100) == [] and C.merged(chunks[1:2], 100) == chunks[1:2]
+    assert measured == [len(first.text)]  # once for all, not once for each that joins
+
+
 @pytest.mark.parametrize("kind", ["text", "markdown", "html", "code", "csv", "pdf", None])
 def test_empty_texts_have_no_chunks(kind):
     assert C.chunked(None, kind) == C.chunked(" \n ", kind) == []
