@@ -97,6 +97,20 @@ def test_search_equals_the_scan(spark, built, every, k):
     assert sorted((r.query_id, r.doc, round(r.score, 6), r["rank"]) for r in got) == sorted((r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in want.collect())
 
 
+@pytest.mark.parametrize("every", [True, False])
+def test_what_moves_does_not_grow_with_queries_times_texts(spark, tmp_path, monkeypatch, every):
+    """Frequent words of many texts: only the first k of each cell leave it."""
+    docs = spark.createDataFrame([(i, f"red bolt{' red' * (i % 5)} {'ring ' * (i % 7)}u{i}") for i in range(600)], "doc_id long, text string")
+    index = ix.build(docs, str(tmp_path / "i"))
+    queries = search.query_table(spark, ["red bolt", "bolt red", "red", "red ring", "bolt ring", "red bolt ring", "red u5"])
+    moved, top = [], search.top
+    monkeypatch.setattr(ix, "top", lambda df, order, k, *more: moved.append(df.count()) or top(df, order, k, *more))
+    got = ix.search(index, queries, 3, every)
+    want = top(search.bm25(docs, queries, 7, every=every), [F.desc(F.round("score", 9)), F.col("doc_id")], 3)
+    assert sorted((r.query_id, r.doc, round(r.score, 6), r["rank"]) for r in got.collect()) == sorted((r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in want.collect())
+    assert 0 < sum(moved) <= 7 * 3 * 8
+
+
 def test_a_query_reads_its_buckets_only(spark, built):
     _, index = built
     held = ix.postings(index, spark.createDataFrame([("lonely",)], "term string"))

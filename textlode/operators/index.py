@@ -2,14 +2,12 @@
 
 Three Parquet tables in one folder: ``postings`` (term, doc, length, positions), in
 folders by a hash of the term and sorted by term inside, a frequent term in several
-files; ``terms`` (term, df, peak), sorted over the whole, so that a prefix is a range;
-``totals`` (one row). ``peak`` is the largest share that any posting's term weight
-reaches, whatever the query: it bounds what a term can add to a score.
+files; ``terms`` (term, df), sorted over the whole, so that a prefix is a range; ``totals`` (one row).
 
-A query reads the folders of its terms only. Of an AND query, the texts of its rarest
-term are what the other terms' postings are joined to. Of an OR query, terms that all
-together cannot lift a text to the k-th score of the best term's texts are not
-searched for texts (MaxScore); both leave the results as they are.
+A query reads the folders of its terms only. Postings are dealt by text and meet all queries in cells of bounded
+size, each of which sends the first k of its texts for a query: what moves grows with postings and queries, not with
+their product. In a cell, an AND query starts from its rarest term's texts. Of an OR query's most frequent term only the
+k first texts are scored beside all texts of its other terms: a text that holds that term alone cannot be better.
 
 An index for one batch of queries holds the postings of that batch's terms alone (``build`` with ``asked``): all texts
 are read and counted, and what nobody asks does not move.
@@ -52,7 +50,7 @@ class Index:
 
     def read(self, name: str) -> DataFrame:
         schemas = {
-            "postings": f"term string, doc {self.key}, length int, positions array<int>, bucket int", "terms": "term string, df bigint, peak double",
+            "postings": f"term string, doc {self.key}, length int, positions array<int>, bucket int", "terms": "term string, df bigint",
             "totals": "n_docs bigint, mean_length double",
         }
         return self.spark.read.schema(schemas[name]).parquet(f"{self.folder}/{name}")
@@ -92,9 +90,7 @@ def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     totals = written.filter(F.col("bucket") == SIZES).agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("n_docs"), tokens.alias("tokens"))
     mean_length = F.when(F.col("n_docs") > 0, F.col("tokens") / F.col("n_docs")).otherwise(0.0)
     totals.select("n_docs", mean_length.alias("mean_length"), F.lit(None).cast(kind).alias("doc")).write.parquet(f"{folder}/totals")
-    mean = F.broadcast(index.read("totals").select("mean_length"))  # one row
-    weight = term_score(F.lit(1.0), F.size("positions"), F.col("length"), F.col("mean_length"))
-    terms = written.filter(F.col("bucket") != SIZES).crossJoin(mean).groupBy("term").agg(F.count("*").alias("df"), F.max(weight).alias("peak"))
+    terms = written.filter(F.col("bucket") != SIZES).groupBy("term").agg(F.count("*").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
     return index
 
@@ -179,43 +175,124 @@ def hits(index: Index, terms: DataFrame) -> DataFrame:
     return found.unionByName(stored(phrases))  # read several times, and narrower than what makes them
 
 
+#: Postings and terms of queries that a cell holds on average, and its least number of parts by text.
+CELL_POSTINGS, CELL_TERMS, CELLS = 2_000_000, 200_000, 8
+
+
+class Lists:
+    """The postings of a cell as one sorted list of texts for each term, and texts by number in their own order."""
+
+    def __init__(self, postings: pa.Table, terms: pa.Array):
+        docs = postings["doc"].combine_chunks()
+        self.docs = docs.unique()
+        self.docs = self.docs.take(pc.sort_indices(self.docs))
+        n = max(1, len(self.docs))
+        keys = pc.index_in(postings["term"], value_set=terms).to_numpy().astype("i8") * n + pc.index_in(docs, value_set=self.docs).to_numpy().astype("i8")
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], postings["weight"].to_numpy()[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, "i8")
+        self.weights = np.add.reduceat(weights, first) if len(first) else weights  # texts of one key add up
+        of, self.numbers = keys[first] // n, keys[first] % n
+        self.ends = np.searchsorted(of, np.arange(len(terms) + 1))
+        self.sizes = np.diff(self.ends)
+        self.firsts: dict[int, np.ndarray] = {}
+
+    def of(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.ends[term], self.ends[term + 1])
+        return self.numbers[at], self.weights[at]
+
+    def first(self, term: int, idf: float, k: int) -> np.ndarray:
+        """The first ``k`` texts by this term alone; its idf is the same in all queries."""
+        if term not in self.firsts:
+            numbers, weights = self.of(term)
+            self.firsts[term] = np.sort(numbers[foremost(numbers, idf * weights, k)])
+        return self.firsts[term]
+
+    def add(self, term: int, idf: float, numbers: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Adds the term's part to the scores of the texts that hold it; which they are."""
+        own, weights = self.of(term)
+        if not len(own):
+            return np.zeros(len(numbers), bool)
+        at = np.minimum(np.searchsorted(own, numbers), len(own) - 1)
+        held = own[at] == numbers
+        scores[held] += idf * weights[at[held]]
+        return held
+
+
+def levels(scores: np.ndarray) -> np.ndarray:
+    """Scores to nine places, as whole numbers: below that sums differ by their order."""
+    return np.rint(scores * 1e9).astype("i8")
+
+
+def foremost(numbers: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` by level (descending) and number."""
+    level, at = levels(scores), np.arange(len(scores))
+    if len(at) > k:
+        at = np.flatnonzero(level >= np.partition(level, len(level) - k)[len(level) - k])
+    return at[np.lexsort((numbers[at], -level[at]))][:k]
+
+
+def _cell(postings: pa.Table, queries: pa.Table, k: int, every: bool) -> pa.Table:
+    """query_id, doc, score, level: the first ``k`` texts of each query among those of (term, doc, weight); queries are (query_id, term, idf)."""
+    terms = queries["term"].combine_chunks().unique()
+    lists = Lists(postings.filter(pc.is_in(postings["term"], value_set=terms)), terms)
+    ids = queries["query_id"].combine_chunks().dictionary_encode()
+    of, term, idf = ids.indices.to_numpy(), pc.index_in(queries["term"], value_set=terms).to_numpy(), queries["idf"].to_numpy()
+    order = np.lexsort((term, lists.sizes[term], of))  # a query's rarest term first
+    of, term, idf = of[order], term[order], idf[order]
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    ends = np.r_[starts[1:], len(of)]
+    able = lists.sizes[term[starts if every else ends - 1]] > 0
+    found: list[list[np.ndarray]] = [[np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]]
+    for a, b in zip(starts[able].tolist(), ends[able].tolist(), strict=True):
+        last = lists.first(int(term[b - 1]), idf[b - 1], k)
+        if b - a == 1:
+            numbers = last
+        elif every:
+            numbers = lists.of(term[a])[0]
+        else:
+            numbers = np.unique(np.concatenate([last, *(lists.of(t)[0] for t in term[a : b - 1])]))
+        scores = np.zeros(len(numbers))
+        for t, w in zip(term[a:b], idf[a:b], strict=True):
+            held = lists.add(t, w, numbers, scores)
+            if every:
+                numbers, scores = numbers[held], scores[held]
+        at = foremost(numbers, scores, k)
+        for column, values in zip(found, (np.full(len(at), of[a]), numbers[at], scores[at]), strict=True):
+            column.append(values)
+    query, number, score = map(np.concatenate, found)
+    return pa.table({"query_id": ids.dictionary.take(pa.array(query)), "doc": lists.docs.take(pa.array(number)), "score": score, "level": levels(score)})
+
+
 def search(index: Index, queries: DataFrame, k: int, every: bool = True) -> DataFrame:
     """query_id, doc, score, rank: the first ``k`` texts that hold every term of a query (or any), by BM25 and the text's key.
 
     ``queries``: query_id, term (distinct for a query), n_terms.
     """
-    totals = F.broadcast(index.read("totals"))  # one row
+    totals = F.broadcast(index.read("totals").select("n_docs", "mean_length"))  # one row
     queries = durable(queries.select("query_id", "term", "n_terms"))
     n_queries = queries.count()
     asked = lambda df: small(df, n_queries)
     held = hits(index, queries)
     plain = queries.select("term").distinct().filter(~F.contains("term", F.lit(" ")) & ~F.endswith("term", F.lit("*")))
-    known = index.read("terms").join(asked(plain), "term").select("term", "df", "peak")
-    other = held.join(asked(plain), "term", "left_anti").crossJoin(totals)
-    weight = term_score(F.lit(1.0), F.col("tf"), F.col("length"), F.col("mean_length"))
-    known = known.unionByName(other.groupBy("term").agg(F.count("*").alias("df"), F.max(weight).alias("peak")))
+    known = index.read("terms").join(asked(plain), "term").select("term", "df")
+    known = known.unionByName(held.join(asked(plain), "term", "left_anti").groupBy("term").agg(F.count("*").alias("df")))
     weighed = queries.join(known, "term").crossJoin(totals).withColumn("idf", inverse_frequency(F.col("n_docs"), F.col("df")))
-    weighed = durable(weighed.withColumn("most", F.col("idf") * F.col("peak")))
-    scored = held.join(asked(weighed), "term").select("query_id", "term", "doc", "n_terms", "df", "most", term_score(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("part"))
-    of_query = Window.partitionBy("query_id")
+    weighed = durable(weighed.select("query_id", "term", "n_terms", "df", "idf"))
     if every:
-        whole = weighed.groupBy("query_id", "n_terms").agg(F.count("*").alias("n"), F.min_by("term", F.struct("df", "term")).alias("rarest")).filter("n = n_terms")
-        first = scored.join(asked(whole.select(F.col("query_id").alias("of"), "rarest")), (F.col("query_id") == F.col("of")) & (F.col("term") == F.col("rarest")))
-        near = first.select("query_id", "doc").distinct()
-        rest = scored.join(near, ["query_id", "doc"], "left_semi")
-        summed = rest.groupBy("query_id", "doc", "n_terms").agg(F.sum("part").alias("score"), F.count_distinct("term").alias("held")).filter("held = n_terms")
-    else:
-        best = weighed.groupBy("query_id").agg(F.max_by("term", F.struct("most", "term")).alias("best"))
-        lead = scored.join(asked(best.select(F.col("query_id").alias("of"), "best")), (F.col("query_id") == F.col("of")) & (F.col("term") == F.col("best")))
-        lead = lead.groupBy("query_id", "doc").agg(F.sum("part").alias("part"))
-        kth = top(lead, [F.desc("part")], k).filter(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("part").alias("least"))
-        rising = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
-        ladder = weighed.withColumn("reach", rising).join(asked(kth), F.col("query_id") == F.col("of"), "left")
-        # rounding must not lose a text that ties
-        needed = durable(ladder.filter(F.col("least").isNull() | (F.col("reach") >= F.col("least") * (1 - 1e-9))).select("query_id", "term"))
-        near = scored.join(asked(needed), ["query_id", "term"], "left_semi").select("query_id", "doc").distinct()
-        summed = scored.join(near, ["query_id", "doc"], "left_semi").groupBy("query_id", "doc").agg(F.sum("part").alias("score"))
-    return top(summed.select("query_id", "doc", "score"), [F.desc(F.round("score", 9)), F.col("doc")], k)
+        whole = weighed.groupBy("query_id", "n_terms").agg(F.count("*").alias("n")).filter("n = n_terms").select("query_id")
+        weighed = durable(weighed.join(asked(whole), "query_id", "left_semi"))
+    rows = weighed.count()
+    n_postings = weighed.groupBy("term").agg(F.max("df").alias("df")).agg(F.sum("df")).first()[0] or 0
+    parts, shares = max(CELLS, -(-n_postings // CELL_POSTINGS)), max(1, -(-rows // CELL_TERMS))
+    weight = term_score(F.lit(1.0), F.col("tf"), F.col("length"), F.col("mean_length"))
+    # what no whole query asks need not move
+    left = held.filter("doc IS NOT NULL").join(asked(weighed.select("term").distinct()), "term", "left_semi").crossJoin(totals)
+    left = left.select(F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "term", "doc", weight.alias("weight"))
+    right = weighed.select(F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share"), F.explode(F.sequence(*(F.lit(n).cast("long") for n in (0, parts - 1)))).alias("part"), "query_id", "term", "idf")
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc {index.key}, score double, level long"
+    found = left.groupBy("part", "share").cogroup(right.groupBy("part", "share")).applyInArrow(lambda x, y: _cell(x, y, k, every), schema)
+    return top(found, [F.desc("level"), F.col("doc")], k).drop("level")
 
 
 #: What a word of a query is, what its edges lose where texts are searched as they are, and the shortest prefix.
